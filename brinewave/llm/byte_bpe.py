@@ -28,7 +28,8 @@ from pyspark.sql.functions import arrow_udf
 from brinewave.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE = 300_000  # stretches of text that a worker remembers at most
+CACHE = 150_000  # stretches of text in each of a worker's two generations of memory
+PLAIN = ".,;:!?%&*$#|()-\""  # punctuation that ends a stretch as one piece
 SIDE_BY_SIDE = 64  # bytes of the longest piece that is merged among others
 NONE = np.int64(1) << 60
 
@@ -51,26 +52,54 @@ class Bpe:
                 if a is not None and b is not None:
                     pairs[a * self.base + b] = rank
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[int(k)] for k in self.keys], np.int64)
+        self.hash_pairs()
         self.bytes_of = [b""] * self.base
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.ids = list(range(self.base))  # one object for each id, which all remembered stretches share
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
         lines = Path(path).read_bytes().split(b"\n")
         return cls({base64.b64decode(t): int(r) for t, r in (x.split() for x in lines if x.strip())}, pattern)
 
+    def hash_pairs(self) -> None:
+        """Lay the pairs out for vectorised look-up: open addressing, at most half full."""
+        bits = max(4, (4 * len(self.pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE)
+        keys = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
+        values = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+        slot = self.slot_of(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            _, first = np.unique(slot, return_index=True)
+            win = np.zeros(len(keys), bool)
+            win[first] = True
+            win &= free
+            self.keys[slot[win]], self.values[slot[win]] = keys[win], values[win]
+            keys, values, slot = keys[~win], values[~win], (slot[~win] + 1) & self.mask
+
+    def slot_of(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of tokens, NONE where there is no such token."""
-        if not len(self.keys):
-            return np.full(len(left), NONE)
         key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        slot = self.slot_of(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.values[slot], NONE)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & self.mask
+            found = self.keys[slot[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.values[slot[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
 
     def merge_many(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
         """Merge pieces of 2 to width bytes side by side; width is a power of two."""
@@ -116,9 +145,10 @@ class Bpe:
                 tree[rows, nodes] = np.minimum(tree[rows, 2 * nodes], tree[rows, 2 * nodes + 1])
                 nodes >>= 1
             live = live[tree[live, 1] < NONE]
-        flat, kept = token.ravel().tolist(), None
-        kept = [tuple(t for t in flat[i * width : i * width + s] if t >= 0) for i, s in enumerate(size.tolist())]
-        return kept
+        kept = token >= 0
+        ends = np.cumsum(kept.sum(axis=1)).tolist()
+        flat = list(map(self.ids.__getitem__, token[kept].tolist()))
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same for one piece of any length."""
@@ -178,21 +208,33 @@ class Bpe:
                 out.update(zip(same[k : k + 8192], self.merge_many(same[k : k + 8192], width), strict=True))
         return out
 
+    def split(self, stretch: str) -> list[str]:
+        """The pattern's matches. A run of letters, with a space before and plain punctuation after it, needs no regular expression."""
+        word = stretch[1:] if stretch[0] == " " else stretch
+        if word.isalpha():
+            return [stretch]
+        bare = word.rstrip(PLAIN)
+        if bare.isalpha():
+            k = len(stretch) - len(word) + len(bare)
+            return [stretch[:k], stretch[k:]]
+        return self.pattern.findall(stretch)
+
     def learn_stretches(self, new: Iterable[str]) -> None:
-        """Put stretches of text into the cache."""
-        split = {s: [m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(s)] for s in new}
+        """Put stretches of text into the memory."""
+        split = {s: [m.encode("utf-8", "surrogatepass") for m in self.split(s)] for s in new}
         ids = self.encode_pieces(set(chain.from_iterable(split.values())))
         for s, pieces in split.items():
             self.cache[s] = ids[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(ids[p] for p in pieces))
 
     def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        if len(self.cache) > CACHE:  # what isn't used again in a generation is forgotten
+            self.cache, self.older = {}, self.cache
         cut = [STRETCH.findall(x) if x else [] for x in texts]
         new = set(chain.from_iterable(cut)).difference(self.cache)
-        if new:
-            self.learn_stretches(new)
+        known = new.intersection(self.older)
+        self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self.learn_stretches(new - known)
         get = self.cache.__getitem__
         return [list(chain.from_iterable(map(get, c))) for c in cut]
 
@@ -226,6 +268,11 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def id_lists(rows: list[list[int]]) -> pa.Array:
+    flat = np.fromiter(chain.from_iterable(rows), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array(flat))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """ids array<int> of a text column."""
 
@@ -233,13 +280,16 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for texts in batches:
-            rows = [x for some in groups(texts.to_pylist()) for x in map(lambda v: np.array(v, np.int32), bpe.encode_texts(some))]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+            yield pa.concat_arrays([id_lists(bpe.encode_texts(some)) for some in groups(texts.to_pylist())])
 
     return ids_of(text)
 
 
+def decoded_rows(bpe: Bpe, ids: pa.Array) -> pa.Array:
+    flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()]).tolist()
+    return pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """The bytes that ids stand for, as binary; null ids decode to no bytes."""
 
@@ -247,16 +297,24 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for rows in batches:
-            flat, ends = rows.flatten().to_numpy().tolist(), np.cumsum([0, *rows.value_lengths().fill_null(0).to_pylist()]).tolist()
-            yield pa.array([bpe.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield decoded_rows(bpe, rows)
 
     return bytes_of(ids)
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The documents with ids and the bytes decoded from these ids."""
-    coded = documents.withColumn("ids", encode(F.col("text"), path, pattern))
-    return coded.withColumn("decoded", decode(F.col("ids"), path, pattern))
+    """The documents with ids and the bytes decoded from these ids; both in one pass through one worker."""
+
+    @arrow_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = coder(path, pattern)
+        for texts in batches:
+            ids = [id_lists(bpe.encode_texts(some)) for some in groups(texts.to_pylist())]
+            done = [pa.StructArray.from_arrays([x, decoded_rows(bpe, x)], ["ids", "decoded"]) for x in ids]
+            yield pa.concat_arrays(done)
+
+    coded = documents.withColumn("__coded", both(F.col("text")))
+    return coded.withColumns({"ids": F.col("__coded.ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
 
 
 def digests(coded: DataFrame) -> DataFrame:
