@@ -26,14 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from brinewave.llm.common import fold, table
+from brinewave.llm.common import fold, materialize, table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the fit takes at most
 TABLE_ROWS = 50_000  # weights that the scan carries at most
 PREFIXES = (8, 7, 6, 5, 4)
 EDGE = ".,;:!?\"'()[]{}<>%&*$#|-"
-DRIFT = 0.5  # what each token costs, so that a segment must be dense in toxic tokens
-LEAST_Z = 3.0
+DRIFT = 1.0  # what each token costs, so that a segment must be dense in toxic tokens
+LEAST_Z = 2.5
+LEAST_COUNT = 4
+PARTS = 3  # of the labelled rows: each is scored by weights from the others, to fit the tail and the curve
 CACHE = 200_000
 
 
@@ -44,17 +46,22 @@ def tokens_of(word: str) -> list[str]:
 
 
 def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (token, toxic, other): occurrences by class, summed over what the task sees."""
-    by = (Counter(), Counter())
-    flush = lambda: pd.DataFrame([(t, by[1][t], by[0][t]) for t in by[0].keys() | by[1].keys()], columns=["token", "toxic", "other"])
+    """Rows (token, part, toxic, other): occurrences by class, summed over what the task sees."""
+    by: dict[tuple[int, int], Counter] = {}
+
+    def flush() -> pd.DataFrame:
+        rows = [(t, part, n if label else 0, 0 if label else n) for (part, label), c in by.items() for t, n in c.items()]
+        by.clear()
+        return pd.DataFrame(rows, columns=["token", "part", "toxic", "other"])
+
     for pdf in batches:
-        for text, label in zip(pdf["text"], pdf["__toxic"], strict=True):
+        for text, label, part in zip(pdf["text"], pdf["__toxic"], pdf["__part"], strict=True):
+            c = by.setdefault((int(part), int(label == 1)), Counter())
             for word, n in Counter((text or "").split()).items():
                 for t in tokens_of(word):
-                    by[int(label == 1)][t] += n
-            if len(by[0]) + len(by[1]) > 500_000:
+                    c[t] += n
+            if len(c) > 300_000:
                 yield flush()
-                by[0].clear(), by[1].clear()
     yield flush()
 
 
@@ -69,7 +76,7 @@ def log_odds(counts: DataFrame, *, prior: float = 0.05, least_z: float = LEAST_Z
     both = F.col("toxic") + F.col("other")
     a = F.lit(prior) * both
     odds = lambda y, n: F.log((y + a) / (n + F.lit(prior) * (F.col("n1") + F.col("n0")) - y - a))
-    c = c.join(F.broadcast(total), "family").where((both >= 5) & (F.col("n1") > 0) & (F.col("n0") > 0))
+    c = c.join(F.broadcast(total), "family").where((both >= LEAST_COUNT) & (F.col("n1") > 0) & (F.col("n0") > 0))
     c = c.withColumn("weight", odds(F.col("toxic"), F.col("n1")) - odds(F.col("other"), F.col("n0")))
     c = c.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a)))
     return c.where(F.abs("z") >= least_z).select("token", "weight", "z").orderBy(F.abs("z").desc(), "token").limit(limit)
@@ -186,7 +193,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, use: Column | None = None) -> Model:
-    """Learn from at most sample_rows labelled rows: weights from two thirds of them, tail and curve from the rest.
+    """Learn from at most sample_rows labelled rows: weights from all of them, tail and curve from scores by weights that
+    come from the other parts.
 
     use: which labels may be learned from.
     """
@@ -194,19 +202,26 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     chosen = labels.where("doc_id is not null and toxic is not null")
     chosen = (chosen if use is None else chosen.where(use)).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("__part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)))
-    counts = rows.where("__part < 2").select("text", "__toxic").mapInPandas(count_tokens, "token string, toxic long, other long")
-    weights = {r.token: r.weight for r in log_odds(counts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))).collect()}
-    shared = spark.sparkContext.broadcast(weights)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("text", "__toxic", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).cast("int").alias("__part"))
+    counts = rows.mapInPandas(count_tokens, "token string, part int, toxic long, other long")
+    counts = materialize(counts.groupBy("token", "part").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "tokens")
+
+    def weights_without(part: int) -> dict[str, float]:
+        c = counts.where(F.col("part") != part).groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        return {r.token: r.weight for r in log_odds(c).collect()}
+
+    others, weights = [weights_without(k) for k in range(PARTS)], weights_without(-1)
+    shared = spark.sparkContext.broadcast(others)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorers = [Scorer(w) for w in shared.value]
         for pdf in batches:
-            done = [scorer.text(x) for x in pdf["text"]]
+            done = [scorers[k].text(x) for x, k in zip(pdf["text"], pdf["__part"], strict=True)]
             scores = [sorted((s for s, _, _ in f), reverse=True)[:20] for _, f in done]
             yield pd.DataFrame({"toxic": pdf["__toxic"].astype("int32"), "n": [n for n, _ in done], "scores": scores})
 
-    held = rows.where("__part = 2").select("text", "__toxic").mapInPandas(scan, "toxic int, n long, scores array<double>").limit(4 * sample_rows).toPandas()
+    held = rows.mapInPandas(scan, "toxic int, n long, scores array<double>").limit(4 * sample_rows).toPandas()
     if not weights or held["toxic"].nunique() < 2:
         return Model(weights={})
     y, n = held["toxic"].to_numpy(), held["n"].to_numpy(float)
