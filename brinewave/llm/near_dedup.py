@@ -1,7 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents are sets of word shingles. Equal sets are one node from the start, so groups of exact copies cost a thin
-aggregation. MinHash signatures are cut into bands; nodes that share a band are candidates. A candidate pair's
+aggregation. Bands are fixed subsets of a MinHash signature's values; nodes whose values of a band agree are candidates. Subsets
+may overlap, so a signature gives many bands of many values: pairs at the threshold are hardly ever missed, and
+unrelated texts that share common phrases hardly ever meet. A candidate pair's
 signatures are compared batch by batch, and the pair is dropped as soon as the posterior probability that its
 similarity reaches the threshold is under the chosen miss probability. What survives is verified on the full sets, and
 connected components follow from alternating star contraction.
@@ -33,8 +35,9 @@ from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from brinewave.llm.common import materialize, table
 
-HASHES = 192  # values of a signature at most
-BAND_MISS = 1e-4  # probability that a pair at the threshold shares no band
+HASHES = 192  # values of a signature
+BANDS = 96
+BAND_MISS = 1e-4  # probability that a pair at the threshold shares no band, at most
 PRUNE_MISS = 1e-6  # posterior probability under which a candidate pair is dropped
 BATCH = 32  # signature values compared at once
 MAX_PIVOTS = 6
@@ -42,10 +45,37 @@ PAIRS_PER_MEMBER = 4
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def bands_for(similarity: float, hashes: int = HASHES, miss: float = BAND_MISS) -> tuple[int, int]:
-    """(bands, rows): the most rows for which a pair at that similarity shares no band with at most that probability."""
-    good = [(hashes // r, r) for r in range(1, 33) if (1 - similarity**r) ** (hashes // r) <= miss]
-    return good[-1] if good else (hashes, 1)
+def band_miss(similarity: float, rows: int, bands: int = BANDS, hashes: int = HASHES) -> float:
+    """Probability that a pair shares no band: over the number of equal values, each band is a subset of them by chance."""
+    out = 0.0
+    for m in range(hashes + 1):
+        share = comb(m, rows) / comb(hashes, rows)
+        out += comb(hashes, m) * similarity**m * (1 - similarity) ** (hashes - m) * (1 - share) ** bands
+    return out
+
+
+@lru_cache(maxsize=8)
+def rows_for(similarity: float, bands: int = BANDS, hashes: int = HASHES, miss: float = BAND_MISS) -> int:
+    """The most values of a band for which pairs at that similarity are missed with at most that probability."""
+    return max((r for r in range(1, 33) if band_miss(similarity, r, bands, hashes) <= miss), default=1)
+
+
+def band_keys(sig: Column, rows: int, bands: int = BANDS, hashes: int = HASHES) -> Column:
+    """array<long> of a signature: one hash for each band, of its subset of values."""
+
+    @pandas_udf("array<long>")
+    def of(sigs: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(rows)
+        subset = np.stack([rng.choice(hashes, rows, replace=False) for _ in range(bands)])
+        factor = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        salt = rng.integers(0, 2**63, bands, dtype=np.uint64)
+        out = []
+        for raw in sigs:
+            h = ((np.frombuffer(raw, np.uint32).astype(np.uint64)[subset] ^ (factor >> np.uint64(17))) * factor).sum(axis=1) ^ salt
+            out.append(((h ^ (h >> np.uint64(32))) * P1).view(np.int64))
+        return pd.Series(out)
+
+    return of(sig)
 
 
 @lru_cache(maxsize=4)
@@ -167,12 +197,17 @@ def common(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def small(df: DataFrame, name: str) -> DataFrame:
+    """Materialize what is much smaller than the documents, by no more tasks than a few for each core."""
+    return materialize(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes with an edge (a, b): the smallest node that can be reached.
 
     Alternating large-star and small-star contraction; each is a minimum per node, joined back, never a group in memory.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = small(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -180,8 +215,8 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialize(small.where("u <> v").distinct(), "edges")
+        few = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        e = small(few.where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -194,14 +229,12 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
 def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_MISS) -> tuple[DataFrame, DataFrame]:
     """(base, nodes): base has doc_id, n_shingles and set_key of every row; nodes has set_key and component of every set."""
     similarity = percent / 100
-    bands, rows = bands_for(similarity)
-    hashes = bands * rows
+    rows, hashes = rows_for(similarity), HASHES
     base = documents.select("doc_id", digest(F.col("text"), size, hashes).alias("d")).select("doc_id", F.col("d.n").alias("n_shingles"), "d.set_key", "d.sig")
     base = materialize(base, "signatures")
     nodes = base.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * 4 * rows + 1, 4 * rows)))
-    banded = nodes.select("node", F.explode(band).alias("bucket"))
+    banded = nodes.select("node", F.explode(band_keys(F.col("sig"), rows)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = materialize(banded.join(shared, "bucket"), "members")
     near = members.select("node").distinct()
@@ -214,11 +247,11 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
         s = lambda k: sigs.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
         bound = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         rest = pairs.join(s("a"), "a").join(s("b"), "b").where(bound).where(may_be_similar(hashes, similarity, miss)("sa", "sb")).select("a", "b").distinct()
-        rest = materialize(rest, "survivors")
+        rest = small(rest, "survivors")
         e = lambda k: sets.select(F.col("node").alias(k), F.col("elements").alias(f"e{k}"))
         exact = rest.join(e("a"), "a").join(e("b"), "b").withColumn("i", common(F.col("ea"), F.col("eb")))
         union = (F.length("ea") + F.length("eb")) / 8 - F.col("i")
-        return materialize(exact.where(100 * F.col("i") >= percent * union).select("a", "b").distinct(), "links")
+        return small(exact.where(100 * F.col("i") >= percent * union).select("a", "b").distinct(), "links")
 
     found, part, tested = None, None, None
     for k in range(MAX_PIVOTS + 1):
@@ -230,7 +263,7 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
         pivot = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
         left = placed.join(pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("pc")), "bucket")
         if k:
-            left = materialize(left, "left")
+            left = small(left, "left")
             sizes = left.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
             n, across = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()
             if not n:
@@ -244,7 +277,7 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = small(pairs, "pairs")
         new = verified(pairs)
         found = new if found is None else found.unionAll(new)
         tested = pairs if tested is None else tested.unionAll(pairs)

@@ -79,6 +79,12 @@ def test_limits_of_the_comparison():
         assert (rng.binomial(n, 0.85, 100_000) < m).mean() < 1e-3
 
 
+def test_bands_hardly_miss():
+    for t in (0.8, 0.85):
+        r = N.rows_for(t)
+        assert r >= 7 and N.band_miss(t, r) <= N.BAND_MISS and N.band_miss(0.2, r) > 1 - 1e-3
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 900, dtype=np.uint64)
