@@ -124,9 +124,13 @@ def run_summary(results: DataFrame, predictions: DataFrame, *, by: Sequence[str]
 
 
 def ranking(runs: DataFrame, *, by: Sequence[str] = ("patient",), name: str = "model") -> DataFrame:
-    """runs with rank: sensitivity falling (null last), false detections and latency rising (null last), then name."""
+    """runs with rank: sensitivity falling (null last), false detections and latency rising (null last), then name.
+
+    Means are compared to nine digits, since the order of a sum may change the last ones.
+    """
     inf = F.lit(float("inf"))
-    keys = (F.coalesce("sensitivity_mean", F.lit(-1.0)).desc(), F.coalesce("fdr_per_24h_mean", inf), F.coalesce("latency_sec_mean", inf), F.col(name))
+    near = lambda c, none: F.coalesce(F.round(c, 9), none)
+    keys = (near("sensitivity_mean", F.lit(-1.0)).desc(), near("fdr_per_24h_mean", inf), near("latency_sec_mean", inf), F.col(name))
     kept = runs.where("n_records > 0")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)).cast("long"))
 

@@ -450,7 +450,7 @@ def q43_run_summary(spark, sf_dir):
 
 
 RANK_SQL = f"""{V.RUNS}, ranked as (select *, row_number() over (partition by patient
-  order by coalesce(sensitivity_mean, -1.0) desc, coalesce(fdr_per_24h_mean, 'infinity'::double), coalesce(latency_sec_mean, 'infinity'::double), model) as rank from runs where n_records > 0)"""
+  order by coalesce(round(sensitivity_mean, 9), -1.0) desc, coalesce(round(fdr_per_24h_mean, 9), 'infinity'::double), coalesce(round(latency_sec_mean, 9), 'infinity'::double), model) as rank from runs where n_records > 0)"""
 
 
 @query(f"with {RANK_SQL} select patient, model, rank, round(sensitivity_mean, 6) as sensitivity_mean from ranked")
