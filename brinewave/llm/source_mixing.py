@@ -95,27 +95,30 @@ def balance(cells: DataFrame, goals: DataFrame, *, steps: int = STEPS, residual:
 
 def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents with size, source_size, target, rate and copies."""
-    sized = documents.withColumn("__size", n_words(F.col("text")))
-    counts = sized.groupBy("source", "__size").agg(F.count("*").alias("n")).withColumnRenamed("__size", "size")
-    cells = materialize(counts, "sizes")
+    key = F.xxhash64("doc_id", "text") if "doc_id" in documents.columns else F.xxhash64("text")
+    # A cell of equal sizes may hold a third of all rows, so its ranks are taken in parts, which are ranges of the keys.
+    parts = max(1, -(-documents.count() // ROWS_PER_CELL))
+    part = F.floor((F.col("__key") / F.lit(2.0**64) + 0.5) * parts)
+    sized = documents.withColumn("__size", n_words(F.col("text"))).withColumn("__key", key).withColumn("__part", part)
+    pieces = materialize(sized.groupBy(F.col("source").alias("__s"), F.col("__size").alias("__n"), F.col("__part").alias("__p")).agg(F.count("*").alias("n")), "parts")
+    cells = materialize(pieces.groupBy(F.col("__s").alias("source"), F.col("__n").alias("size")).agg(F.sum("n").alias("n")), "sizes")
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     state = balance(cells, goals, most=most)
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // ROWS_PER_CELL))
     rated = cells.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
     c = F.when(F.col("unit") > 0, F.col("size") / F.col("unit")).otherwise(F.lit(0.0))
     rate = F.when(F.col("multiplier") == float("inf"), F.lit(most)).when(F.col("multiplier") == float("-inf"), F.lit(0.0)).otherwise(tilted(F.col("multiplier"), c, most))
     rated = rated.select("source", "size", "n", "source_size", "target", rate.alias("rate"))
     run = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     rated = rated.withColumn("__from", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
-    rated = rated.select(F.col("source").alias("__s"), F.col("size").alias("__n"), "source_size", "target", "rate", "__from")
-    key = F.xxhash64("doc_id", "text") if "doc_id" in documents.columns else F.xxhash64("text")
-    # A cell of equal sizes may hold a third of all rows, so its ranks are taken in parts; each part but a first starts at a phase of its own.
-    sized = sized.withColumn("__key", key).withColumn("__part", F.pmod(F.xxhash64("__key"), F.lit(parts)))
+    rated = rated.select("source", "size", "source_size", "target", "rate", "__from")
+    earlier = Window.partitionBy("__s", "__n").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("__s", "__n", "__p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    rated = pieces.join(rated, F.col("__s").eqNullSafe(F.col("source")) & (F.col("__n") == F.col("size"))).drop("source", "size")
     rank = F.row_number().over(Window.partitionBy("source", "__size", "__part").orderBy("__key"))
-    ranked = sized.withColumn("__rank", rank)
-    placed = ranked.join(rated, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")))
-    phase = F.col("__from") + F.when(F.lit(parts) > 1, F.pmod(F.xxhash64("__part", "__size"), F.lit(1000)) / 1000.0).otherwise(F.lit(0.5))
+    ranked = sized.withColumn("__row_number", rank)
+    placed = ranked.join(rated, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__part") == F.col("__p")))
+    placed = placed.withColumn("__rank", F.col("__before") + F.col("__row_number"))
+    phase = F.col("__from") + F.lit(0.5)
     upto = lambda k: F.floor(phase + k * F.col("rate") + F.lit(1e-9))
     copies = F.when(F.col("rate") >= most, F.lit(int(most))).otherwise(upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")
     out = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "rate": F.col("rate"), "copies": copies}

@@ -50,6 +50,20 @@ def test_reruns_agree_and_parts_make_no_gap(docs, monkeypatch):
     assert all(c in (0, 1, 2) for _, _, c in take())
 
 
+def test_parts_give_the_same_copies(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, s, "w " * int(n)) for k, (s, n) in enumerate((s, n) for s in "abcdef" for n in rng.lognormal(3, 1, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    take = lambda: sorted((r.doc_id, r.source, r["size"], r.target, r.copies) for r in M.mix(df).collect())
+    whole = take()
+    monkeypatch.setattr(M, "ROWS_PER_CELL", 3)
+    split = take()
+    assert [(i, c) for i, *_, c in split] == [(i, c) for i, *_, c in whole]
+    for s in "abcdef":
+        own = [r for r in split if r[1] == s]
+        assert abs(sum(n * c for _, _, n, _, c in own) - own[0][3]) <= 1.5 * max(n for _, _, n, _, _ in own)
+
+
 def test_newton_meets_the_targets(spark):
     rng = np.random.default_rng(1)
     rows = [(s, int(n), 1 + int(rng.integers(0, 4))) for s in "abc" for n in np.unique(rng.lognormal(5, 1.5, 60).astype(int))]
