@@ -1,4 +1,4 @@
-"""Clustering: k-means with restarts, Ward on a bounded sample, density clusters, agreement of labelings."""
+"""Clustering: k-means with restarts, Ward, density clusters, agreement of labelings."""
 
 from __future__ import annotations
 
@@ -23,15 +23,20 @@ def kmeans(points: DataFrame, k: int = 2, *, restarts: int = 10, seed: int = 42,
     return best.transform(v).withColumn("cluster", number).drop("__v", "__c")
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of Ward's agglomeration down to k clusters, by the recurrence on squared distances; clusters by falling size."""
+def ward_tree(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, list[float]]:
+    """(labels, heights of the k - 1 merges left): Ward's agglomeration of points that stand for weight rows each, by the recurrence on squared distances; clusters by falling size."""
     n = len(x)
-    d = distances(x, x) ** 2
+    size, group, live = np.ones(n) if weight is None else weight.astype(float), np.arange(n), np.ones(n, bool)
+    d = distances(x, x) ** 2 * (2 * np.outer(size, size) / np.add.outer(size, size))
     np.fill_diagonal(d, np.inf)
-    size, group, live = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - k):
+    rows, cut, heights = size.copy(), group, []
+    for step in range(n - 1):
+        if step == n - k:
+            cut = group.copy()
         i, j = divmod(int(d.argmin()), n)
         i, j = min(i, j), max(i, j)
+        if step >= n - k:
+            heights.append(float(d[i, j]))
         rest = live.copy()
         rest[[i, j]] = False
         total = size[i] + size[j] + size[rest]
@@ -40,23 +45,71 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
         live[j] = False
         d[j, :] = d[:, j] = np.inf
         group[group == j] = i
-    names, counts = np.unique(group, return_counts=True)
-    order = {g: r for r, g in enumerate(names[np.lexsort((names, -counts))])}
-    return np.array([order[g] for g in group])
+    names, at = np.unique(group if k == 1 else cut, return_inverse=True)
+    order = {g: r for r, g in enumerate(names[np.lexsort((names, -np.bincount(at, weights=rows)))])}
+    return np.array([order[g] for g in names[at]]), heights
+
+
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of Ward's agglomeration down to k clusters."""
+    return ward_tree(x, k)[0]
 
 
-def ward(points: DataFrame, k: int = 2, *, sample_rows: int = 2_000, id: str = "id", features: str = "features") -> DataFrame:
-    """(id, cluster) of a sample of at most sample_rows points, those with the smallest hash of their id.
+def ward(points: DataFrame, k: int = 2, *, rows: int = 2_000, id: str = "id", features: str = "features", below: float = float("inf")) -> DataFrame:
+    """(id, cluster) of all points.
 
-    The distances of the sample are one task's; agglomeration has no distributed form that keeps its result.
+    Equal points are one cluster from the start. While more than `rows` clusters are left, every two that are nearest to
+    each other are joined, by distances in blocks; one task joins the rest. A joined cluster is never nearer to a third
+    than the nearer of its two was, so the tree is that of joining one pair at a time. A cut into more than two clusters
+    must not have joined one of the k - 1 highest pairs early; if it has, the work is done again with joins `below` that height.
     """
-    chosen = points.select(F.col(id).cast("long").alias("id"), F.col(features).alias("v")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    p = points.select(F.col(id).cast("long").alias("id"), F.col(features).cast("array<double>").alias("v"))
+    state = cut_lineage(p.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")), "ward")
+    own = cut_lineage(p.join(state.select("v", "c"), "v").select("id", "c"), "ward-rows")
+    early: list[float] = []
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        return pd.DataFrame({"id": pdf["id"], "cluster": ward_labels(matrix(pdf["v"]), min(k, len(pdf)))})
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        """Of each of x the nearest of y, by height and then id; products choose what is measured by differences."""
+        if not len(x) or not len(y):
+            return pd.DataFrame({"c": [], "h": [], "a": [], "b": []}).astype({"c": "int64", "a": "int64", "b": "int64"})
+        u, v, m, n, c, e = matrix(x["v"]), matrix(y["v"]), x["n"].to_numpy(float), y["n"].to_numpy(float), x["c"].to_numpy(), y["c"].to_numpy()
+        weight, norm = 2 * np.outer(m, n) / np.add.outer(m, n), np.add.outer((u * u).sum(axis=1), (v * v).sum(axis=1))
+        slack = 1e-9 * weight * norm
+        rough = weight * (norm - 2 * u @ v.T)
+        rough[c[:, None] == e[None, :]] = np.inf
+        i, j = np.nonzero(rough - slack <= (rough + slack).min(axis=1, keepdims=True))
+        i, j = i[c[i] != e[j]], j[c[i] != e[j]]
+        h = weight[i, j] * ((u[i] - v[j]) ** 2).sum(axis=1)
+        out = pd.DataFrame({"c": c[i], "h": h, "a": np.minimum(c[i], e[j]), "b": np.maximum(c[i], e[j])})
+        return out.sort_values(["c", "h", "a", "b"]).drop_duplicates("c")
+
+    while state.count() > rows:
+        near = block_pairs(state, state, nearest, "c long, h double, a long, b long", left_id="c", right_id="c")
+        best = near.groupBy("c").agg(F.min(F.struct("h", "a", "b")).alias("m")).select("m.*")
+        pairs = cut_lineage(best.groupBy("a", "b").agg(F.count("*").alias("both"), F.min("h").alias("h")).where((F.col("both") == 2) & (F.col("h") < below)), "ward-pairs")
+        highest = [r.h for r in pairs.orderBy(F.desc("h")).limit(max(1, k - 1)).collect()]
+        if not highest:
+            break
+        early += highest
+        to = pairs.select(F.col("b").alias("c"), F.col("a").alias("to"))
+        two = state.join(to, "c", "left").groupBy(F.coalesce("to", "c").alias("c")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "v"))).alias("g"))
+        one, other = F.get("g", F.lit(0)), F.get("g", F.lit(1))
+        mean = F.zip_with(one["v"], other["v"], lambda a, b: (a * one["n"] + b * other["n"]) / (one["n"] + other["n"]))
+        state = cut_lineage(two.select(F.when(F.size("g") == 1, one["v"]).otherwise(mean).alias("v"), "c", "n"), "ward")
+        own = cut_lineage(own.join(to, "c", "left").select("id", F.coalesce("to", "c").alias("c")), "ward-rows")
 
-    return chosen.groupBy(F.lit(0).alias("__g")).applyInPandas(lambda pdf: of(pdf[["id", "v"]]), "id long, cluster long")
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c", ignore_index=True)
+        labels, heights = ward_tree(matrix(pdf["v"]), min(k, len(pdf)), pdf["n"].to_numpy())
+        return pd.DataFrame({"c": pdf["c"], "cluster": labels, "heights": [heights] * len(pdf)})
+
+    last = cut_lineage(state.groupBy(F.lit(0).alias("__g")).applyInPandas(lambda pdf: of(pdf[["c", "v", "n"]]), "c long, cluster long, heights array<double>"), "ward-last")
+    if k > 2 and early:
+        late = last.select("heights").first()[0]
+        least = sorted(early + late)[-(k - 1)]
+        if max(early) > min(late):
+            return ward(points, k, rows=rows, id=id, features=features, below=least)
+    return own.join(last, "c").select("id", "cluster")
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, *, id: str = "id", features: str = "features", rows: int = 2_000) -> DataFrame:
