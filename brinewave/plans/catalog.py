@@ -338,7 +338,7 @@ def q29_logreg(spark, sf_dir):
 
 @query()
 def q30_random_forest(spark, sf_dir):
-    return _scores(models.leave_one_record_out(V.points(spark, sf_dir), lambda a, b: models.random_forest(a, b, trees=20, depth=8)))
+    return _scores(models.leave_one_record_out(V.points(spark, sf_dir), models.random_forest))
 
 
 @query()
