@@ -9,9 +9,9 @@ ends there, and each word's is mixed with its share of the training tokens:
     P(word) = MIX * count / tokens + (1 - MIX) * P(ids of the word | context)
 
 What comes from the corpus: word counts of all training texts, by Spark; counts of all subword ids, from each distinct
-word once; attention weights by rounds of local steps on shards of the training texts that hold the share TRAIN_SHARE
-of them, averaged after each round. All three grow with the input; the classes come from the subword counts and from
-neighbour counts of the same shards.
+word once; attention weights by rounds of local steps on all training texts, each partition by itself, averaged after each
+round. The classes come from the subword counts and from the neighbour counts of all training texts. The network's
+input are the ids themselves, in INPUTS rows by their remainder.
 
 The base score is an add-one unigram over words. The TOP_WORDS most frequent words' counts travel to the tasks; the
 occurrences of all others are joined to the counts by word, and none of those words can be more than one in TOP_WORDS
@@ -40,14 +40,14 @@ from brinewave.llm.byte_bpe import coder, default_vocabulary
 from brinewave.llm.common import fold, materialize, table
 
 TOP_WORDS = 50_000
-TRAIN_SHARE = 64  # one in so many training texts trains the attention weights
 ROUNDS = 2
-LEAST_STEPS = 400  # local steps of a shard and round at least, by passing over it again, PASSES times at most
+LEAST_STEPS = 400  # local steps of a partition and round at least, by passing over it again, PASSES times at most
 PASSES = 8
 PAIRS = 400_000  # pairs of neighbouring ids within words that are kept, the most frequent
 CLASSES, SINGLE = 128, 96  # classes; those of one id each
 WIDTH, HIDDEN = 24, 32
-WINDOW, OVERLAP = 32, 8
+INPUTS = 4_096  # rows of the table of embeddings
+WINDOW, OVERLAP = 32, 16
 MIX = 0.4
 STRIDE = WINDOW - OVERLAP
 CACHE = 200_000
@@ -129,11 +129,11 @@ class Encoder:
 
 @dataclass
 class Network:
-    """One block of causal self-attention over class embeddings; flat keeps all weights in one vector."""
+    """One block of causal self-attention over embeddings of ids; flat keeps all weights in one vector."""
 
     flat: np.ndarray
 
-    SHAPES = (("e", (CLASSES, WIDTH)), ("p", (WINDOW, WIDTH)), ("qkv", (WIDTH, 3 * WIDTH)), ("o", (WIDTH, WIDTH)), ("u", (WIDTH, HIDDEN)), ("v", (HIDDEN, WIDTH)), ("w", (WIDTH, CLASSES)), ("b", (1, CLASSES)))
+    SHAPES = (("e", (INPUTS, WIDTH)), ("p", (WINDOW, WIDTH)), ("qkv", (WIDTH, 3 * WIDTH)), ("o", (WIDTH, WIDTH)), ("u", (WIDTH, HIDDEN)), ("v", (HIDDEN, WIDTH)), ("w", (WIDTH, CLASSES)), ("b", (1, CLASSES)))
     SIZE = sum(a * b for _, (a, b) in SHAPES)
     MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
@@ -154,9 +154,9 @@ class Network:
             at += size
         raise KeyError(name)
 
-    def attend(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hidden states (windows, WINDOW, WIDTH) of class ids (windows, WINDOW), and what the gradient needs."""
-        x = self.part("e")[classes] + self.part("p")
+    def attend(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden states (windows, WINDOW, WIDTH) of rows of embeddings (windows, WINDOW), and what the gradient needs."""
+        x = self.part("e")[inputs] + self.part("p")
         qkv = x.reshape(-1, WIDTH) @ self.part("qkv")
         q, k, v = (np.ascontiguousarray(qkv[:, i * WIDTH : (i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
         a = np.matmul(q, k.transpose(0, 2, 1))
@@ -180,9 +180,9 @@ class Network:
         both = logits @ np.stack([np.ones(CLASSES, np.float32), begins], axis=1)
         return picked - np.log(both[:, 0]), np.log(np.maximum(both[:, 1], 1e-30) / both[:, 0])
 
-    def gradient(self, classes: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float]:
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float]:
         """(gradient of the mean loss, mean loss) over the live places of some windows."""
-        out, x, q, k, v, a, c, h, r = self.attend(classes)
+        out, x, q, k, v, a, c, h, r = self.attend(inputs)
         g = Network(np.zeros_like(self.flat))
         flat = out.reshape(-1, WIDTH)[live.ravel()]
         logits = flat @ self.part("w") + self.part("b")
@@ -195,7 +195,7 @@ class Network:
         p /= n
         g.part("w")[:] = flat.T @ p
         g.part("b")[0] = p.sum(axis=0)
-        d = np.zeros((classes.size, WIDTH), np.float32)
+        d = np.zeros((inputs.size, WIDTH), np.float32)
         d[live.ravel()] = p @ self.part("w").T
         g.part("v")[:] = r.T @ d
         dr = (d @ self.part("v").T) * (r > 0)
@@ -211,7 +211,7 @@ class Network:
         g.part("qkv")[:] = x.reshape(-1, WIDTH).T @ dqkv
         dx = (dh + dqkv @ self.part("qkv").T).reshape(x.shape)
         g.part("p")[:] = dx.sum(axis=0)
-        np.add.at(g.part("e"), classes.ravel(), dx.reshape(-1, WIDTH))
+        np.add.at(g.part("e"), inputs.ravel(), dx.reshape(-1, WIDTH))
         return g.flat, loss
 
 
@@ -280,14 +280,14 @@ class Model:
         class_of = self.counts.class_of
         target = np.roll(ids, -1)
         target[np.cumsum(lengths) - 1] = len(class_of) - 1
-        classes, goal = class_of[ids], class_of[target]
+        inputs, goal = ids % INPUTS, class_of[target]
         found, border = np.zeros(len(ids)), np.zeros(len(ids))
         first, size, skip = windows(lengths)
         place = np.arange(WINDOW)
         for k in range(0, len(first), batch):
             f, s, o = first[k : k + batch, None], size[k : k + batch, None], skip[k : k + batch, None]
             at = np.minimum(f + place, len(ids) - 1)
-            hidden = self.network.attend(classes[at])[0]
+            hidden = self.network.attend(inputs[at])[0]
             scored = (place >= o) & (place < s)
             where = at[scored]
             found[where], border[where] = self.network.log_probs(hidden[scored], goal[where], self.begins)
@@ -308,20 +308,34 @@ class Model:
         return np.minimum(word, 0.0), np.minimum(ends, 0.0)
 
 
-def learn_classes(counts: np.ndarray, pairs: dict[tuple[int, int], int]) -> np.ndarray:
-    """Class of each id: the most frequent have one each, the others share by their neighbours, by a few k-means steps."""
+def singles(counts: np.ndarray) -> np.ndarray:
+    """Class of the ids that have one each, the most frequent; SINGLE for the others."""
+    own = np.full(len(counts), SINGLE)
+    order = np.lexsort((np.arange(len(counts)), -counts))[:SINGLE]
+    own[order] = np.arange(len(order))
+    return own
+
+
+def cells(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For neighbours a, b: the places in the table of neighbours, which has 2 * (SINGLE + 1) columns, of b after a and then of a before b."""
+    width = 2 * (SINGLE + 1)
+    return np.concatenate([b.astype(np.int64) * width + own[a], a.astype(np.int64) * width + SINGLE + 1 + own[b]])
+
+
+def learn_classes(counts: np.ndarray, pairs: dict[tuple[int, int], int], profile: np.ndarray | None = None) -> np.ndarray:
+    """Class of each id: the most frequent have one each, the others share by their neighbours, by a few k-means steps.
+
+    The neighbours are counted in pairs, or in profile, the table of neighbours."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     out = np.empty(len(counts), np.int16)
     single = order[:SINGLE]
     out[single] = np.arange(SINGLE)
     rest = order[SINGLE:]
-    own = np.full(len(counts), SINGLE)
-    own[single] = np.arange(SINGLE)
-    profile = np.zeros((len(counts), 2 * (SINGLE + 1)), np.float32)
-    if pairs:
-        a, b, n = (np.array(v) for v in zip(*((i, j, m) for (i, j), m in pairs.items()), strict=True))
-        np.add.at(profile, (b, own[a]), n)
-        np.add.at(profile, (a, SINGLE + 1 + own[b]), n)
+    if profile is None:
+        profile = np.zeros((len(counts), 2 * (SINGLE + 1)), np.float32)
+        if pairs:
+            a, b, n = (np.array(v) for v in zip(*((i, j, m) for (i, j), m in pairs.items()), strict=True))
+            np.add.at(profile.ravel(), cells(a, b, singles(counts)), np.concatenate([n, n]))
     x = np.sqrt(profile[rest])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     groups = CLASSES - SINGLE
@@ -362,7 +376,7 @@ def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.
     """One pass over the windows of some texts, in a shuffled order; the rate falls to a tenth over LEAST_STEPS."""
     target = np.roll(ids, -1)
     target[np.cumsum(lengths) - 1] = len(class_of) - 1
-    classes, goal = class_of[ids], class_of[target]
+    inputs, goal = ids % INPUTS, class_of[target]
     first, size, skip = windows(lengths)
     place = np.arange(WINDOW)
     order = state["rng"].permutation(len(first))
@@ -370,7 +384,7 @@ def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.
         w = order[k : k + batch]
         at = np.minimum(first[w, None] + place, len(ids) - 1)
         live = (place >= skip[w, None]) & (place < size[w, None])
-        g, _ = net.gradient(classes[at], goal[at], live)
+        g, _ = net.gradient(inputs[at], goal[at], live)
         state["t"] += 1
         state["m"] += 0.1 * (g - state["m"])
         state["s"] += 0.01 * (g * g - state["s"])
@@ -380,7 +394,7 @@ def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.
 
 
 def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, vocabulary: tuple[str, str], rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps on each shard, then the mean of the shards' weights, by the windows they saw; summed by Spark."""
+    """Rounds of local steps on each partition, then the mean of the partitions' weights, by the windows they saw; summed by Spark."""
     net = Network.fresh(log_share)
     sc = documents.sparkSession.sparkContext
     for r in range(rounds):
@@ -446,14 +460,16 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         at = np.flatnonzero(single)
         yield pd.DataFrame({"key": [*at.tolist(), *pairs.keys()], "n": [*single[at].tolist(), *pairs.values()]}, dtype="int64")
 
-    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, pairs = Encoder(*vocabulary), Counter()
+    def count_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, own, width = Encoder(*vocabulary), own_class.value, 2 * (SINGLE + 1)
+        table = np.zeros(len(own) * width, np.int64)
         for pdf in batches:
             for texts in text_groups(pdf["text"]):
                 ids, _ = encoder.texts(texts)
-                key, n = np.unique(ids[:-1].astype(np.int64) << 20 | ids[1:], return_counts=True)
-                pairs.update(dict(zip(key.tolist(), n.tolist(), strict=True)))
-        yield pd.DataFrame({"pair": list(pairs.keys()), "n": list(pairs.values())}, dtype="int64")
+                at, n = np.unique(cells(ids[:-1], ids[1:], own), return_counts=True)
+                table[at] += n
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"cell": at, "n": table[at]})
 
     bpe = coder(*vocabulary)
     size = bpe.base + 1
@@ -463,17 +479,17 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     id_counts[ids["key"].to_numpy(np.int64)] = ids["n"].to_numpy(float)
     id_counts[size - 1] = n_train
     inner = gathered.where(F.col("key") >= 1 << 20).orderBy(F.desc("n"), "key").limit(PAIRS).toPandas()
-    shards = training.where(F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(TRAIN_SHARE)) == 0).select("text")
-    shards = materialize(shards.repartition(spark.sparkContext.defaultParallelism), "shards")
-    # Neighbours of ids across words too: the most frequent pairs are enough to group ids, at most some for each id.
-    pairs = shards.mapInPandas(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(8 * size)
-    neighbours = {(int(r.pair) >> 20, int(r.pair) & (1 << 20) - 1): r.n for r in pairs.collect()}
-    class_of = learn_classes(id_counts, neighbours)
+    train_texts = training.select("text")
+    own_class = spark.sparkContext.broadcast(singles(id_counts))
+    near = train_texts.mapInPandas(count_neighbours, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    profile = np.zeros((size, 2 * (SINGLE + 1)), np.float32)
+    profile.ravel()[near["cell"].to_numpy(np.int64)] = near["n"].to_numpy(np.float32)
+    class_of = learn_classes(id_counts, {}, profile)
     log_within, log_share = within(id_counts, class_of)
     starts = np.array([t[:1] == b" " for t in bpe.bytes_of] + [True])
     weight = id_counts + FRACTION
     begins = (np.bincount(class_of, weights=weight * starts, minlength=CLASSES) / np.maximum(np.bincount(class_of, weights=weight, minlength=CLASSES), 1e-9)).astype(np.float32)
-    network = train(shards, class_of, log_share, vocabulary) if n_train else Network(np.zeros(Network.SIZE, np.float32))
+    network = train(train_texts, class_of, log_share, vocabulary) if n_train else Network(np.zeros(Network.SIZE, np.float32))
     fixed = Fixed.of(class_of, log_within, inner["key"].to_numpy(np.int64) - (1 << 20), inner["n"].to_numpy(float))
     shared = spark.sparkContext.broadcast((Model(fixed, network, begins), top))
     end_known, end_base = int(n_train > 0), math.log10((n_train + 1) / denominator)

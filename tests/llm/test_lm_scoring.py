@@ -87,3 +87,15 @@ def test_rare_words_by_the_join(docs, texts, monkeypatch):
     all_ = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in L.score(docs).collect())
     monkeypatch.setattr(L, "TOP_WORDS", 5)
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in L.score(docs).collect()) == all_
+
+
+def test_attention_and_classes_see_every_training_text(docs, texts, monkeypatch):
+    seen, neighbours = [], []
+    learn = L.learn_classes
+    monkeypatch.setattr(L, "train", lambda documents, *_: seen.extend(r.text for r in documents.collect()) or L.Network(np.zeros(L.Network.SIZE, np.float32)))
+    monkeypatch.setattr(L, "learn_classes", lambda counts, *how: neighbours.append((counts.sum(), how)) or learn(counts, *how))
+    out = L.score(docs)
+    assert Counter(seen) == Counter(r.text for r in docs.withColumn("h", L.held_out()).where("not h").collect())
+    (total, how), = neighbours
+    assert how[-1].sum() >= 2 * (total - len(seen)) > 0  # every id but the ends is a neighbour on two sides
+    assert out.count() == len(texts)
