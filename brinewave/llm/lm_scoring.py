@@ -43,7 +43,7 @@ TOP_WORDS = 50_000
 ROUNDS = 2
 LEAST_STEPS = 400  # local steps of a partition and round at least, by passing over it again, PASSES times at most
 PASSES = 8
-PAIRS = 400_000  # pairs of neighbouring ids within words that are kept, the most frequent
+PAIRS = 400_000  # pairs of neighbouring ids within words whose counts travel to the tasks; those of all others are joined by word
 CLASSES, SINGLE = 128, 96  # classes; those of one id each
 WIDTH, HIDDEN = 24, 32
 INPUTS = 4_096  # rows of the table of embeddings
@@ -76,11 +76,12 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Encoder:
     """Subword ids of words, each word by itself with a space before it. Slot 0 is the end of a text, as a word of one id.
 
-    fixed: what the count model gives a word, from its ids; counts: frequent words, which are never forgotten.
+    fixed: what the count model gives a word, from its ids; counts: frequent words, which are never forgotten; extra: what
+    pairs of ids that aren't in fixed add to these.
     """
 
-    def __init__(self, path: str, pattern: str, fixed: Fixed | None = None, counts: dict[bytes, int] | None = None) -> None:
-        self.bpe, self.of, self.frequent = coder(path, pattern), fixed, counts or {}
+    def __init__(self, path: str, pattern: str, fixed: Fixed | None = None, counts: dict[bytes, int] | None = None, extra: dict[bytes, float] | None = None) -> None:
+        self.bpe, self.of, self.frequent, self.extra = coder(path, pattern), fixed, counts or {}, extra or {}
         self.end = self.bpe.base  # an id of its own for the end of a text
         self.reset()
 
@@ -102,7 +103,7 @@ class Encoder:
         self.slot.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.start = np.concatenate([self.start, start + len(self.ids)])
         self.ids, self.size = np.concatenate([self.ids, flat]), np.concatenate([self.size, size])
-        self.fixed = np.concatenate([self.fixed, self.of.words(flat, start, size) if self.of else np.zeros(len(rows))])
+        self.fixed = np.concatenate([self.fixed, self.of.words(flat, start, size) + [self.extra.get(w, 0.0) for w in words] if self.of else np.zeros(len(rows))])
         self.count = np.concatenate([self.count, np.array([self.frequent.get(w, np.nan) for w in words], float)])
 
     def slots(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -241,9 +242,13 @@ class Fixed:
     class_counts: np.ndarray
 
     @classmethod
-    def of(cls, class_of: np.ndarray, log_within: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Fixed:
+    def of(cls, class_of: np.ndarray, log_within: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: tuple[np.ndarray, np.ndarray] | None = None) -> Fixed:
+        """totals: class_keys and class_counts of all pairs, where keys are only some."""
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
+        if totals is not None:
+            order = np.argsort(totals[0])
+            return cls(class_of, log_within, keys, counts, totals[0][order], totals[1][order])
         by_class, at = np.unique((keys >> 20) << 20 | class_of[keys & (1 << 20) - 1].astype(np.int64), return_inverse=True)
         return cls(class_of, log_within, keys, counts, by_class, np.bincount(at, weights=counts, minlength=len(by_class)) if len(keys) else np.zeros(0))
 
@@ -294,7 +299,7 @@ class Model:
         return found, border
 
     def words(self, encoder: Encoder, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of each slot's word in its context, of the end of each text); slot 0 gets 0."""
+        """(log probability of each slot's word in its context, which may be a little above 0, of the end of each text); slot 0 gets 0."""
         ids, first = encoder.expand(slots)
         begin = first[slots == 0]
         lengths = np.diff(np.append(begin, len(ids)))
@@ -305,7 +310,7 @@ class Model:
         edge = np.append(first[1:], len(ids)) - 1
         word = np.add.reduceat(shifted, first) + encoder.fixed[slots] - border[np.maximum(first - 1, 0)] + border[edge]
         word[slots == 0] = 0.0
-        return np.minimum(word, 0.0), np.minimum(ends, 0.0)
+        return word, np.minimum(ends, 0.0)
 
 
 def singles(counts: np.ndarray) -> np.ndarray:
@@ -490,20 +495,60 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     weight = id_counts + FRACTION
     begins = (np.bincount(class_of, weights=weight * starts, minlength=CLASSES) / np.maximum(np.bincount(class_of, weights=weight, minlength=CLASSES), 1e-9)).astype(np.float32)
     network = train(train_texts, class_of, log_share, vocabulary) if n_train else Network(np.zeros(Network.SIZE, np.float32))
-    fixed = Fixed.of(class_of, log_within, inner["key"].to_numpy(np.int64) - (1 << 20), inner["n"].to_numpy(float))
-    shared = spark.sparkContext.broadcast((Model(fixed, network, begins), top))
+    kept = np.sort(inner["key"].to_numpy(np.int64))
+    counted = spark.sparkContext.broadcast((class_of, log_within, kept))
+
+    def class_totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes = counted.value[0]
+        for pdf in batches:
+            key = pdf["key"].to_numpy(np.int64) - (1 << 20)
+            yield pd.DataFrame({"key": key >> 20 << 20 | classes[key & (1 << 20) - 1].astype(np.int64), "n": pdf["n"]})
+
+    def other_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(word, key, prior) for each pair within a word that isn't kept; prior is what its count is added to."""
+        _, log_share_of, keys = counted.value
+        encoder = Encoder(*vocabulary)
+        for pdf in batches:
+            for k in range(0, len(pdf), 20_000):
+                words = pdf["word"].iloc[k : k + 20_000].tolist()
+                encoder.reset()
+                encoder.learn(words)
+                slots = np.arange(1, len(words) + 1)
+                ids, first = encoder.expand(slots)
+                inner = np.ones(len(ids), bool)
+                inner[first] = False
+                here = np.flatnonzero(inner)
+                key = (ids[here - 1].astype(np.int64) + 1) << 20 | ids[here]
+                new = ~np.isin(key, keys)
+                word = np.repeat(np.arange(len(words)), encoder.size[slots])[here][new]
+                yield pd.DataFrame({"word": [words[i] for i in word.tolist()], "key": key[new], "prior": BACKOFF * np.exp(log_share_of[ids[here][new]])})
+
+    all_pairs = gathered.where(F.col("key") >= 1 << 20)
+    totals = all_pairs.mapInPandas(class_totals, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    fixed = Fixed.of(class_of, log_within, kept - (1 << 20), inner.sort_values("key")["n"].to_numpy(float), (totals["key"].to_numpy(np.int64), totals["n"].to_numpy(float)))
+    known, extra = counts.withColumn("extra", F.lit(0.0)), {}
+    if all_pairs.count() > len(kept):
+        unseen = docs.where("held_out").select("text").mapInPandas(count_words, "word binary, n long").select("word")
+        each = counts.select("word").union(unseen).distinct()
+        more = each.mapInPandas(other_pairs, "word binary, key long, prior double").join(all_pairs, "key")
+        more = materialize(more.groupBy("word").agg(F.sum(F.log1p(F.col("n") / F.col("prior"))).alias("extra")), "pairs")
+        often = counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word")
+        extra = {bytes(r.word): r.extra for r in more.join(often, "word").collect()}
+        known = counts.join(more, "word", "full").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("extra", F.lit(0.0)).alias("extra"))
+    shared = spark.sparkContext.broadcast((Model(fixed, network, begins), top, extra))
     end_known, end_base = int(n_train > 0), math.log10((n_train + 1) / denominator)
     total = float(max(tokens, 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = shared.value
-        encoder = Encoder(*vocabulary, model.counts, top)
+        model, top, extra = shared.value
+        encoder = Encoder(*vocabulary, model.counts, top, extra)
         row, ln10 = TaskContext.get().partitionId() << 40, math.log(10)
         for batch in batches:
             done = 0
             for texts in text_groups(batch.column("text").to_pylist()):
                 slots = encoder.slots(texts)
-                word, end = model.words(encoder, slots)
+                raw, end = model.words(encoder, slots)
+                word = np.minimum(raw, 0.0)
                 at = np.flatnonzero(slots == 0)
                 count = encoder.count[slots]
                 few = np.isnan(count) & (slots > 0)
@@ -523,7 +568,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(texts))), batch.column("doc_id").slice(done, len(texts)), batch.column("held_out").slice(done, len(texts)), pa.array(n + 1),
                      pa.array(end_known + n - sums(few.astype(np.int64))), pa.array(end_base + sums(base)), pa.array(score),
-                     lists([flat[i] for i in places.tolist()], pa.binary()), lists(word[places], pa.float64())],
+                     lists([flat[i] for i in places.tolist()], pa.binary()), lists(raw[places], pa.float64())],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "context"],
                 )
                 done += len(texts)
@@ -533,10 +578,11 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     scored = materialize(plain.mapInArrow(scan, kind), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "context")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.context").alias("context"))
-    rare = rare.join(counts, "word")
-    unseen = F.lit(1 - MIX) * F.exp("context")
-    gain = F.log10((F.lit(MIX) * F.col("c") / total + unseen) / F.greatest(unseen, F.lit(1e-300)))
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("plus"), F.sum(gain).alias("gain"))
+    rare = rare.join(known, "word")
+    before, after = F.least("context", F.lit(0.0)), F.least(F.col("context") + F.col("extra"), F.lit(0.0))
+    gain = F.log10(F.lit(MIX) * F.col("c") / total + F.lit(1 - MIX) * F.exp(after)) - math.log10(1 - MIX) - before / math.log(10)
+    gain = F.when(F.col("c") == 0, (after - before) / math.log(10)).otherwise(gain)
+    rare = rare.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("plus"), F.sum(gain).alias("gain"))
     out = scored.drop("rare", "context").join(rare, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),

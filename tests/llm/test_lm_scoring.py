@@ -99,3 +99,13 @@ def test_attention_and_classes_see_every_training_text(docs, texts, monkeypatch)
     (total, how), = neighbours
     assert how[-1].sum() >= 2 * (total - len(seen)) > 0  # every id but the ends is a neighbour on two sides
     assert out.count() == len(texts)
+
+
+def test_pairs_beyond_those_that_travel_count_too(docs, monkeypatch):
+    monkeypatch.setattr(L, "train", lambda *_: L.Network(np.zeros(L.Network.SIZE, np.float32)))
+    monkeypatch.setattr(L, "TOP_WORDS", 40)
+    take = lambda: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in L.score(docs).collect())
+    whole = take()
+    monkeypatch.setattr(L, "PAIRS", 10)
+    for a, b in zip(whole, take(), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * abs(a[4])
