@@ -34,6 +34,21 @@ def zscore(samples: DataFrame, *, by: Sequence[str] = ("record_id", "channel"),
     return joined.withColumn("z", (F.col(value) - F.col("mean")) / sd).drop("mean", "std")
 
 
+def standardise(samples: Column, eps: float = DEFAULT.zscore_eps) -> Column:
+    """Arrays of samples less their mean, over their population deviation; a deviation under eps counts as eps.
+
+    A kernel on Arrow batches, because an expression of the whole array would be put back into the lambda that divides
+    each sample by it, and be evaluated for each.
+    """
+
+    @pandas_udf("array<double>")
+    def of(rows: pd.Series) -> pd.Series:
+        arrays = [None if x is None else np.asarray(x, float) for x in rows]
+        return pd.Series([x if x is None or not len(x) else (x - x.mean()) / max(float(x.std()), eps) for x in arrays])
+
+    return of(samples)
+
+
 def windowed_sinc(n: int, low: float, high: float, rate: float) -> list[float]:
     """Taps of a band-pass of odd length n with a Hamming window, scaled to gain 1 in the middle of the band."""
     k = np.arange(n) - (n - 1) / 2

@@ -24,11 +24,7 @@ def preprocess(chunks: DataFrame, rate: float, config: Config = DEFAULT, *, targ
         x = signal.clean_records(x, rate)
     else:
         x = x.select("record_id", "channel", "samples", F.lit("skipped").alias("status"), F.lit("not asked for").alias("reason"), F.array().cast("array<int>").alias("removed"))
-    mean = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v) / F.size("samples")
-    x = x.withColumn("__m", mean)
-    sd = F.sqrt(F.aggregate("samples", F.lit(0.0), lambda s, v: s + (v - F.col("__m")) * (v - F.col("__m"))) / F.size("samples"))
-    x = x.withColumn("__s", F.greatest(sd, F.lit(config.zscore_eps)))
-    x = x.withColumn("samples", F.transform("samples", lambda v: (v - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
+    x = x.withColumn("samples", signal.standardise(F.col("samples"), config.zscore_eps))
     x = x.withColumn("samples", signal.resample(F.col("samples"), F.lit(rate), config.target_hz, config.rate_tolerance))
     return x.withColumn("steps", F.array(*[F.lit(s) for s in ("band_pass", "ica", "zscore", "resample")]))
 
