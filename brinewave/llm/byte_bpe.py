@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import table
+from brinewave.llm.common import portions, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE = 150_000  # stretches of text in each of a worker's two generations of memory
+CACHE_BYTES = 24 << 20  # of each of a worker's two generations of remembered stretches, with what Python adds to each
 PLAIN = ".,;:!?%&*$#|()-\""  # punctuation that ends a stretch as one piece
 SIDE_BY_SIDE = 64  # bytes of the longest piece that is merged among others
 NONE = np.int64(1) << 60
@@ -58,14 +58,19 @@ class Bpe:
             self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.ids = list(range(self.base))  # one object for each id, which all remembered stretches share
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
         lines = Path(path).read_bytes().split(b"\n")
         return cls({base64.b64decode(t): int(r) for t, r in (x.split() for x in lines if x.strip())}, pattern)
 
+    def forget(self) -> None:
+        """Drop all remembered stretches."""
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # bytes that cache takes, about
+
     def hash_pairs(self) -> None:
         """Lay the pairs out for vectorised look-up: open addressing, at most half full."""
         bits = max(4, (4 * len(self.pairs)).bit_length())
@@ -224,16 +229,18 @@ class Bpe:
         split = {s: [m.encode("utf-8", "surrogatepass") for m in self.split(s)] for s in new}
         ids = self.encode_pieces(set(chain.from_iterable(split.values())))
         for s, pieces in split.items():
-            self.cache[s] = ids[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(ids[p] for p in pieces))
+            self.cache[s] = own = ids[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(ids[p] for p in pieces))
+            self.held += 200 + len(s) + 8 * len(own)
 
     def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of whole texts."""
-        if len(self.cache) > CACHE:  # what isn't used again in a generation is forgotten
-            self.cache, self.older = {}, self.cache
+        if self.held > CACHE_BYTES:  # what isn't used again in a generation is forgotten
+            self.cache, self.older, self.held = {}, self.cache, 0
         cut = [STRETCH.findall(x) if x else [] for x in texts]
         new = set(chain.from_iterable(cut)).difference(self.cache)
         known = new.intersection(self.older)
         self.cache.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self.held += 200 * len(known)
         self.learn_stretches(new - known)
         get = self.cache.__getitem__
         return [list(chain.from_iterable(map(get, c))) for c in cut]
@@ -248,19 +255,6 @@ def coder(path: str, pattern: str) -> Bpe:
     return Bpe.load(path, pattern)
 
 
-def groups(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
-    """Consecutive texts of about so many characters together."""
-    out, size = [], 0
-    for x in texts:
-        out.append(x)
-        size += len(x or "")
-        if size >= chars:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 def default_vocabulary() -> tuple[str, str]:
     """(path, pattern) of the public vocabulary for many languages."""
     import public_tokenizers
@@ -280,7 +274,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for texts in batches:
-            yield pa.concat_arrays([id_lists(bpe.encode_texts(some)) for some in groups(texts.to_pylist())])
+            for some in portions(texts):
+                yield id_lists(bpe.encode_texts(some))
 
     return ids_of(text)
 
@@ -309,9 +304,9 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
         for texts in batches:
-            ids = [id_lists(bpe.encode_texts(some)) for some in groups(texts.to_pylist())]
-            done = [pa.StructArray.from_arrays([x, decoded_rows(bpe, x)], ["ids", "decoded"]) for x in ids]
-            yield pa.concat_arrays(done)
+            for some in portions(texts):
+                ids = id_lists(bpe.encode_texts(some))
+                yield pa.StructArray.from_arrays([ids, decoded_rows(bpe, ids)], ["ids", "decoded"])
 
     coded = documents.withColumn("__coded", both(F.col("text")))
     return coded.withColumns({"ids": F.col("__coded.ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,14 @@ def fold(column: str, modulus: int) -> Column:
 def n_words(text: Column) -> Column:
     """How many words a text has; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def portions(texts: pa.Array, size: int = 500_000) -> Iterator[list[str | None]]:
+    """Consecutive texts of about so many bytes together, as Python strings, so that a batch of long texts is never held twice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        start = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, start + size, side="right")))
+        yield texts.slice(at, end - at).to_pylist()
+        at = end

@@ -8,21 +8,24 @@ signatures are compared batch by batch, and the pair is dropped as soon as the p
 similarity reaches the threshold is under the chosen miss probability. What survives is verified on the full sets, and
 connected components follow from alternating star contraction.
 
-Candidates of a band bucket are not all its pairs. In each round every bucket has one pivot, and only pairs of the
-pivot with members that are not yet in its component are tested; the components found make the next round smaller.
-When what is left across components is no more than a few pairs for each member, these pairs are tested as they are,
-so no link between components is skipped.
+Candidates of a band bucket are not all its pairs. In each of PIVOTS rounds every bucket has one pivot, and only pairs
+of the pivot with members that are not yet in its component are tested; the components found make the next round
+smaller. What is left across components then meets within small buckets; members of large ones meet only where exact
+bounds on their full sets allow a link (`prefix_pairs`), so no link between components is skipped.
 
 Defined cases. A null, empty or blank text has no shingles: it is linked with nothing and is its own component. With
-fewer words than a shingle has, the whole sequence is the one shingle. Rows with equal doc_id count as one document
-for the links. A row without doc_id takes part in no link; its component_id is that of the documents with the same
-set, else null, and kept is false. Extra columns are kept by `mark`.
+fewer words than a shingle has, the whole sequence is the one shingle. Very long texts are taken whole. Rows with equal
+doc_id count as one document for the links. A row without doc_id takes part in no link; its component_id is that of the
+documents with the same set, else null, and kept is false. Ties of similarity can't occur: a pair at exactly the
+threshold is linked. An empty table gives no rows. `mark` reads doc_id and text and returns its own columns only, so
+extra columns and their names don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -33,15 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from brinewave.llm.common import materialize, table
+from brinewave.llm.common import WORD, materialize, portions, table
 
 HASHES = 192  # values of a signature
 BANDS = 96
 BAND_MISS = 1e-4  # probability that a pair at the threshold shares no band, at most
 PRUNE_MISS = 1e-6  # posterior probability under which a candidate pair is dropped
 BATCH = 32  # signature values compared at once
-MAX_PIVOTS = 6
-PAIRS_PER_MEMBER = 4
+PIVOTS = 3  # rounds in which each bucket's members meet one of them
+SMALL_BUCKET = 16  # members of a bucket whose pairs are tested as they are, after these rounds
+PRUNINGS = 2  # times that texts which can't be linked any more are dropped, before the rest meets
+SIZE_STEP = 1.03  # from one class of set sizes to the next
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -121,15 +126,15 @@ def signature(h: np.ndarray, n: int) -> np.ndarray:
 def digest(text: Column, size: int, hashes: int) -> Column:
     """Struct of a text: number of shingles, 128-bit key of the set, signature; the last two null for an empty set."""
 
-    @pandas_udf("n long, set_key string, sig binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("n long, set_key string, sig binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[bytes, int] = {}
-        for texts in batches:
+        for texts in chain.from_iterable(map(portions, batches)):
             rows = []
             for x in texts:
                 h = shingles(x, size, cache)
                 rows.append((len(h), xxhash.xxh3_128_hexdigest(h.tobytes()), signature(h, hashes).tobytes()) if len(h) else (0, None, None))
-            yield pd.DataFrame(rows, columns=["n", "set_key", "sig"])
+            yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["n", "set_key", "sig"])
 
     return of(text)
 
@@ -140,12 +145,22 @@ def set_of(text: Column, size: int) -> Column:
     @arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[bytes, int] = {}
-        for texts in batches:
-            yield pa.array([shingles(x, size, cache).tobytes() for x in texts.to_pylist()], pa.binary())
+        for texts in chain.from_iterable(map(portions, batches)):
+            yield pa.array([shingles(x, size, cache).tobytes() for x in texts], pa.binary())
 
     return of(text)
 
 
+def elements_of(elements: Column) -> Column:
+    """The hashes of a set as array<long>."""
+
+    @pandas_udf("array<long>")
+    def of(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in sets])
+
+    return of(elements)
+
+
 @lru_cache(maxsize=8)
 def least_matches(hashes: int, similarity: float, miss: float) -> list[tuple[int, int]]:
     """(n, m) for each batch: after n values, a pair needs m equal ones to go on.
@@ -226,6 +241,50 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) from different components that share a bucket and can reach percent by exact bounds; rest has node, component and buckets.
+
+    All elements have one common order: those that only one component holds, then the rare before the frequent. Sets of
+    na and nb elements need w = percent * (na + nb) / (100 + percent) in common, so they share one of the first
+    na - w + 1 of a and the first nb - w + 1 of b, and at least w of each are held by another component. Partners come
+    in classes of sizes, so w is known before the partner is. Most members of a family whose texts drifted apart have
+    nothing in common within those bounds and drop out before any pair is made.
+    """
+    # An item is a node's set; a doc_id that is repeated with several texts has several.
+    e = rest.join(sets, "node").withColumn("item", F.xxhash64("node", "elements")).dropDuplicates(["item"])
+    e = e.select("item", "node", "component", "buckets", elements_of(F.col("elements")).alias("elements")).withColumn("n", F.size("elements"))
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    e = small(e.withColumn("class", size_class(F.col("n"))), "rest")
+    for k in range(PRUNINGS):
+        held = e.select("item", "component", F.explode("elements").alias("element"))
+        order = held.groupBy("element").agg(F.count("*").alias("times"), (F.min("component") < F.max("component")).alias("several"))
+        ranked = held.select("item", "element").join(order, "element").groupBy("item").agg(F.sort_array(F.collect_list(F.struct("several", "times", "element"))).alias("ranked"))
+        x = e.join(ranked, "item").withColumn("own", F.size(F.filter("ranked", lambda r: ~r["several"])))
+        # A partner's class, from the smallest to the largest that the sizes allow; one more each way for rounding.
+        near = F.sequence(size_class(F.ceil(F.col("n") * percent / 100)) - 1, size_class(F.floor(F.col("n") * 100 / percent)) + 1)
+        x = x.select("item", "node", "component", "n", "own", "class", "buckets", "ranked", F.explode(near).alias("other"))
+        least = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), F.col("other"))), F.ceil(F.col("n") * percent / 100), F.lit(1))
+        common_at_least = F.ceil(percent * (F.col("n") + least) / (100 + percent) - 1e-9)
+        first = F.slice("ranked", 1, F.greatest(F.col("n") - common_at_least + 1, F.lit(0)).cast("int"))
+        first = F.transform(F.filter(first, lambda r: r["several"]), lambda r: r["element"])
+        x = x.withColumn("first", first).where(F.size("first") > 0)
+        x = x.select("item", "node", "component", "n", "own", "buckets", "first", F.least("class", "other").alias("c0"), F.greatest("class", "other").alias("c1"), F.explode("first").alias("element"))
+        x = x.withColumn("first", F.when(F.size("first") <= 64, F.col("first")))
+        # Within a key, pairs of its largest component with itself are never formed: what isn't of that component meets all.
+        key = ["element", "c0", "c1"]
+        parts = x.groupBy(*key, "component").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        x = small(x.join(parts.drop("parts"), key), "prefixes")
+        if k < PRUNINGS - 1:
+            e = small(e.join(x.select("item").distinct(), "item", "left_semi"), "rest")
+    side = lambda a: x.select(*key, "most", *[F.col(c).alias(f"{c}_{a}") for c in ("node", "component", "n", "own", "buckets", "first")])
+    a, b = side("a").where("component_a <> most"), side("b").drop("most")
+    enough = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    once = F.coalesce(F.array_min(F.array_intersect("first_a", "first_b")) == F.col("element"), F.lit(True))
+    several = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
+    met = a.join(b, key).where(several & enough & F.arrays_overlap("buckets_a", "buckets_b") & once)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_MISS) -> tuple[DataFrame, DataFrame]:
     """(base, nodes): base has doc_id, n_shingles and set_key of every row; nodes has set_key and component of every set."""
     similarity = percent / 100
@@ -254,36 +313,34 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
         return small(exact.where(100 * F.col("i") >= percent * union).select("a", "b").distinct(), "links")
 
     found, part, tested = None, None, None
-    for k in range(MAX_PIVOTS + 1):
+    for k in range(PIVOTS + 1):
         if part is None:
             placed = members.withColumn("component", F.col("node"))
         else:
             placed = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
-        pivot = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        left = placed.join(pivot.select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("pc")), "bucket")
-        if k:
-            left = small(left, "left")
-            sizes = left.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("nn"))
-            n, across = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()
-            if not n:
-                break
-            last = k == MAX_PIVOTS or across <= PAIRS_PER_MEMBER * n
-            if last:  # all pairs across components: few for each member, or else the only exact way that is left
-                x, y = (left.select("bucket", F.col("node").alias(a), F.col("component").alias(f"c{a}")) for a in "ab")
-                pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b")
-        if k == 0 or not last:
+        pivot = placed.groupBy("bucket").agg(
+            F.min_by(F.struct("node", "component"), order).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")
+        ).where("c0 < c1")
+        left = placed.join(pivot.select("bucket", "size", F.col("p.node").alias("pivot"), F.col("p.component").alias("pc")), "bucket")
+        if k < PIVOTS:
             pairs = left.where("component <> pc").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        else:  # what no pivot has joined
+            left = small(left.select("bucket", "size", "node", "component"), "left")
+            x, y = (left.where(F.col("size") <= SMALL_BUCKET).select("bucket", F.col("node").alias(a), F.col("component").alias(f"c{a}")) for a in "ab")
+            pairs = x.join(y, "bucket").where("a < b and ca <> cb").select("a", "b")
+            rest = left.where(F.col("size") > SMALL_BUCKET).groupBy("node").agg(F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))
+            pairs = pairs.unionAll(prefix_pairs(rest, sets, percent))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = small(pairs, "pairs")
+        if k and pairs.isEmpty():
+            continue
         new = verified(pairs)
         found = new if found is None else found.unionAll(new)
         tested = pairs if tested is None else tested.unionAll(pairs)
         part = components(found)
-        if k and last:
-            break
     label = nodes.select("set_key", "node").join(part, "node", "left") if part is not None else nodes.select("set_key", "node", F.lit(None).cast("long").alias("component"))
     return base.select("doc_id", "n_shingles", "set_key"), label.select("set_key", F.coalesce("component", "node").alias("component"))
 
@@ -300,13 +357,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def own_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with __id and __own, whether any row has __own): __id is the doc_id, but of rows that share one, or have none, a number from id and text."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
+    if repeated.isEmpty() and docs.where("doc_id is null").isEmpty():
+        return docs.withColumns({"__id": F.col("doc_id").cast("long"), "__own": F.lit(False)}), False
+    joined = docs.join(repeated, F.col("doc_id") == F.col("__repeated"), "left")
+    number = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    own = F.col("doc_id").isNull() | F.col("__repeated").isNotNull()
+    return joined.withColumns({"__id": F.when(own, number).otherwise(F.col("doc_id")).cast("long"), "__own": own}).drop("__repeated"), True
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id.
+    """One document of each group of near-duplicates: that with the smallest doc_id, or else one whose doc_id isn't its own.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id or without words are in no group and stay.
+    Rows that share a doc_id, or have none, are judged by their own texts; of those equal in id and text one stays, and
+    these differ in other columns at most. Rows without words are in no group and stay. Very long texts are compared
+    whole; an empty table stays empty; the columns are those of docs.
     """
-    marked = mark(docs, size=5, percent=80)
-    gone = marked.where("doc_id is not null and set_key is not null and not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionAll(kept.where("doc_id is null"))
+    named, any_own = own_ids(docs)
+    marked = mark(named.select(F.col("__id").alias("doc_id"), "text"), size=5, percent=80)
+    gone = marked.where("set_key is not null and not kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = named.join(gone, "__id", "left_anti")
+    if any_own:
+        once = F.col("__own") & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+        kept = kept.where(~once).unionByName(kept.where(once).dropDuplicates(["__id", "text"]))
+    return kept.select(*docs.columns)

@@ -11,16 +11,17 @@ Repeated rows get equal verdicts. A column of the input with the name of a stati
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import WHITE, table
+from brinewave.llm.common import WHITE, portions, table
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -92,9 +93,11 @@ def stats_of(text: str | None) -> tuple[int, ...]:
 def text_stats(text: Column) -> Column:
     """A struct of the statistics of a text column."""
 
-    @pandas_udf(STATS_TYPE)
-    def measure(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([stats_of(x) for x in texts], columns=list(STATS), dtype="int64")
+    @arrow_udf(STATS_TYPE)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in chain.from_iterable(map(portions, batches)):
+            rows = np.array([stats_of(x) for x in texts], np.int64)
+            yield pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATS))], list(STATS))
 
     return measure(text)
 

@@ -19,14 +19,16 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import fold, materialize, table
+from brinewave.llm.common import fold, materialize, portions, table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the fit takes at most
 TABLE_ROWS = 50_000  # weights that the scan carries at most
@@ -60,7 +62,7 @@ def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for word, n in Counter((text or "").split()).items():
                 for t in tokens_of(word):
                     c[t] += n
-            if len(c) > 300_000:
+            if sum(map(len, by.values())) > 200_000:
                 yield flush()
     yield flush()
 
@@ -218,14 +220,14 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
         scorers = [Scorer(w) for w in shared.value]
         for pdf in batches:
             done = [scorers[k].text(x) for x, k in zip(pdf["text"], pdf["__part"], strict=True)]
-            scores = [sorted((s for s, _, _ in f), reverse=True)[:20] for _, f in done]
+            scores = [[s for s, _, _ in f] for _, f in done]
             yield pd.DataFrame({"toxic": pdf["__toxic"].astype("int32"), "n": [n for n, _ in done], "scores": scores})
 
     held = rows.mapInPandas(scan, "toxic int, n long, scores array<double>").limit(4 * sample_rows).toPandas()
     if not weights or held["toxic"].nunique() < 2:
         return Model(weights={})
     y, n = held["toxic"].to_numpy(), held["n"].to_numpy(float)
-    best = np.array([s[0] if len(s) else 0.0 for s in held["scores"]])
+    best = np.array([max(s) if len(s) else 0.0 for s in held["scores"]])
     rate, k = tail_of(best[(y == 0) & (n > 0)], n[(y == 0) & (n > 0)])
     model = Model(weights, rate, k)
     evidence = np.array([model.evidence(b, m) if b > 0 else 0.0 for b, m in zip(best, n, strict=True)])
@@ -243,21 +245,23 @@ def score(documents: DataFrame, model: Model, *, spans: bool = False) -> DataFra
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = "score double, best_segment double, n_segments int, evidence double" + (", segments array<struct<start:int,end:int,score:double>>" if spans else "")
 
-    @pandas_udf(kind)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names = ["score", "best_segment", "n_segments", "evidence", *(["segments"] if spans else [])]
+
+    @arrow_udf(kind)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         scorer = Scorer(m.weights)
-        for texts in batches:
+        for texts in chain.from_iterable(map(portions, batches)):
             done = [scorer.text(x) for x in texts]
             sums = [m.summary(n, found) for n, found in done]
             count, evidence = np.array([s[1] for s in sums], float), np.array([s[3] for s in sums], float)
-            out = pd.DataFrame({"score": m.probability(evidence, count), "best_segment": [s[0] for s in sums], "n_segments": pd.Series([s[1] for s in sums], dtype="int32"), "evidence": evidence})
+            out = [pa.array(m.probability(evidence, count)), pa.array([s[0] for s in sums], pa.float64()), pa.array([s[1] for s in sums], pa.int32()), pa.array(evidence)]
             if spans:
-                out["segments"] = [[{"start": a, "end": b, "score": s} for s, a, b in found if m.evidence(s, n) >= 2.0] for n, found in done]
-            yield out
+                spanned = [[{"start": a, "end": b, "score": s} for s, a, b in found if m.evidence(s, n) >= 2.0] for n, found in done]
+                out.append(pa.array(spanned, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
+            yield pa.StructArray.from_arrays(out, names)
 
     out = documents.withColumn("__score", scan(F.col("text")))
-    names = ["score", "best_segment", "n_segments", "evidence", *(["segments"] if spans else [])]
     return out.withColumns({c: F.col(f"__score.{c}") for c in names}).drop("__score")
 
 

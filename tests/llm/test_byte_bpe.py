@@ -1,12 +1,15 @@
 import base64
 import hashlib
 import random
+from itertools import chain
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brinewave.llm import byte_bpe as B
+from brinewave.llm.common import portions
 
 
 @pytest.fixture(scope="module")
@@ -44,10 +47,20 @@ def test_long_and_short_merging_agree(bpe):
 
 
 def test_memory_is_bounded(bpe, monkeypatch):
-    monkeypatch.setattr(B, "CACHE", 50)
+    bpe.forget()
+    monkeypatch.setattr(B, "CACHE_BYTES", 10_000)
     for k in range(40):
         bpe.encode_texts([" ".join(f"w{k}x{j}" for j in range(20))])
-    assert len(bpe.cache) <= 50 + 20 + 1
+        assert bpe.held <= 10_000 + 20 * 300 and len(bpe.cache) <= bpe.held / 200 + 1 and len(bpe.older) <= 16_000 / 200
+    bpe.forget()
+    assert not bpe.cache and not bpe.older
+
+
+def test_portions_keep_all_texts():
+    texts = pa.array(["a" * 10, None, "", "ü" * 400, "b", "c" * 3000, None])
+    for size in (1, 50, 10**6):
+        assert list(chain.from_iterable(portions(texts, size))) == texts.to_pylist()
+        assert list(chain.from_iterable(portions(texts.slice(2, 4), size))) == texts.to_pylist()[2:6]
 
 
 def test_operator(docs, texts, known, empty):

@@ -67,6 +67,25 @@ def test_chains_and_families(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bounds_lose_no_link(spark, monkeypatch, percent):
+    """One pivot and no small buckets: drifted copies of two texts of different lengths meet by their bounds alone."""
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    monkeypatch.setattr(N, "SMALL_BUCKET", 0)
+    rng = random.Random(percent)
+    rows = []
+    for base in (sentence(rng, 90).split(), sentence(rng, 60).split()):
+        for _ in range(60):
+            own = list(base)
+            for j in rng.sample(range(len(own)), rng.randrange(5)):
+                own[j] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(9)])))
+    rows.append((7, rows[80][1]))  # a doc_id with two texts
+    expected, _ = brute(rows, 3, percent)
+    got = {r.doc_id: r.component_id for r in N.mark(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=percent).collect()}
+    assert len(set(expected.values())) > 4 and got == expected
+
+
 def test_empty_table(empty):
     assert N.mark(empty).count() == 0
 
@@ -97,3 +116,13 @@ def test_components_of_a_path(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in N.components(e).collect()}
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_stage_judges_repeated_ids_by_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (sentence(rng, 80) for _ in range(3))
+    rows = [(1, a, "x"), (2, b, "x"), (7, a, "x"), (7, c, "x"), (7, c, "x"), (None, b, "x"), (None, sentence(rng, 70), "x"), (8, "", "x"), (8, None, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    left = N.stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(1, a), (2, b), (7, c), (0, rows[6][1]), (8, ""), (8, ""), (0, "")])
+    assert all(r.kept == "x" for r in left)
