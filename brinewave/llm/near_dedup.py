@@ -43,7 +43,7 @@ BANDS = 96
 BAND_MISS = 1e-4  # probability that a pair at the threshold shares no band, at most
 PRUNE_MISS = 1e-6  # posterior probability under which a candidate pair is dropped
 BATCH = 32  # signature values compared at once
-PIVOTS = 3  # rounds in which each bucket's members meet one of them
+PIVOTS = 2  # rounds in which each bucket's members meet one of them, that with the most neighbours in all buckets first
 SMALL_BUCKET = 16  # members of a bucket whose pairs are tested as they are, after these rounds
 PRUNINGS = 2  # times that texts which can't be linked any more are dropped, before the rest meets
 SIZE_STEP = 1.03  # from one class of set sizes to the next
@@ -268,20 +268,22 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         first = F.slice("ranked", 1, F.greatest(F.col("n") - common_at_least + 1, F.lit(0)).cast("int"))
         first = F.transform(F.filter(first, lambda r: r["several"]), lambda r: r["element"])
         x = x.withColumn("first", first).where(F.size("first") > 0)
-        x = x.select("item", "node", "component", "n", "own", "buckets", "first", F.least("class", "other").alias("c0"), F.greatest("class", "other").alias("c1"), F.explode("first").alias("element"))
-        x = x.withColumn("first", F.when(F.size("first") <= 64, F.col("first")))
+        x = x.select("item", "node", "component", "n", "own", "class", "buckets", "first", F.least("class", "other").alias("c0"), F.greatest("class", "other").alias("c1"), F.explode("first").alias("element"))
+        x = x.withColumn("first", F.slice(F.array_sort("first"), 1, 64))
         # Within a key, pairs of its largest component with itself are never formed: what isn't of that component meets all.
         key = ["element", "c0", "c1"]
         parts = x.groupBy(*key, "component").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("component", F.struct("m", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
         x = small(x.join(parts.drop("parts"), key), "prefixes")
         if k < PRUNINGS - 1:
             e = small(e.join(x.select("item").distinct(), "item", "left_semi"), "rest")
-    side = lambda a: x.select(*key, "most", *[F.col(c).alias(f"{c}_{a}") for c in ("node", "component", "n", "own", "buckets", "first")])
+    side = lambda a: x.select(*key, "most", *[F.col(c).alias(f"{c}_{a}") for c in ("node", "component", "n", "own", "class", "buckets", "first")])
     a, b = side("a").where("component_a <> most"), side("b").drop("most")
     enough = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    # A pair that meets by several elements is made by the least of them, as far as the lists go; the caller drops the others.
     once = F.coalesce(F.array_min(F.array_intersect("first_a", "first_b")) == F.col("element"), F.lit(True))
     several = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
-    met = a.join(b, key).where(several & enough & F.arrays_overlap("buckets_a", "buckets_b") & once)
+    classes = (F.col("c0") == F.col("c1")) | (F.col("class_a") != F.col("class_b"))  # each pair has one key's classes
+    met = a.join(b, key).where(classes & several & enough & F.arrays_overlap("buckets_a", "buckets_b") & once)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
@@ -296,9 +298,10 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
     banded = nodes.select("node", F.explode(band_keys(F.col("sig"), rows)).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
     members = materialize(banded.join(shared, "bucket"), "members")
-    near = members.select("node").distinct()
+    near = materialize(members.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    members = members.join(near, "node")
     sigs = materialize(nodes.join(near, "node", "left_semi").select("node", "n", "sig"), "near")
-    texts = documents.where("text is not null").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = documents.where("text is not null").join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = materialize(texts.select("node", set_of(F.col("text"), size).alias("elements")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -318,7 +321,7 @@ def links(documents: DataFrame, *, size: int, percent: int, miss: float = PRUNE_
             placed = members.withColumn("component", F.col("node"))
         else:
             placed = members.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        order = F.col("node") if k == 0 else F.xxhash64("node", F.lit(k))
+        order = F.struct(-F.col("degree"), F.xxhash64("node", F.lit(k)))
         pivot = placed.groupBy("bucket").agg(
             F.min_by(F.struct("node", "component"), order).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")
         ).where("c0 < c1")
