@@ -108,6 +108,12 @@ class Bpe:
 
     def merge_many(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
         """Merge pieces of 2 to width bytes side by side; width is a power of two."""
+        flat, size = self.merge_flat(pieces, width)
+        ends, flat = np.cumsum(size).tolist(), list(map(self.ids.__getitem__, flat.tolist()))
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+    def merge_flat(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same as (ids of all pieces one after the other, how many each has)."""
         n = len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, n)
         data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(n, width)
@@ -151,9 +157,7 @@ class Bpe:
                 nodes >>= 1
             live = live[tree[live, 1] < NONE]
         kept = token >= 0
-        ends = np.cumsum(kept.sum(axis=1)).tolist()
-        flat = list(map(self.ids.__getitem__, token[kept].tolist()))
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        return token[kept], kept.sum(axis=1)
 
     def merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same for one piece of any length."""
@@ -213,6 +217,30 @@ class Bpe:
                 out.update(zip(same[k : k + 8192], self.merge_many(same[k : k + 8192], width), strict=True))
         return out
 
+    def encode_flat(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, how many each has), without a Python object for each piece."""
+        whole = np.array([-1 if r is None else r for r in map(self.ranks.get, pieces)], np.int64)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = np.ones(len(pieces), np.int64)
+        width = np.where(whole >= 0, 0, np.where(length > SIDE_BY_SIDE, -1, np.maximum(4, 2 ** np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64))))
+        done = [(np.flatnonzero(width == 0), whole[width == 0])]
+        for k in np.unique(width[width != 0]).tolist():
+            at = np.flatnonzero(width == k)
+            for some in np.array_split(at, -(-len(at) // 8192)):
+                mine = [pieces[i] for i in some.tolist()]
+                if k < 0:
+                    rows = list(map(self.merge_long, mine))
+                    flat, size[some] = np.fromiter(chain.from_iterable(rows), np.int64), list(map(len, rows))
+                else:
+                    flat, size[some] = self.merge_flat(mine, k)
+                done.append((some, flat))
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        for some, flat in done:
+            n = size[some]
+            out[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        return out, size
+
     def split(self, stretch: str) -> list[str]:
         """The pattern's matches. A run of letters, with a space before and plain punctuation after it, needs no regular expression."""
         word = stretch[1:] if stretch[0] == " " else stretch

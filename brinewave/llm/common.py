@@ -61,6 +61,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def most_frequent(df: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows whose count is above a cut-off, at most limit of them and as many as classes of like counts allow.
+
+    The cut-off comes from a histogram of some hundred classes, so no task and not the driver sorts the rows.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * 16)
+    total, cut = 0, None
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > limit:
+            break
+        cut = r.step
+    return df.where(F.lit(False) if cut is None else step >= cut)
+
+
 def portions(texts: pa.Array, size: int = 500_000) -> Iterator[list[str | None]]:
     """Consecutive texts of about so many bytes together, as Python strings, so that a batch of long texts is never held twice."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -10,8 +10,13 @@ ends there, and each word's is mixed with its share of the training tokens:
 
 What comes from the corpus: word counts of all training texts, by Spark; counts of all subword ids, from each distinct
 word once; attention weights by rounds of local steps on all training texts, each partition by itself, averaged after each
-round. The classes come from the subword counts and from the neighbour counts of all training texts. The network's
-input are the ids themselves, in INPUTS rows by their remainder.
+round. Each text trains in one of the rounds. The classes come from the counts of all ids and of
+their neighbours and borders within words. The network's input are the ids themselves, in INPUTS rows by their remainder.
+
+An id either begins a word (or ends the text) or stands within one. The share of its side in its class, the share of the
+id on that side and, within words, the counts of pairs make a distribution: in any context the probabilities of all ids
+sum to one, and those of all words and the end to no more than one. The base isn't such a distribution, as it gives each
+of any number of unseen words the same share.
 
 The base score is an add-one unigram over words. The TOP_WORDS most frequent words' counts travel to the tasks; the
 occurrences of all others are joined to the counts by word, and none of those words can be more than one in TOP_WORDS
@@ -37,20 +42,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.llm.byte_bpe import coder, default_vocabulary
-from brinewave.llm.common import fold, materialize, table
+from brinewave.llm.common import fold, materialize, most_frequent, portions, table
 
 TOP_WORDS = 50_000
 ROUNDS = 2
 LEAST_STEPS = 400  # local steps of a partition and round at least, by passing over it again, PASSES times at most
 PASSES = 8
 PAIRS = 400_000  # pairs of neighbouring ids within words whose counts travel to the tasks; those of all others are joined by word
-CLASSES, SINGLE = 128, 96  # classes; those of one id each
-WIDTH, HIDDEN = 24, 32
-INPUTS = 4_096  # rows of the table of embeddings
-WINDOW, OVERLAP = 32, 16
-MIX = 0.4
-STRIDE = WINDOW - OVERLAP
-CACHE = 200_000
+CLASSES, SINGLE = 64, 40  # classes; those of one id each
+WIDTH, HIDDEN = 16, 16
+INPUTS = 2_048  # rows of the table of embeddings
+WINDOW, OVERLAP = 32, 8
+MIX = 0.3
+CACHE = 250_000
 GROUP_CHARS = 200_000
 FRACTION = 0.5  # added to each id's count within its class
 BACKOFF = 5.0  # weight of the class's own distribution against a pair's counts
@@ -95,15 +99,22 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Give words slots."""
-        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.bpe.split(f" {w.decode('utf-8', 'surrogatepass')}")] for w in words]
-        ids = self.bpe.encode_pieces(set(chain.from_iterable(pieces)))
-        rows = [ids[p[0]] if len(p) == 1 else tuple(chain.from_iterable(ids[x] for x in p)) for p in pieces]
-        flat, size = np.fromiter(chain.from_iterable(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
+        pieces: list[bytes] = []
+        count = np.ones(len(words), np.int64)
+        for k, w in enumerate(words):
+            if w.isalpha():  # ASCII letters only: one piece
+                pieces.append(b" " + w)
+            else:
+                own = self.bpe.split(f" {w.decode('utf-8', 'surrogatepass')}")
+                pieces += [p.encode("utf-8", "surrogatepass") for p in own]
+                count[k] = len(own)
+        flat, each = self.bpe.encode_flat(pieces)
+        size = np.add.reduceat(each, np.cumsum(count) - count) if words else np.zeros(0, np.int64)
         start = np.cumsum(size) - size
         self.slot.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.start = np.concatenate([self.start, start + len(self.ids)])
         self.ids, self.size = np.concatenate([self.ids, flat]), np.concatenate([self.size, size])
-        self.fixed = np.concatenate([self.fixed, self.of.words(flat, start, size) + [self.extra.get(w, 0.0) for w in words] if self.of else np.zeros(len(rows))])
+        self.fixed = np.concatenate([self.fixed, self.of.words(flat, start, size) + [self.extra.get(w, 0.0) for w in words] if self.of else np.zeros(len(words))])
         self.count = np.concatenate([self.count, np.array([self.frequent.get(w, np.nan) for w in words], float)])
 
     def slots(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -157,84 +168,94 @@ class Network:
 
     def attend(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
         """Hidden states (windows, WINDOW, WIDTH) of rows of embeddings (windows, WINDOW), and what the gradient needs."""
-        x = self.part("e")[inputs] + self.part("p")
-        qkv = x.reshape(-1, WIDTH) @ self.part("qkv")
-        q, k, v = (np.ascontiguousarray(qkv[:, i * WIDTH : (i + 1) * WIDTH]).reshape(x.shape) for i in range(3))
+        x = self.part("e").take(inputs, axis=0)
+        x += self.part("p")
+        qkv = (x.reshape(-1, WIDTH) @ self.part("qkv")).reshape(*inputs.shape, 3 * WIDTH)
+        q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= np.float32(1 / math.sqrt(WIDTH))
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= self.MASK
-        a /= a.sum(axis=2, keepdims=True)
+        a *= 1 / np.matmul(a, np.ones((WINDOW, 1), np.float32))
         c = np.matmul(a, v)
-        h = x + (c.reshape(-1, WIDTH) @ self.part("o")).reshape(x.shape)
-        r = np.maximum(h.reshape(-1, WIDTH) @ self.part("u"), 0)
-        out = h + (r @ self.part("v")).reshape(x.shape)
+        h = (c.reshape(-1, WIDTH) @ self.part("o")).reshape(x.shape)
+        h += x
+        r = h.reshape(-1, WIDTH) @ self.part("u")
+        np.maximum(r, 0, out=r)
+        out = (r @ self.part("v")).reshape(x.shape)
+        out += h
         return out, x, q, k, v, a, c, h, r
 
     def log_probs(self, hidden: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log p(class) of one target for each hidden state, log probability that a word begins or the text ends there)."""
         logits = hidden @ self.part("w")
         logits += self.part("b")
+        np.clip(logits, -60, 60, out=logits)
         picked = logits[np.arange(len(targets)), targets]
         np.exp(logits, out=logits)
         both = logits @ np.stack([np.ones(CLASSES, np.float32), begins], axis=1)
         return picked - np.log(both[:, 0]), np.log(np.maximum(both[:, 1], 1e-30) / both[:, 0])
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, float]:
-        """(gradient of the mean loss, mean loss) over the live places of some windows."""
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Gradient of the mean loss over the live places of some windows."""
         out, x, q, k, v, a, c, h, r = self.attend(inputs)
         g = Network(np.zeros_like(self.flat))
-        flat = out.reshape(-1, WIDTH)[live.ravel()]
-        logits = flat @ self.part("w") + self.part("b")
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        t, n = targets[live], max(1, int(live.sum()))
-        loss = float(-np.log(p[np.arange(len(t)), t] + 1e-30).mean()) if len(t) else 0.0
-        p[np.arange(len(t)), t] -= 1
-        p /= n
-        g.part("w")[:] = flat.T @ p
+        flat = lambda y: y.reshape(-1, WIDTH)
+        p = flat(out) @ self.part("w")
+        p += self.part("b")
+        np.clip(p, -60, 60, out=p)
+        np.exp(p, out=p)
+        p *= live.reshape(-1, 1) / (max(1, int(live.sum())) * p.sum(axis=1, keepdims=True))
+        at = np.flatnonzero(live)
+        p[at, targets.ravel()[at]] -= np.float32(1 / max(1, len(at)))
+        g.part("w")[:] = flat(out).T @ p
         g.part("b")[0] = p.sum(axis=0)
-        d = np.zeros((inputs.size, WIDTH), np.float32)
-        d[live.ravel()] = p @ self.part("w").T
+        d = p @ self.part("w").T
         g.part("v")[:] = r.T @ d
-        dr = (d @ self.part("v").T) * (r > 0)
-        g.part("u")[:] = h.reshape(-1, WIDTH).T @ dr
-        dh = d + dr @ self.part("u").T
-        g.part("o")[:] = c.reshape(-1, WIDTH).T @ dh
-        dc = (dh @ self.part("o").T).reshape(x.shape)
-        da = np.matmul(dc, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dc)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        dqkv = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * WIDTH)
-        g.part("qkv")[:] = x.reshape(-1, WIDTH).T @ dqkv
-        dx = (dh + dqkv @ self.part("qkv").T).reshape(x.shape)
-        g.part("p")[:] = dx.sum(axis=0)
-        np.add.at(g.part("e"), inputs.ravel(), dx.reshape(-1, WIDTH))
-        return g.flat, loss
-
-
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dr = d @ self.part("v").T
+        dr *= r > 0
+        g.part("u")[:] = flat(h).T @ dr
+        d += dr @ self.part("u").T
+        g.part("o")[:] = flat(c).T @ d
+        dc = (d @ self.part("o").T).reshape(x.shape)
+        ds = np.matmul(dc, v.transpose(0, 2, 1))
+        ds -= np.einsum("bij,bij->bi", dc, c)[..., None]  # the rows of a sum to one
+        ds *= a
+        ds *= np.float32(1 / math.sqrt(WIDTH))
+        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dc)], axis=2)
+        g.part("qkv")[:] = flat(x).T @ dqkv.reshape(-1, 3 * WIDTH)
+        d += dqkv.reshape(-1, 3 * WIDTH) @ self.part("qkv").T
+        g.part("p")[:] = d.reshape(x.shape).sum(axis=0)
+        place = inputs.ravel()
+        for j in range(WIDTH):
+            g.part("e")[:, j] = np.bincount(place, weights=d[:, j], minlength=INPUTS)
+        return g.flat
+
+
+def windows(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first place, places, first scored place) of the windows over texts that lie one after the other.
 
-    Every place is scored in one window: in the text's first window, or else in that which has it past OVERLAP.
+    Every place is scored in one window: in the text's first window, or else in that which has it past the overlap.
     """
-    count = np.maximum(1, -(-(lengths - OVERLAP) // STRIDE))
+    stride = WINDOW - overlap
+    count = np.maximum(1, -(-(lengths - overlap) // stride))
     text = np.repeat(np.arange(len(lengths)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    start = nth * STRIDE
+    start = nth * stride
     size = np.minimum(WINDOW, lengths[text] - start)
-    return (np.cumsum(lengths) - lengths)[text] + start, size, np.where(nth == 0, 0, OVERLAP)
+    return (np.cumsum(lengths) - lengths)[text] + start, size, np.where(nth == 0, 0, overlap)
 
 
 @dataclass
 class Fixed:
-    """Count model of ids within their classes. log_within: by id; keys, pair_counts: pairs of neighbours within words,
-    as id << 20 | next id in order; class_keys, class_counts: the same summed as id << 20 | class of the next."""
+    """Count model of ids within their classes. A class has two sides: ids that begin a word or end a text, and inner
+    ids. log_side: by id, the share of its side in its class; log_within: by id, its share of that side; keys,
+    pair_counts: pairs of neighbours within words, as id << 20 | next id in order; class_keys, class_counts: the same
+    summed as id << 20 | class of the next, which is always an inner id."""
 
     class_of: np.ndarray
+    log_side: np.ndarray
     log_within: np.ndarray
     keys: np.ndarray
     pair_counts: np.ndarray
@@ -242,15 +263,15 @@ class Fixed:
     class_counts: np.ndarray
 
     @classmethod
-    def of(cls, class_of: np.ndarray, log_within: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: tuple[np.ndarray, np.ndarray] | None = None) -> Fixed:
+    def of(cls, class_of: np.ndarray, log_side: np.ndarray, log_within: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: tuple[np.ndarray, np.ndarray] | None = None) -> Fixed:
         """totals: class_keys and class_counts of all pairs, where keys are only some."""
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         if totals is not None:
             order = np.argsort(totals[0])
-            return cls(class_of, log_within, keys, counts, totals[0][order], totals[1][order])
+            return cls(class_of, log_side, log_within, keys, counts, totals[0][order], totals[1][order])
         by_class, at = np.unique((keys >> 20) << 20 | class_of[keys & (1 << 20) - 1].astype(np.int64), return_inverse=True)
-        return cls(class_of, log_within, keys, counts, by_class, np.bincount(at, weights=counts, minlength=len(by_class)) if len(keys) else np.zeros(0))
+        return cls(class_of, log_side, log_within, keys, counts, by_class, np.bincount(at, weights=counts, minlength=len(by_class)) if len(keys) else np.zeros(0))
 
     @staticmethod
     def look(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -260,7 +281,7 @@ class Fixed:
         return np.where(keys[at] == key, values[at], 0.0)
 
     def words(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """log p(ids | their classes) of words that lie one after the other."""
+        """log p(ids | their classes, and for inner ids the ids before them) of words that lie one after the other."""
         out = self.log_within[ids].astype(float)
         inner = np.ones(len(ids), bool)
         inner[start] = False
@@ -269,18 +290,19 @@ class Fixed:
         pair = self.look(self.keys, self.pair_counts, before | now)
         both = self.look(self.class_keys, self.class_counts, before | self.class_of[now])
         out[here] = np.log((pair + BACKOFF * np.exp(out[here])) / (both + BACKOFF))
+        out += self.log_side[ids]
         return np.add.reduceat(out, start) if len(start) else np.zeros(0)
 
 
 @dataclass
 class Model:
-    """counts: the count model; network: of the classes; begins: share of each class whose ids begin a word or end a text; ends: log p(end id | its class)."""
+    """counts: the count model; network: of the classes; begins: share of each class whose ids begin a word or end a text."""
 
     counts: Fixed
     network: Network
     begins: np.ndarray
 
-    def classes(self, ids: np.ndarray, lengths: np.ndarray, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    def classes(self, ids: np.ndarray, lengths: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """For each place: log p(class of the id after it), and log probability that a word begins or the text ends after it."""
         class_of = self.counts.class_of
         target = np.roll(ids, -1)
@@ -299,13 +321,13 @@ class Model:
         return found, border
 
     def words(self, encoder: Encoder, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of each slot's word in its context, which may be a little above 0, of the end of each text); slot 0 gets 0."""
+        """(log probability of each slot's word in its context, of the end of each text); slot 0 gets 0."""
         ids, first = encoder.expand(slots)
         begin = first[slots == 0]
         lengths = np.diff(np.append(begin, len(ids)))
         found, border = self.classes(ids, lengths)
         last = begin + lengths - 1
-        ends = found[last] + self.counts.log_within[-1] - border[last]
+        ends = found[last] + self.counts.log_within[-1] + self.counts.log_side[-1] - border[last]
         shifted = np.concatenate([[0.0], found[:-1]])  # of the id itself
         edge = np.append(first[1:], len(ids)) - 1
         word = np.add.reduceat(shifted, first) + encoder.fixed[slots] - border[np.maximum(first - 1, 0)] + border[edge]
@@ -358,11 +380,14 @@ def learn_classes(counts: np.ndarray, pairs: dict[tuple[int, int], int], profile
     return out
 
 
-def within(counts: np.ndarray, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log p(id | class), log share of each class), with FRACTION added to each count."""
+def within(counts: np.ndarray, class_of: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log share of each id's side in its class, log share of the id on its side, log share of each class, share of each class that starts), with FRACTION added to each count."""
     n = counts + FRACTION
     total = np.bincount(class_of, weights=n, minlength=CLASSES)
-    return np.log(n / total[class_of]), np.log(np.maximum(total, 1e-9) / max(total.sum(), 1e-9)).astype(np.float32)
+    begun = np.bincount(class_of, weights=n * starts, minlength=CLASSES)
+    side = np.where(starts, begun[class_of], (total - begun)[class_of])
+    log_share = np.log(np.maximum(total, 1e-9) / max(total.sum(), 1e-9)).astype(np.float32)
+    return np.log(np.maximum(side, 1e-9) / total[class_of]), np.log(n / np.maximum(side, n)), log_share, (begun / np.maximum(total, 1e-9)).astype(np.float32)
 
 
 def text_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
@@ -377,19 +402,18 @@ def text_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield out
 
 
-def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, state: dict, batch: int = 48, rate: float = 4e-3) -> None:
-    """One pass over the windows of some texts, in a shuffled order; the rate falls to a tenth over LEAST_STEPS."""
+def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, state: dict, batch: int = 96, rate: float = 8e-3) -> None:
+    """One pass over the windows of some texts, which don't overlap here, in a shuffled order; the rate falls to a tenth over LEAST_STEPS."""
     target = np.roll(ids, -1)
     target[np.cumsum(lengths) - 1] = len(class_of) - 1
     inputs, goal = ids % INPUTS, class_of[target]
-    first, size, skip = windows(lengths)
+    first, size, _ = windows(lengths, 0)
     place = np.arange(WINDOW)
     order = state["rng"].permutation(len(first))
     for k in range(0, len(order), batch):
         w = order[k : k + batch]
         at = np.minimum(first[w, None] + place, len(ids) - 1)
-        live = (place >= skip[w, None]) & (place < size[w, None])
-        g, _ = net.gradient(inputs[at], goal[at], live)
+        g = net.gradient(inputs[at], goal[at], place < size[w, None])
         state["t"] += 1
         state["m"] += 0.1 * (g - state["m"])
         state["s"] += 0.01 * (g * g - state["s"])
@@ -399,7 +423,10 @@ def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.
 
 
 def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, vocabulary: tuple[str, str], rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps on each partition, then the mean of the partitions' weights, by the windows they saw; summed by Spark."""
+    """Rounds of local steps on each partition, then the mean of the partitions' weights, by the windows they saw; summed by Spark.
+
+    Each text trains in one round, by the hash of its text; together the rounds pass once over all texts.
+    """
     net = Network.fresh(log_share)
     sc = documents.sparkSession.sparkContext
     for r in range(rounds):
@@ -419,7 +446,8 @@ def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, voc
             if state["t"]:
                 yield pd.DataFrame({"place": np.arange(len(start)), "total": own.flat.astype(float) * state["t"], "weight": float(state["t"])})
 
-        sums = documents.select("text").mapInPandas(local, "place int, total double, weight double").groupBy("place").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()
+        part = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        sums = part.mapInPandas(local, "place int, total double, weight double").groupBy("place").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()
         if len(sums):
             net = Network(sums.sort_values("place")["mean"].to_numpy(np.float32))
     return net
@@ -439,7 +467,8 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     n_train = training.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, denominator = n_words + n_train, float(n_words + n_train + n_distinct + (n_train > 0) + 1)
-    top = {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()}
+    often = most_frequent(counts, "c", TOP_WORDS)
+    top = {bytes(r.word): r.c for r in often.collect()}
 
     def count_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(key, n): ids, and as id + 1 << 20 | next id the pairs within words; each distinct word is encoded once."""
@@ -465,16 +494,11 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         at = np.flatnonzero(single)
         yield pd.DataFrame({"key": [*at.tolist(), *pairs.keys()], "n": [*single[at].tolist(), *pairs.values()]}, dtype="int64")
 
-    def count_neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, own, width = Encoder(*vocabulary), own_class.value, 2 * (SINGLE + 1)
-        table = np.zeros(len(own) * width, np.int64)
+    def neighbour_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = own_class.value
         for pdf in batches:
-            for texts in text_groups(pdf["text"]):
-                ids, _ = encoder.texts(texts)
-                at, n = np.unique(cells(ids[:-1], ids[1:], own), return_counts=True)
-                table[at] += n
-        at = np.flatnonzero(table)
-        yield pd.DataFrame({"cell": at, "n": table[at]})
+            key = pdf["key"].to_numpy(np.int64)
+            yield pd.DataFrame({"cell": cells((key >> 20) - 1, key & (1 << 20) - 1, own), "n": np.tile(pdf["n"].to_numpy(np.int64), 2)})
 
     bpe = coder(*vocabulary)
     size = bpe.base + 1
@@ -483,17 +507,18 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     id_counts = np.zeros(size, np.float64)
     id_counts[ids["key"].to_numpy(np.int64)] = ids["n"].to_numpy(float)
     id_counts[size - 1] = n_train
-    inner = gathered.where(F.col("key") >= 1 << 20).orderBy(F.desc("n"), "key").limit(PAIRS).toPandas()
+    all_pairs = gathered.where(F.col("key") >= 1 << 20)
+    inner = most_frequent(all_pairs, "n", PAIRS).toPandas()
     train_texts = training.select("text")
     own_class = spark.sparkContext.broadcast(singles(id_counts))
-    near = train_texts.mapInPandas(count_neighbours, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    near = all_pairs.mapInPandas(neighbour_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    starts = np.array([t[:1] == b" " for t in bpe.bytes_of] + [True])
     profile = np.zeros((size, 2 * (SINGLE + 1)), np.float32)
     profile.ravel()[near["cell"].to_numpy(np.int64)] = near["n"].to_numpy(np.float32)
+    # What begins a word has its border before it, what ends one after it.
+    profile = np.column_stack([profile, id_counts * starts, np.maximum(id_counts - profile[:, SINGLE + 1 :].sum(axis=1), 0)]).astype(np.float32)
     class_of = learn_classes(id_counts, {}, profile)
-    log_within, log_share = within(id_counts, class_of)
-    starts = np.array([t[:1] == b" " for t in bpe.bytes_of] + [True])
-    weight = id_counts + FRACTION
-    begins = (np.bincount(class_of, weights=weight * starts, minlength=CLASSES) / np.maximum(np.bincount(class_of, weights=weight, minlength=CLASSES), 1e-9)).astype(np.float32)
+    log_side, log_within, log_share, begins = within(id_counts, class_of, starts)
     network = train(train_texts, class_of, log_share, vocabulary) if n_train else Network(np.zeros(Network.SIZE, np.float32))
     kept = np.sort(inner["key"].to_numpy(np.int64))
     counted = spark.sparkContext.broadcast((class_of, log_within, kept))
@@ -523,17 +548,15 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
                 word = np.repeat(np.arange(len(words)), encoder.size[slots])[here][new]
                 yield pd.DataFrame({"word": [words[i] for i in word.tolist()], "key": key[new], "prior": BACKOFF * np.exp(log_share_of[ids[here][new]])})
 
-    all_pairs = gathered.where(F.col("key") >= 1 << 20)
     totals = all_pairs.mapInPandas(class_totals, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    fixed = Fixed.of(class_of, log_within, kept - (1 << 20), inner.sort_values("key")["n"].to_numpy(float), (totals["key"].to_numpy(np.int64), totals["n"].to_numpy(float)))
+    fixed = Fixed.of(class_of, log_side, log_within, kept - (1 << 20), inner.sort_values("key")["n"].to_numpy(float), (totals["key"].to_numpy(np.int64), totals["n"].to_numpy(float)))
     known, extra = counts.withColumn("extra", F.lit(0.0)), {}
     if all_pairs.count() > len(kept):
         unseen = docs.where("held_out").select("text").mapInPandas(count_words, "word binary, n long").select("word")
         each = counts.select("word").union(unseen).distinct()
         more = each.mapInPandas(other_pairs, "word binary, key long, prior double").join(all_pairs, "key")
         more = materialize(more.groupBy("word").agg(F.sum(F.log1p(F.col("n") / F.col("prior"))).alias("extra")), "pairs")
-        often = counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).select("word")
-        extra = {bytes(r.word): r.extra for r in more.join(often, "word").collect()}
+        extra = {bytes(r.word): r.extra for r in more.join(often.select("word"), "word").collect()}
         known = counts.join(more, "word", "full").select("word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("extra", F.lit(0.0)).alias("extra"))
     shared = spark.sparkContext.broadcast((Model(fixed, network, begins), top, extra))
     end_known, end_base = int(n_train > 0), math.log10((n_train + 1) / denominator)
@@ -545,7 +568,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         row, ln10 = TaskContext.get().partitionId() << 40, math.log(10)
         for batch in batches:
             done = 0
-            for texts in text_groups(batch.column("text").to_pylist()):
+            for texts in text_groups(chain.from_iterable(portions(batch.column("text")))):
                 slots = encoder.slots(texts)
                 raw, end = model.words(encoder, slots)
                 word = np.minimum(raw, 0.0)
