@@ -36,6 +36,7 @@ from brinewave.llm.common import fresh_path, materialize, table
 
 LEAST_SHARED = 100  # bytes of a payload from which a copy is a revisit
 BLOCK_LINES = 512
+READ_BYTES = 4 << 20  # of the archives that one task of a lookup reads, about
 OPEN_FILES = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -126,10 +127,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """folder: where archives and index parts lie; parts: (part, first key, last key) in order."""
+    """folder: where archives and index parts lie; parts: (part, first key, last key) in order; size: bytes of the archives."""
 
     folder: str
     parts: tuple[tuple[str, bytes, bytes], ...]
+    size: int = 0
 
 
 def build_index(captures: DataFrame, folder: str, *, block_lines: int = BLOCK_LINES) -> Index:
@@ -170,7 +172,7 @@ def build_index(captures: DataFrame, folder: str, *, block_lines: int = BLOCK_LI
     ordered = captures.repartitionByRange("key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
     parts = materialize(ordered.mapInPandas(write, DIRECTORY), "index").collect()
     utf8 = lambda s: s.encode()  # noqa: E731  UTF-8 bytes sort as Spark sorts strings
-    return Index(folder, tuple(sorted(((p.part, utf8(p.first_key), utf8(p.last_key)) for p in parts), key=lambda p: (p[1], p[2]))))
+    return Index(folder, tuple(sorted(((p.part, utf8(p.first_key), utf8(p.last_key)) for p in parts), key=lambda p: (p[1], p[2]))), captures.agg(F.sum("length")).first()[0] or 0)
 
 
 class Reader:
@@ -243,7 +245,9 @@ def lookup(keys: DataFrame, index: Index) -> DataFrame:
         return df.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     placed = keys.select("key").distinct().withColumn("part", F.explode(parts_of(F.col("key"))))
-    return placed.repartition("part").sortWithinPartitions("part", "key").mapInPandas(read, RECORD)
+    # As many ranges of parts and keys as the archives' bytes ask for: the rows here are small, what they read isn't.
+    tasks = max(1, -(-index.size // READ_BYTES))
+    return placed.repartitionByRange(tasks, "part", "key").sortWithinPartitions("part", "key").mapInPandas(read, RECORD)
 
 
 def read_record(raw: bytes) -> tuple[int | None, str, int, str, str, int | None]:

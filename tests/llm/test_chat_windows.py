@@ -52,7 +52,7 @@ def test_windows(formed, rows):
     """Budgets hold, the system turn stays, history repeats turns before the window, and only new assistant texts are under the mask."""
     said = ordered(rows)
     at: dict = {}
-    for w in formed.withColumn("turns", C.parse(F.col("formatted"))).orderBy("conv_id", "block", "window").collect():
+    for w in formed.withColumn("turns", C.parse(F.col("formatted"))).orderBy("conv_id", "window").collect():
         turns = [(t.role, t.text) for t in w.turns]
         all_, k = said[w.conv_id], at.get(w.conv_id, 0)
         new = turns[w.n_context :]
@@ -71,6 +71,12 @@ def test_windows(formed, rows):
     assert at == {c: len(t) for c, t in said.items()}
 
 
+def test_no_borders_but_the_budget(formed):
+    """Turns of a long conversation that all take 8 tokens: every window but the last is full."""
+    new = [r.n_new for r in formed.where("conv_id = 20").orderBy("window").collect()]
+    assert new == [16] * (700 // 16) + [700 % 16]
+
+
 def test_escapes(spark):
     texts = ["", "\\", "\\\\h", "#<:", ODD, "\\h\\l\\c", "a\\\\\\#"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
