@@ -11,14 +11,15 @@ The template is
 with a line feed after each turn. Inside roles and texts the characters \\ # < are written as \\\\ \\h \\l (in roles also
 : as \\c), so that no marker can appear there; `parse` reads the template back and undoes this.
 
-A conversation may be of any length: its turns are numbered by a window function, which streams, and cut into blocks of
-BLOCK turns first, so that what is gathered in one row is bounded. Windows don't cross blocks.
+A conversation may be of any length: its turns are numbered and summed by window functions, which stream, and the
+starts of its windows come from these sums alone. What is gathered in one row is a window: the budget, or one turn.
 
 Only DataFrame operations are used.
 
 Defined cases. A null text or role is empty. Rows of a null conv_id are one conversation. Turns are ordered by turn, nulls
-first, then by role and text; repeated rows are turns of their own. A turn over the budget is a window of its own. An
-empty table gives no windows.
+first, then by role and text; repeated rows are turns of their own. A turn over the budget, however long its text, is a
+window of its own. An empty table gives no windows. Only conv_id, turn, role and text are read, so extra columns and
+their names don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from brinewave.llm.common import n_words, table
 
 BUDGET = 512  # tokens of a window's new turns, its system turn and its history included where they fit
 HISTORY = 2
-BLOCK = 256
 TURN_COST = 4  # tokens of a turn's markers
 END = "</turn>\n"
 
@@ -48,37 +48,44 @@ def unescape(text: Column) -> Column:
 
 
 def numbered(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n, role, text, tokens, system): turns in order from 0; system is the conversation's first turn if its role is system."""
+    """(conv_id, n, role, text, tokens, total, before, system): turns in order from 0, with the total of tokens and the
+    turns before them; system is the conversation's first turn if its role is system."""
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     c = c.withColumn("n", F.row_number().over(order) - 1).withColumn("tokens", n_words(F.col("text")) + TURN_COST)
+    c = c.withColumn("total", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     turn = lambda k: F.lag(F.struct("n", "role", "text", "tokens"), k).over(order)
     c = c.withColumn("before", F.filter(F.array(*[turn(k) for k in range(HISTORY, 0, -1)]), lambda x: x.isNotNull()))
     first = F.first(F.struct("n", "role", "text", "tokens")).over(order)
     return c.withColumn("system", F.when(first["role"] == "system", first))
 
 
+def starts(turns: DataFrame, budget: int) -> DataFrame:
+    """(conv_id, n, window): the turn at which each window starts, from the running totals of whole conversations.
+
+    A window starts where the total since the last start would pass what the system turn leaves of the budget. Only
+    numbers are gathered for a conversation, no texts.
+    """
+    sums = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "total", "tokens"))).alias("sums"), F.first("system.tokens").alias("spent"))
+    room = F.lit(budget) - F.coalesce("spent", F.lit(0))
+    state = F.struct(F.lit(0).cast("long").alias("from_"), F.array().cast("array<int>").alias("at"))
+    step = lambda s, t: F.when(
+        (t["n"] == 0) | (t["total"] + t["tokens"] - s["from_"] > room), F.struct(t["total"].alias("from_"), F.array_append(s["at"], t["n"]).alias("at"))
+    ).otherwise(s)
+    return sums.select("conv_id", F.posexplode(F.aggregate("sums", state, step, lambda s: s["at"])).alias("window", "n"))
+
+
 def windows(conversations: DataFrame, *, budget: int = BUDGET) -> DataFrame:
-    """(conv_id, block, window, n_context, n_new, formatted, mask): mask holds (start, length) in characters of formatted, from 0."""
-    turn = F.struct("n", "role", "text", "tokens", "before")
-    blocks = numbered(conversations).withColumn("block", F.floor(F.col("n") / BLOCK)).groupBy("conv_id", "block").agg(
-        F.array_sort(F.collect_list(turn)).alias("turns"), F.first("system").alias("system")
+    """(conv_id, window, n_context, n_new, formatted, mask): mask holds (start, length) in characters of formatted, from 0."""
+    turns = numbered(conversations)
+    # Each turn takes the number of the last start at or before it; starts come as rows of their own among the turns.
+    both = turns.withColumn("window", F.lit(None).cast("int")).unionByName(starts(turns, budget), allowMissingColumns=True)
+    order = Window.partitionBy("conv_id").orderBy("n", F.col("window").asc_nulls_last())
+    placed = both.withColumn("window", F.last("window", ignorenulls=True).over(order)).where("role is not null")
+    cut = placed.groupBy("conv_id", "window").agg(
+        F.array_sort(F.collect_list(F.struct("n", "role", "text", "tokens", "before"))).alias("new"), F.first("system").alias("system"), F.sum("tokens").alias("spent")
     )
-    # Prefix sums of the tokens; a window starts where the sum since its start would pass the budget.
-    totals = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda s, t: F.array_append(s, F.element_at(s, -1) + t["tokens"]))
-    blocks = blocks.withColumn("totals", totals)
-    room = F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0))
-    state = F.struct(F.lit(0).cast("long").alias("from_"), F.array().cast("array<int>").alias("starts"))
-    step = lambda s, k: F.when(
-        (k == 0) | (F.get("totals", k + 1) - s["from_"] > room), F.struct(F.get("totals", k).alias("from_"), F.array_append(s["starts"], k.cast("int")).alias("starts"))
-    ).otherwise(s)
-    starts = F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), state, step, lambda s: s["starts"])
-    blocks = blocks.withColumn("starts", starts).withColumn("size", F.size("turns"))
-    cut = blocks.select("conv_id", "block", "system", "turns", "totals", "size", "starts", F.posexplode("starts").alias("window", "at"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.col("size"))
-    cut = cut.withColumn("new", F.slice("turns", F.col("at") + 1, end - F.col("at")))
-    spent = F.get("totals", end) - F.get("totals", F.col("at"))
-    cut = cut.withColumn("left", room - spent)
+    cut = cut.withColumn("left", F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - F.col("spent"))
     history = F.element_at("new", 1)["before"]
     # History is repeated from its newest turn backwards as long as it fits, the system turn never twice.
     history = F.filter(history, lambda t: ~(F.col("system").isNotNull() & (t["n"] == 0)))
@@ -91,7 +98,7 @@ def windows(conversations: DataFrame, *, budget: int = BUDGET) -> DataFrame:
     cut = cut.withColumn("context", context)
     piece = lambda t: F.concat(F.lit("### "), escape(t["role"], True), F.lit(": "), escape(t["text"]), F.lit(END))
     head = F.array_join(F.transform("context", piece), "")
-    cut = cut.select("conv_id", "block", "window", "new", "context", head.alias("head"), F.transform("new", piece).alias("pieces"))
+    cut = cut.select("conv_id", "window", "new", "context", head.alias("head"), F.transform("new", piece).alias("pieces"))
     # Where each new piece starts, from the lengths of what comes before it.
     offsets = F.aggregate("pieces", F.array(F.length("head")), lambda s, p: F.array_append(s, F.element_at(s, -1) + F.length(p)))
     cut = cut.withColumn("offsets", offsets)
@@ -104,7 +111,7 @@ def windows(conversations: DataFrame, *, budget: int = BUDGET) -> DataFrame:
         ),
     )
     mask = F.transform(F.filter(spans, lambda s: s["role"] == "assistant"), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    return cut.select("conv_id", "block", "window", F.size("context").alias("n_context"), F.size("new").alias("n_new"), F.concat("head", F.array_join("pieces", "")).alias("formatted"), mask.alias("mask"))
+    return cut.select("conv_id", "window", F.size("context").alias("n_context"), F.size("new").alias("n_new"), F.concat("head", F.array_join("pieces", "")).alias("formatted"), mask.alias("mask"))
 
 
 def parse(formatted: Column) -> Column:
@@ -125,7 +132,7 @@ def read_back(formed: DataFrame) -> DataFrame:
     new = F.slice(turns, F.col("n_context") + 1, F.col("n_new"))
     loss = F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"]))), "")
     w = formed.select(
-        "conv_id", F.struct("block", "window").alias("at"), "n_new", F.length("formatted").alias("chars"),
+        "conv_id", F.col("window").alias("at"), "n_new", F.length("formatted").alias("chars"),
         F.array_join(F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"), loss.alias("loss"),
     )
     # The contract's digest of a whole conversation needs its text in one row.
