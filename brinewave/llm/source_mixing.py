@@ -9,13 +9,15 @@ source, the rates are exponentially tilted in the document's size,
 and Newton steps on the dual need two sums per source. These sums are taken by Spark over a histogram of (source,
 size), so each step costs the number of distinct sizes and not the number of documents; a bracket keeps every step
 safe. The rates become whole copies by systematic rounding: within a source, from the largest size to the smallest, the copies
-follow the running total of the rates, so that the words taken miss the target by no more than about one document.
+follow the running total of the rates, so that the words taken miss the target by no more than about the source's
+longest document. Rows of equal source and size are ranked by a hash of id and text.
 
 Only DataFrame operations are used; the driver sees nothing but the largest residual of a step.
 
 Defined cases. A null text has size 0; documents of size 0 get whatever copies their rate gives and take no words. A null
-source is a source of its own, the last in order. An empty table gives an empty mix. Repeated rows are separate
-documents. Extra columns are kept by `mix`; __ columns are reserved.
+source is a source of its own, the last in order. An empty table gives an empty mix. Very long texts are measured
+whole. Repeated rows are separate documents; of rows that are equal in id and text any may be that which is taken.
+Extra columns are kept by `mix`, but those named as its outputs are replaced; __ columns are reserved.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ SHARE = 1.5
 MOST = 2.0
 STEPS = 40
 RESIDUAL = 1e-9
-ROWS_PER_CELL = 1_000_000
+ROWS_PER_PART = 500  # rows of equal source and size that are ranked together
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,12 +98,10 @@ def balance(cells: DataFrame, goals: DataFrame, *, steps: int = STEPS, residual:
 def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The documents with size, source_size, target, rate and copies."""
     key = F.xxhash64("doc_id", "text") if "doc_id" in documents.columns else F.xxhash64("text")
-    # A cell of equal sizes may hold a third of all rows, so its ranks are taken in parts, which are ranges of the keys.
-    parts = max(1, -(-documents.count() // ROWS_PER_CELL))
-    part = F.floor((F.col("__key") / F.lit(2.0**64) + 0.5) * parts)
-    sized = documents.withColumn("__size", n_words(F.col("text"))).withColumn("__key", key).withColumn("__part", part)
-    pieces = materialize(sized.groupBy(F.col("source").alias("__s"), F.col("__size").alias("__n"), F.col("__part").alias("__p")).agg(F.count("*").alias("n")), "parts")
-    cells = materialize(pieces.groupBy(F.col("__s").alias("source"), F.col("__n").alias("size")).agg(F.sum("n").alias("n")), "sizes")
+    # A null source is told apart by a column of its own, so that joins and windows share one partitioning.
+    sized = documents.withColumns({"__src": F.coalesce(F.col("source").cast("string"), F.lit("")), "__nil": F.col("source").isNull(), "__size": n_words(F.col("text")), "__key": key})
+    slim = materialize(sized.select("source", "__src", "__nil", "__size", "__key"), "sizes")
+    cells = materialize(slim.groupBy("source", F.col("__size").alias("size")).agg(F.count("*").alias("n")), "cells")
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
     state = balance(cells, goals, most=most)
     rated = cells.join(state.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
@@ -110,14 +110,21 @@ def mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     rated = rated.select("source", "size", "n", "source_size", "target", rate.alias("rate"))
     run = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     rated = rated.withColumn("__from", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(run), F.lit(0.0)))
-    rated = rated.select("source", "size", "source_size", "target", "rate", "__from")
-    earlier = Window.partitionBy("__s", "__n").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select("__s", "__n", "__p", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    rated = pieces.join(rated, F.col("__s").eqNullSafe(F.col("source")) & (F.col("__n") == F.col("size"))).drop("source", "size")
-    rank = F.row_number().over(Window.partitionBy("source", "__size", "__part").orderBy("__key"))
-    ranked = sized.withColumn("__row_number", rank)
-    placed = ranked.join(rated, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__part") == F.col("__p")))
-    placed = placed.withColumn("__rank", F.col("__before") + F.col("__row_number"))
+    rated = rated.select(
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__src"), F.col("source").isNull().alias("__nil"), F.col("size").alias("__size"),
+        F.col("n").alias("__rows"), "source_size", "target", "rate", "__from",
+    )
+    rated = materialize(rated, "rates")
+    # A cell of equal sizes may hold a third of all rows. Its rows are ranked in parts, which are ranges of their keys;
+    # the rows of the parts before are added to a rank, so a cell has the same ranks however it is cut.
+    cell, piece = ["__src", "__nil", "__size"], ["__src", "__nil", "__size", "__part"]
+    part = F.floor((F.col("__key") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("__rows") / ROWS_PER_PART))
+    pieces = slim.join(rated.where(F.col("__rows") > ROWS_PER_PART), cell).groupBy(*cell, part.alias("__part")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*cell).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*piece, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = sized.join(rated, cell).withColumn("__part", part)
+    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(*piece).orderBy("__key")))
+    placed = ranked.join(pieces, piece, "left").withColumn("__rank", F.col("__rank") + F.coalesce(F.col("__before"), F.lit(0)))
     phase = F.col("__from") + F.lit(0.5)
     upto = lambda k: F.floor(phase + k * F.col("rate") + F.lit(1e-9))
     copies = F.when(F.col("rate") >= most, F.lit(int(most))).otherwise(upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")
