@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import portions, table
+from brinewave.llm.common import give_back, portions, short_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_BYTES = 24 << 20  # of each of a worker's two generations of remembered stretches, with what Python adds to each
@@ -279,7 +279,7 @@ class Bpe:
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> Bpe:
-    """One coder for each worker process, kept between tasks."""
+    """One coder for each worker process, kept between tasks; what it remembers of texts goes with the task."""
     return Bpe.load(path, pattern)
 
 
@@ -301,9 +301,12 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for texts in batches:
-            for some in portions(texts):
+        try:
+            for some in chain.from_iterable(map(portions, batches)):
                 yield id_lists(bpe.encode_texts(some))
+        finally:
+            bpe.forget()
+            give_back()
 
     return ids_of(text)
 
@@ -331,10 +334,13 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     @arrow_udf("ids array<int>, decoded binary")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = coder(path, pattern)
-        for texts in batches:
-            for some in portions(texts):
+        try:
+            for some in chain.from_iterable(map(portions, batches)):
                 ids = id_lists(bpe.encode_texts(some))
                 yield pa.StructArray.from_arrays([ids, decoded_rows(bpe, ids)], ["ids", "decoded"])
+        finally:
+            bpe.forget()
+            give_back()
 
     coded = documents.withColumn("__coded", both(F.col("text")))
     return coded.withColumns({"ids": F.col("__coded.ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")
@@ -350,5 +356,6 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: each document's digests of ids and of the decoded bytes."""
+    """The last stage: each document's digests of ids and of the decoded bytes. Nulls, blanks, long texts, repeated rows and empty tables as in the module."""
+    short_batches(spark)
     return digests(round_trip(docs.select("doc_id", "text"), *default_vocabulary()))

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.llm.byte_bpe import coder, default_vocabulary
-from brinewave.llm.common import fold, materialize, most_frequent, portions, table
+from brinewave.llm.common import fold, give_back, materialize, most_frequent, portions, table
 
 TOP_WORDS = 50_000
 ROUNDS = 2
@@ -75,6 +75,21 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield frame()
                 counts.clear()
     yield frame()
+    counts.clear()
+    give_back()
+
+
+def larger(batches: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of about so many."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 class Encoder:
@@ -474,20 +489,19 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         """(key, n): ids, and as id + 1 << 20 | next id the pairs within words; each distinct word is encoded once."""
         encoder = Encoder(*vocabulary)
         single, pairs = np.zeros(encoder.end + 1, np.int64), Counter()
-        for pdf in batches:
-            for k in range(0, len(pdf), 20_000):
-                words, n = pdf["word"].iloc[k : k + 20_000].tolist(), pdf["c"].iloc[k : k + 20_000].to_numpy()
-                encoder.reset()
-                encoder.learn(words)
-                slots = np.arange(1, len(words) + 1)
-                ids, first = encoder.expand(slots)
-                weight = np.repeat(n, encoder.size[slots])
-                np.add.at(single, ids, weight)
-                inner = np.ones(len(ids), bool)
-                inner[first] = False
-                here = np.flatnonzero(inner)
-                key, at = np.unique((ids[here - 1].astype(np.int64) + 1) << 20 | ids[here], return_inverse=True)
-                pairs.update(dict(zip(key.tolist(), np.bincount(at, weights=weight[here]).astype(np.int64).tolist(), strict=True)) if len(key) else {})
+        for pdf in larger(batches):
+            words, n = pdf["word"].tolist(), pdf["c"].to_numpy()
+            encoder.reset()
+            encoder.learn(words)
+            slots = np.arange(1, len(words) + 1)
+            ids, first = encoder.expand(slots)
+            weight = np.repeat(n, encoder.size[slots])
+            np.add.at(single, ids, weight)
+            inner = np.ones(len(ids), bool)
+            inner[first] = False
+            here = np.flatnonzero(inner)
+            key, at = np.unique((ids[here - 1].astype(np.int64) + 1) << 20 | ids[here], return_inverse=True)
+            pairs.update(dict(zip(key.tolist(), np.bincount(at, weights=weight[here]).astype(np.int64).tolist(), strict=True)) if len(key) else {})
             if len(pairs) > 500_000:
                 yield pd.DataFrame({"key": list(pairs.keys()), "n": list(pairs.values())}, dtype="int64")
                 pairs.clear()
@@ -533,20 +547,19 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         """(word, key, prior) for each pair within a word that isn't kept; prior is what its count is added to."""
         _, log_share_of, keys = counted.value
         encoder = Encoder(*vocabulary)
-        for pdf in batches:
-            for k in range(0, len(pdf), 20_000):
-                words = pdf["word"].iloc[k : k + 20_000].tolist()
-                encoder.reset()
-                encoder.learn(words)
-                slots = np.arange(1, len(words) + 1)
-                ids, first = encoder.expand(slots)
-                inner = np.ones(len(ids), bool)
-                inner[first] = False
-                here = np.flatnonzero(inner)
-                key = (ids[here - 1].astype(np.int64) + 1) << 20 | ids[here]
-                new = ~np.isin(key, keys)
-                word = np.repeat(np.arange(len(words)), encoder.size[slots])[here][new]
-                yield pd.DataFrame({"word": [words[i] for i in word.tolist()], "key": key[new], "prior": BACKOFF * np.exp(log_share_of[ids[here][new]])})
+        for pdf in larger(batches):
+            words = pdf["word"].tolist()
+            encoder.reset()
+            encoder.learn(words)
+            slots = np.arange(1, len(words) + 1)
+            ids, first = encoder.expand(slots)
+            inner = np.ones(len(ids), bool)
+            inner[first] = False
+            here = np.flatnonzero(inner)
+            key = (ids[here - 1].astype(np.int64) + 1) << 20 | ids[here]
+            new = ~np.isin(key, keys)
+            word = np.repeat(np.arange(len(words)), encoder.size[slots])[here][new]
+            yield pd.DataFrame({"word": [words[i] for i in word.tolist()], "key": key[new], "prior": BACKOFF * np.exp(log_share_of[ids[here][new]])})
 
     totals = all_pairs.mapInPandas(class_totals, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
     fixed = Fixed.of(class_of, log_side, log_within, kept - (1 << 20), inner.sort_values("key")["n"].to_numpy(float), (totals["key"].to_numpy(np.int64), totals["n"].to_numpy(float)))
@@ -596,6 +609,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
                 )
                 done += len(texts)
                 row += len(texts)
+        give_back()
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, context array<double>"
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-from brinewave.llm.common import WORD, materialize, portions, table
+from brinewave.llm.common import WORD, give_back, materialize, portions, short_batches, table
 
 HASHES = 192  # values of a signature
 BANDS = 96
@@ -135,6 +135,8 @@ def digest(text: Column, size: int, hashes: int) -> Column:
                 h = shingles(x, size, cache)
                 rows.append((len(h), xxhash.xxh3_128_hexdigest(h.tobytes()), signature(h, hashes).tobytes()) if len(h) else (0, None, None))
             yield pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["n", "set_key", "sig"])
+        cache.clear()
+        give_back()
 
     return of(text)
 
@@ -147,6 +149,8 @@ def set_of(text: Column, size: int) -> Column:
         cache: dict[bytes, int] = {}
         for texts in chain.from_iterable(map(portions, batches)):
             yield pa.array([shingles(x, size, cache).tobytes() for x in texts], pa.binary())
+        cache.clear()
+        give_back()
 
     return of(text)
 
@@ -378,6 +382,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     these differ in other columns at most. Rows without words are in no group and stay. Very long texts are compared
     whole; an empty table stays empty; the columns are those of docs.
     """
+    short_batches(spark)
     named, any_own = own_ids(docs)
     marked = mark(named.select(F.col("__id").alias("doc_id"), "text"), size=5, percent=80)
     gone = marked.where("set_key is not null and not kept").select(F.col("doc_id").alias("__id")).distinct()

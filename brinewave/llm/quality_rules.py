@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import WHITE, portions, table
+from brinewave.llm.common import WHITE, give_back, portions, table
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -98,6 +98,7 @@ def text_stats(text: Column) -> Column:
         for texts in chain.from_iterable(map(portions, batches)):
             rows = np.array([stats_of(x) for x in texts], np.int64)
             yield pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATS))], list(STATS))
+        give_back()
 
     return measure(text)
 

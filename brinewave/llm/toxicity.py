@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from brinewave.llm.common import fold, materialize, portions, table
+from brinewave.llm.common import fold, give_back, materialize, portions, table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the fit takes at most
 TABLE_ROWS = 50_000  # weights that the scan carries at most
@@ -65,6 +65,7 @@ def count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if sum(map(len, by.values())) > 200_000:
                 yield flush()
     yield flush()
+    give_back()
 
 
 def log_odds(counts: DataFrame, *, prior: float = 0.05, least_z: float = LEAST_Z, limit: int = TABLE_ROWS) -> DataFrame:
@@ -222,6 +223,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
             done = [scorers[k].text(x) for x, k in zip(pdf["text"], pdf["__part"], strict=True)]
             scores = [[s for s, _, _ in f] for _, f in done]
             yield pd.DataFrame({"toxic": pdf["__toxic"].astype("int32"), "n": [n for n, _ in done], "scores": scores})
+        scorers.clear()
+        give_back()
 
     held = rows.mapInPandas(scan, "toxic int, n long, scores array<double>").limit(4 * sample_rows).toPandas()
     if not weights or held["toxic"].nunique() < 2:
@@ -251,15 +254,19 @@ def score(documents: DataFrame, model: Model, *, spans: bool = False) -> DataFra
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         scorer = Scorer(m.weights)
-        for texts in chain.from_iterable(map(portions, batches)):
-            done = [scorer.text(x) for x in texts]
-            sums = [m.summary(n, found) for n, found in done]
-            count, evidence = np.array([s[1] for s in sums], float), np.array([s[3] for s in sums], float)
-            out = [pa.array(m.probability(evidence, count)), pa.array([s[0] for s in sums], pa.float64()), pa.array([s[1] for s in sums], pa.int32()), pa.array(evidence)]
-            if spans:
-                spanned = [[{"start": a, "end": b, "score": s} for s, a, b in found if m.evidence(s, n) >= 2.0] for n, found in done]
-                out.append(pa.array(spanned, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
-            yield pa.StructArray.from_arrays(out, names)
+        try:
+            for texts in chain.from_iterable(map(portions, batches)):
+                done = [scorer.text(x) for x in texts]
+                sums = [m.summary(n, found) for n, found in done]
+                count, evidence = np.array([s[1] for s in sums], float), np.array([s[3] for s in sums], float)
+                out = [pa.array(m.probability(evidence, count)), pa.array([s[0] for s in sums], pa.float64()), pa.array([s[1] for s in sums], pa.int32()), pa.array(evidence)]
+                if spans:
+                    spanned = [[{"start": a, "end": b, "score": s} for s, a, b in found if m.evidence(s, n) >= 2.0] for n, found in done]
+                    out.append(pa.array(spanned, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
+                yield pa.StructArray.from_arrays(out, names)
+        finally:
+            scorer.cache.clear()
+            give_back()
 
     out = documents.withColumn("__score", scan(F.col("text")))
     return out.withColumns({c: F.col(f"__score.{c}") for c in names}).drop("__score")
