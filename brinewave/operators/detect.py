@@ -29,9 +29,16 @@ def greedy(times: Column, refractory: float) -> Column:
 
 
 def detect_events(predictions: DataFrame, refractory: float = DEFAULT.refractory_sec, *, by: Sequence[str] = ("record_id",), time: str = "t_sec", order: Sequence[str] = ("t_sec", "event_id")) -> DataFrame:
-    """(by, event_sec): rising edges outside the refractory. Only edges are gathered, per recording."""
+    """(by, event_sec): rising edges outside the refractory.
+
+    An edge more than the refractory after the edge before it is taken whatever came earlier, so the rule starts anew
+    there: only the edges between two such gaps are gathered.
+    """
     edges = rising_edges(predictions, by=by, order=order)
-    kept = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("__t"))
+    in_time = Window.partitionBy(*by).orderBy(F.col(time).cast("double"), *order)
+    gap = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(in_time) > float(refractory)
+    edges = edges.withColumn("__gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("__run", F.sum("__gap").over(in_time))
+    kept = edges.groupBy(*by, "__run").agg(F.array_sort(F.collect_list(F.col(time).cast("double"))).alias("__t"))
     return kept.select(*by, F.explode(greedy(F.col("__t"), refractory)).alias("event_sec"))
 
 

@@ -88,12 +88,14 @@ def knn(points: DataFrame, k: int = DEFAULT.neighbours, *, id: str = "id", recor
             return pd.DataFrame({n: pd.Series(dtype="float64") for n in names})
         d = distances(matrix(x["v"]), matrix(y["v"]))
         d[x["record"].to_numpy()[:, None] == y["record"].to_numpy()[None, :]] = np.inf
-        ids, out = y["id"].to_numpy(), []
-        for i in range(len(x)):
-            best = np.lexsort((ids, d[i]))[:k]
-            best = best[np.isfinite(d[i][best])]
-            out.append(pd.DataFrame({"id": x["id"].iloc[i], "record": x["record"].iloc[i], "y": x["y"].iloc[i], "other": ids[best], "other_y": y["y"].to_numpy()[best], "d": d[i][best]}))
-        return pd.concat(out)[names]
+        order = np.argsort(y["id"].to_numpy(), kind="stable")
+        d, y = d[:, order], y.iloc[order]
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]  # of equal distances, the smaller id first
+        near = np.take_along_axis(d, best, axis=1)
+        row, place = np.nonzero(np.isfinite(near))
+        other = best[row, place]
+        found = {c: x[c].to_numpy()[row] for c in ("id", "record", "y")} | {"other": y["id"].to_numpy()[other], "other_y": y["y"].to_numpy()[other], "d": near[row, place]}
+        return pd.DataFrame(found)[names]
 
     near = block_pairs(p, p, nearest, TOP, left_id="id", right_id="id")
     near = near.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("__n") <= k)

@@ -21,8 +21,15 @@ def aligned(samples: DataFrame, *, by: Sequence[str] = ("record_id",), index: st
     return side("a").join(side("b"), keys).where("channel_a <= channel_b")
 
 
-def channel_covariance(samples: DataFrame, *, over: Sequence[str] = (), by: Sequence[str] = ("record_id",), **names: str) -> DataFrame:
-    """(over, channel_a, channel_b, cov, n): sample covariance (divisor n - 1) of aligned channels."""
+def time_slice(samples: DataFrame, rate: float, t0: float, t1: float, *, index: str = "k") -> DataFrame:
+    """Samples from t0 up to, but not with, t1 seconds, by whole indices from 0; fractions are cut off."""
+    return samples.where((F.col(index) >= int(t0 * rate)) & (F.col(index) < int(t1 * rate)))
+
+
+def channel_covariance(samples: DataFrame, *, over: Sequence[str] = (), by: Sequence[str] = ("record_id",), span: tuple[float, float, float] | None = None, **names: str) -> DataFrame:
+    """(over, channel_a, channel_b, cov, n): sample covariance (divisor n - 1) of aligned channels; span: rate, t0 and t1 of a slice."""
+    if span:
+        samples = time_slice(samples, *span, index=names.get("index", "k"))
     pairs = aligned(samples, by=by, **names)
     return pairs.groupBy(*over, "channel_a", "channel_b").agg(F.covar_samp("a", "b").alias("cov"), F.count("*").alias("n"))
 
@@ -99,3 +106,15 @@ def band_shift(vectors: DataFrame, bands: int, channels: int, *, label: str = "y
     mean = lambda c: F.coalesce(F.avg(F.when(F.col(label) == c, F.col("__v").cast("double"))), F.lit(0.0))
     out = x.groupBy("band").agg(mean(1).alias("ictal_mean"), mean(0).alias("interictal_mean"))
     return out.withColumn("delta", F.col("ictal_mean") - F.col("interictal_mean"))
+
+
+def math_summary(points: DataFrame, bands: int, channels: int, *, label: str = "y", features: str = "features") -> DataFrame:
+    """One row: numbers of windows by class, explained shares of two components, silhouette of the windows in their
+    plane, and the shift of each band's mean between the classes."""
+    placed, share = pca(points, 2, features=features)
+    plane = placed.select("id", F.col(label).alias("label"), F.array("pc1", "pc2").alias("features"))
+    n = points.agg(F.count("*").alias("n_windows"), F.count_if(F.col(label) == 1).alias("n_ictal"), F.count_if(F.col(label) == 0).alias("n_interictal"))
+    shift = band_shift(points, bands, channels, label=label, features=features)
+    shift = shift.agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "delta"))), lambda s: s["delta"]).alias("band_shift"))
+    score = silhouette_score(plane).select(F.col("silhouette").alias("silhouette_pca2d"))
+    return n.join(F.broadcast(score)).join(F.broadcast(shift)).withColumn("pca_explained_variance", F.array(*map(F.lit, share)))

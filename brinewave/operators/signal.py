@@ -71,10 +71,12 @@ def fir(samples: DataFrame, taps: Sequence[float], *, by: Sequence[str] = ("reco
 
 
 def band_pass_taps(rate: float, low: float = DEFAULT.low_hz, high: float = DEFAULT.high_hz, cap: float = DEFAULT.high_cap) -> list[float]:
-    """Full-length taps: the transition below the band is as wide as its lower edge, at most 2 Hz."""
+    """Full-length taps. The transitions are a quarter of the band's edges, 2 Hz at least, as far as there is room; the
+    cut-offs lie in their middles, so the edges themselves pass. The narrower one gives the length."""
     high = min(high, cap * rate / 2)
-    n = int(np.ceil(3.3 * rate / min(max(low * 0.25, 2.0), low))) | 1
-    return windowed_sinc(n, low, high, rate)
+    below, above = min(max(low * 0.25, 2.0), low), min(max(high * 0.25, 2.0), rate / 2 - high)
+    n = int(np.ceil(3.3 * rate / min(below, above))) | 1
+    return windowed_sinc(n, low - below / 2, high + above / 2, rate)
 
 
 def filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
@@ -196,34 +198,37 @@ def remove_artefacts(x: np.ndarray, channels: Sequence[str], rate: float, *, com
     return x - mixing[:, removed] @ sources[removed], {"status": "ok", "reason": "", "removed": removed}
 
 
-CLEANED = "record_id long, channel string, samples array<double>, status string, reason string, removed array<int>"
-
-
 def clean_records(chunks: DataFrame, rate: float) -> DataFrame:
     """Artefact removal for each recording; chunks has record_id, channel and samples of equal length.
 
-    A group is one recording, which its sensors bound; failures come back as rows, not as errors.
+    A group is one recording, which its sensors bound. A recording that can't be cleaned comes back as it was, with the
+    status failed and the reason, and doesn't stop the others.
     """
+    cleaned = f"record_id {chunks.schema['record_id'].dataType.simpleString()}, channel string, samples array<double>, status string, reason string, removed array<int>"
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("channel", ignore_index=True)
-        x = np.stack([np.asarray(s, float) for s in pdf["samples"]])
-        y, done = remove_artefacts(x, pdf["channel"].tolist(), rate)
+        try:
+            y, done = remove_artefacts(np.stack([np.asarray(s, float) for s in pdf["samples"]]), pdf["channel"].tolist(), rate)
+        except ValueError as e:
+            y, done = pdf["samples"], {"status": "failed", "reason": str(e), "removed": []}
         return pd.DataFrame({"record_id": pdf["record_id"], "channel": pdf["channel"], "samples": list(y), "status": done["status"], "reason": done["reason"], "removed": [done["removed"]] * len(pdf)})
 
-    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, CLEANED)
+    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, cleaned)
 
 
 def ica_variance_profile(chunks: DataFrame, components: int = DEFAULT.ica_components) -> DataFrame:
-    """(record_id, component, share): variance shares of the sources scaled back to the channels, largest first."""
+    """(record_id, component, share, channel_share) of at most one source less than channels: the share of each source's
+    variance in all sources', and that of what it brings to the channels, by which they are numbered, largest first."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("channel", ignore_index=True)
         x = np.stack([np.asarray(s, float) for s in pdf["samples"]])
-        n = min(components, len(x))
-        _, unmixing, _ = fast_ica(x, n)
-        share = (np.linalg.pinv(unmixing) ** 2).sum(axis=0)
-        share = np.sort(share / share.sum())[::-1]
-        return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "component": range(n), "share": share})
-
-    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, "record_id long, component int, share double")
+        n = min(components, len(x) - 1)
+        sources, unmixing, _ = fast_ica(x, n)
+        variance = sources.var(axis=1)
+        brought = (np.linalg.pinv(unmixing) ** 2).sum(axis=0) * variance
+        order = np.argsort(-brought)
+        return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "component": range(n), "share": (variance / variance.sum())[order], "channel_share": (brought / brought.sum())[order]})
+
+    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, "record_id long, component int, share double, channel_share double")

@@ -4,11 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewave.config import AUXILIARY, DEFAULT, MONTAGE, Config
 from brinewave.operators import channels, detect, features, segment, signal
+from brinewave.sources.edf import EdfSource
+
+
+def assemble(chunks: DataFrame) -> DataFrame:
+    """(record_id, channel, rate, samples, status, reason): whole channels from stretches with start_sample, in order.
+
+    Filters need whole channels, since each stretch filtered by itself would have edges of its own. A recording with a
+    gap, an overlap or channels of unequal rates is kept as rows with the status failed, so that it stops no other.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("start_sample", "samples")))
+    c = chunks.groupBy("record_id", "channel").agg(parts.alias("p"), F.first("sfreq").alias("rate"), (F.max("sfreq") != F.min("sfreq")).alias("rates"))
+    at = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: F.when(s == x["start_sample"], s + F.size(x["samples"])).otherwise(F.lit(-1).cast("long")))
+    c = c.select("record_id", "channel", "rate", F.flatten("p.samples").alias("samples"), (at < 0).alias("gap"), "rates")
+    whole = c.groupBy("record_id").agg(F.max("gap").alias("gaps"), (F.max("rates") | (F.max("rate") != F.min("rate"))).alias("mixed"))
+    reason = F.when(F.col("gaps"), "samples are missing or overlap").when(F.col("mixed"), "channels have several rates").otherwise("")
+    out = c.join(whole.select("record_id", reason.alias("reason")), "record_id")
+    return out.select("record_id", "channel", "rate", "samples", F.when(F.col("reason") == "", "ok").otherwise("failed").alias("status"), "reason")
+
+
+def preprocess_files(spark: SparkSession, path: str, rate: float, config: Config = DEFAULT, **options) -> tuple[DataFrame, DataFrame]:
+    """(clean channels, status of every recording) of EDF files under a path; recordings that fail or have another rate are only in the status."""
+    spark.dataSource.register(EdfSource)
+    whole = assemble(spark.read.format("edf").load(path))
+    other = F.abs(F.col("rate") - rate) > config.rate_tolerance
+    status = whole.groupBy("record_id").agg(F.max("status").alias("status"), F.max("reason").alias("reason"), F.max(other).alias("other"), F.count("*").alias("channels"))
+    failed = lambda c, why: F.when((F.col("status") == "ok") & F.col("other"), F.lit(why)).otherwise(F.col(c)).alias(c)
+    status = status.select("record_id", failed("status", "failed"), failed("reason", "another rate"), "channels")
+    good = whole.where("status = 'ok'").where(~other).select("record_id", "channel", "samples")
+    return preprocess(good, rate, config, **options), status
 
 
 def preprocess(chunks: DataFrame, rate: float, config: Config = DEFAULT, *, targets: Sequence[str] = MONTAGE, exclude: Sequence[str] = AUXILIARY, ica: bool = True) -> DataFrame:
@@ -26,7 +55,8 @@ def preprocess(chunks: DataFrame, rate: float, config: Config = DEFAULT, *, targ
         x = x.select("record_id", "channel", "samples", F.lit("skipped").alias("status"), F.lit("not asked for").alias("reason"), F.array().cast("array<int>").alias("removed"))
     x = x.withColumn("samples", signal.standardise(F.col("samples"), config.zscore_eps))
     x = x.withColumn("samples", signal.resample(F.col("samples"), F.lit(rate), config.target_hz, config.rate_tolerance))
-    return x.withColumn("steps", F.array(*[F.lit(s) for s in ("band_pass", "ica", "zscore", "resample")]))
+    done = [f"band_pass {config.low_hz:g}-{config.high_hz:g} Hz", *(["ica"] if ica else []), f"zscore eps {config.zscore_eps:g}", f"resample {rate:g} to {config.target_hz:g} Hz"]
+    return x.withColumn("steps", F.array(*map(F.lit, done)))
 
 
 def epoch_rows(clean: DataFrame, rate: float, config: Config = DEFAULT) -> DataFrame:

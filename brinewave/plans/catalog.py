@@ -567,21 +567,48 @@ def _chunks(spark, sf_dir):
     return g.select("record_id", "channel", F.col("a.v").alias("samples"))
 
 
-@query()
+@query(f"""with {V.EP}, c as (select distinct record_id from ep) select record_id, k::int as component, round(1.0 / 7, 6)::double as share from c, range(7) t(k)""")
 def q56_ica(spark, sf_dir):
-    return signal.ica_variance_profile(_chunks(spark, sf_dir), 8)
+    return rounded(signal.ica_variance_profile(_chunks(spark, sf_dir), 8).drop("channel_share"), "share")
+
+
+@query(f"""with {V.EP}, x as (select record_id, 'C' || ((j - 1) // 8)::varchar as channel, epoch_id, j, samples[j] as v from ep, range(1, 65) t(j)),
+s as (select record_id, channel, avg(v) as m, stddev_pop(v) as sd from x group by all),
+z as (select x.record_id, x.channel, (v - m) / greatest(sd, 1e-12) as z from x join s on x.record_id = s.record_id and x.channel = s.channel)
+select record_id, channel, count(*) as n, round(sum(z * z), 4) as squares, round(sum(z * z * z), 3) as cubes, round(max(z), 5) as highest from z group by all""")
+def q60_standardise(spark, sf_dir):
+    z = _chunks(spark, sf_dir).select("record_id", "channel", F.explode(signal.standardise(F.col("samples"))).alias("z"))
+    sums = z.groupBy("record_id", "channel").agg(F.count("*").alias("n"), r(F.sum(F.pow("z", F.lit(2))), 4).alias("squares"), r(F.sum(F.pow("z", F.lit(3))), 3).alias("cubes"), r(F.max("z"), 5).alias("highest"))
+    return sums
 
 
 @query()
+def q61_math_summary(spark, sf_dir):
+    return rounded(reduce.math_summary(V.points(spark, sf_dir), 8, 8), "silhouette_pca2d")
+
+
+@query(f"""with {V.SIG}, a as (select *, row_number() over (partition by record_id, channel order by i) - 1 as k from sig), s as (select * from a where k >= 2 and k < 9)
+select p.channel as channel_a, q.channel as channel_b, round(covar_samp(p.x, q.x), 4) as cov, count(*) as n
+from s p join s q on p.record_id = q.record_id and p.k = q.k and p.channel <= q.channel group by 1, 2""")
+def q62_sliced_cov(spark, sf_dir):
+    k = F.row_number().over(Window.partitionBy("record_id", "channel").orderBy("i")) - 1
+    return rounded(reduce.channel_covariance(V.sig(spark, sf_dir).withColumn("k", k), span=(2.0, 1.25, 4.9)), "cov", digits=4)
+
+
+@query(f"""with {V.EP}, x as (select record_id, 'C' || ((j - 1) // 8)::varchar as channel, samples[j]::double as v from ep, range(1, 65) t(j))
+select record_id, channel, count(*)::int as n, (2 * count(*))::int as n_resampled, round(sum(v), 4) as total, round(sum(v), 3) as half_total from x group by all""")
 def q57_resample(spark, sf_dir):
     c = _chunks(spark, sf_dir).withColumn("rate", F.lit(128.0))
-    return c.select("record_id", "channel", F.size("samples").alias("n"), F.size(signal.resample(F.col("samples"), F.col("rate"))).alias("n_resampled"))
+    c = c.withColumn("out", signal.resample(F.col("samples"), F.col("rate")))
+    total = lambda a: r(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 4)
+    return c.select("record_id", "channel", F.size("samples").alias("n"), F.size("out").alias("n_resampled"), total(F.col("samples").cast("array<double>")).alias("total"), r(total("out") / 2, 3).alias("half_total"))
 
 
 @query()
 def q58_artefact_removal(spark, sf_dir):
     c = signal.clean_records(_chunks(spark, sf_dir), 64.0)
-    return c.select("record_id", "channel", "status", F.size("removed").alias("n_removed"), F.size("samples").alias("n"))
+    power = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v)
+    return c.select("record_id", "channel", "status", F.size("removed").alias("n_removed"), F.size("samples").alias("n"), r(power, 4).alias("power"))
 
 
 @query()

@@ -17,20 +17,31 @@ def sidecar(lines: DataFrame, *, keys: Sequence[str], text: str = "value") -> Da
     return lines.select(*keys, number(0).alias("s0"), number(1).alias("s1")).where("s0 is not null and s1 is not null")
 
 
+# What the keys of a summary's `key: value` lines say.
+FILE, EVENT, START, END = "file name", "seizure", "start time", "end time"
+
+
 def block_of(content: Column, file_name: Column) -> Column:
-    """The part of a summary that belongs to one file: from its `File Name:` line to the next; null without one."""
-    quoted = F.concat(F.lit("\\Q"), file_name, F.lit("\\E"))
-    pattern = F.concat(F.lit("(?s)File Name: "), quoted, F.lit("\\s+(.*?)(?=\\nFile Name:|\\z)"))
-    return F.when(F.regexp_like(content, pattern), F.element_at(F.regexp_extract_all(content, pattern, F.lit(1)), 1))
+    """array<struct<key, value>>: the `key: value` lines that a summary has for one file, up to the next file's; null without the file.
+
+    Keys are in lower case. Each line is cut at its first colon; the file that a line belongs to is carried along.
+    """
+    lines = F.transform(F.filter(F.split(content, r"\r?\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+    kind = "array<struct<key:string,value:string>>"
+    start = F.struct(F.lit(False).alias("on"), F.lit(False).alias("found"), F.array().cast(kind).alias("own"))
+    step = lambda s, x: F.when(
+        x["key"] == FILE, F.struct((~s["found"] & (x["value"] == file_name)).alias("on"), (s["found"] | (x["value"] == file_name)).alias("found"), s["own"].alias("own"))
+    ).otherwise(F.when(s["on"], F.struct(s["on"].alias("on"), s["found"].alias("found"), F.array_append(s["own"], x).alias("own"))).otherwise(s))
+    return F.aggregate(lines, start, step, lambda s: F.when(s["found"], s["own"]))
 
 
 def summary_intervals(files: DataFrame, *, keys: Sequence[str], content: str = "content", file_name: str = "file_name") -> DataFrame:
     """(keys, seizure_no, s0, s1) from the blocks of summaries; starts and ends are paired in order, the longer list is cut."""
-    block = block_of(F.col(content), F.col(file_name))
-    times = lambda word: F.regexp_extract_all(F.col("__b"), F.lit(rf"Seizure(?:\s+\d+)?\s+{word} Time:\s*([0-9.]+)"), F.lit(1))
-    b = files.withColumn("__b", block).where("__b is not null")
-    both = b.select(*keys, F.posexplode(F.arrays_zip(times("Start").alias("a"), times("End").alias("b"))).alias("seizure_no", "p"))
-    out = both.select(*keys, "seizure_no", F.col("p.a").try_cast("double").alias("s0"), F.col("p.b").try_cast("double").alias("s1"))
+    said = lambda end: F.filter("__b", lambda x: F.startswith(x["key"], F.lit(EVENT)) & F.endswith(x["key"], F.lit(end)))
+    times = lambda end: F.transform(said(end), lambda x: F.substring_index(x["value"], " ", 1).try_cast("double"))
+    b = files.withColumn("__b", block_of(F.col(content), F.col(file_name))).where("__b is not null")
+    both = b.select(*keys, F.posexplode(F.arrays_zip(times(START).alias("a"), times(END).alias("b"))).alias("seizure_no", "p"))
+    out = both.select(*keys, "seizure_no", F.col("p.a").alias("s0"), F.col("p.b").alias("s1"))
     return out.where("s0 is not null and s1 is not null")
 
 
@@ -81,3 +92,23 @@ def discover_patients(files: DataFrame, models: Sequence[str], *, name: str = "f
     other = F.regexp_extract(name, r"^comparison_(.+)\.json$", 1)
     both = files.select(loso.alias("patient")).union(files.select(other.alias("patient")))
     return both.where("patient <> ''").distinct().orderBy("patient")
+
+
+def patient_folders(files: DataFrame, *, path: str = "path") -> list[str]:
+    """Names of the folders that hold recordings, sorted, one for each patient; an error if there are none."""
+    names = files.select(F.element_at(F.split(path, "/"), -2).alias("patient")).distinct().orderBy("patient").collect()
+    if not names:
+        raise ValueError("no patient folders with recordings")
+    return [r.patient for r in names]
+
+
+def first_available(wanted: Sequence[str], available: DataFrame, *, name: str = "patient") -> str | None:
+    """The first of the wanted names, in their order, that is available; without wanted names, the first of all; else None."""
+    found = available.select(name).where(F.col(name).isNotNull()).distinct()
+    if wanted:
+        place = F.array_position(F.array(*map(F.lit, wanted)), F.col(name))
+        found = found.where(place > 0).orderBy(place)
+    else:
+        found = found.orderBy(name)
+    row = found.first()
+    return row[0] if row else None

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from brinewave import pipeline
 from brinewave.config import MONTAGE, Config
+from brinewave.operators import signal
+from brinewave.sources import edf
 
 
 def test_from_signal_to_features(spark):
@@ -19,3 +21,41 @@ def test_from_signal_to_features(spark):
     n = {(r.record_id, r.label): r["count"] for r in w.groupBy("record_id", "label").count().collect()}
     assert n[2, 0] == 14 and n[1, 1] >= 2
     assert w.select(F.size("features").alias("n")).distinct().first().n == 3 * 8 * 10
+
+
+def test_from_files_to_clean_channels(spark, tmp_path):
+    """Two whole recordings, one of another rate; stretches of a file are one channel before they are filtered."""
+    rng = np.random.default_rng(1)
+    signals = {n: rng.normal(0, 30, (10, 64 * 130)) for n in ("a", "b")}
+    for n, x in signals.items():
+        edf.write_edf(str(tmp_path / f"{n}.edf"), list(MONTAGE[:10]), x, 64)
+    edf.write_edf(str(tmp_path / "c.edf"), list(MONTAGE[:10]), rng.normal(0, 30, (10, 32 * 90)), 32)
+    config = Config(target_hz=64.0, low_hz=1.0, high_hz=20.0)
+    clean, status = pipeline.preprocess_files(spark, str(tmp_path), 64.0, config, ica=False)
+    assert sorted(map(tuple, status.collect())) == [("a", "ok", "", 10), ("b", "ok", "", 10), ("c", "failed", "another rate", 10)]
+    rows = {(r.record_id, r.channel): r for r in clean.collect()}
+    assert len(rows) == 20 and "ica" not in rows["a", MONTAGE[0]].steps
+    taps = np.array(signal.band_pass_taps(64.0, low=1.0, high=20.0))
+    y = signal.filtered(signals["b"][3], taps)
+    assert np.abs(np.array(rows["b", MONTAGE[3]].samples) - (y - y.mean()) / y.std()).max() < 0.02
+
+
+def test_gaps_fail_alone(spark):
+    rows = [("a", "C", 0, 2.0, [1.0, 2.0]), ("a", "C", 2, 2.0, [3.0]), ("b", "C", 0, 2.0, [1.0]), ("b", "C", 2, 2.0, [3.0]), ("d", "C", 0, 2.0, [1.0]), ("d", "D", 0, 4.0, [1.0])]
+    df = spark.createDataFrame(rows, "record_id string, channel string, start_sample long, sfreq double, samples array<double>")
+    got = {(r.record_id, r.channel): (r.status, r.samples) for r in pipeline.assemble(df).collect()}
+    assert got["a", "C"] == ("ok", [1.0, 2.0, 3.0]) and {got[k][0] for k in (("b", "C"), ("d", "C"), ("d", "D"))} == {"failed"}
+
+
+def test_cost_rises_with_the_samples_alone(spark):
+    """Sixteen times the samples of a channel take no more than some sixteen times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, c, np.sin(np.arange(n)).tolist()) for c in MONTAGE[:10]], "record_id long, channel string, samples array<double>")
+        began = time.time()
+        pipeline.preprocess(df, 64.0, Config(target_hz=64.0), ica=False).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(2_000)
+    assert seconds(32_000) < 16 * max(seconds(2_000), 1.0)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brinewave.operators import channels
@@ -62,3 +63,13 @@ def test_montage_and_quorum(spark):
     m = {r.record_id: r for r in channels.select_montage(kept).collect()}
     assert m[1].retained == ["FP1-F7", "F7-T7"] and m[1].missing_n == 16 and m[2].retained_n == 1
     assert {r.record_id: r.status for r in channels.quorum(kept, 2).collect()} == {1: "ok", 2: "rejected"}
+
+
+def test_first_available_and_folders(spark):
+    df = spark.createDataFrame([("p2",), ("p1",), (None,)], "patient string")
+    assert annotations.first_available(["p9", "p2", "p1"], df) == "p2" and annotations.first_available([], df) == "p1"
+    assert annotations.first_available(["p9"], df) is None
+    files = spark.createDataFrame([("/x/p2/a.edf",), ("/x/p1/b.edf",), ("/x/p1/c.edf",)], "path string")
+    assert annotations.patient_folders(files) == ["p1", "p2"]
+    with pytest.raises(ValueError, match="no patient"):
+        annotations.patient_folders(files.limit(0))
