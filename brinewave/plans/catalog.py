@@ -600,8 +600,8 @@ select record_id, channel, count(*)::int as n, (2 * count(*))::int as n_resample
 def q57_resample(spark, sf_dir):
     c = _chunks(spark, sf_dir).withColumn("rate", F.lit(128.0))
     c = c.withColumn("out", signal.resample(F.col("samples"), F.col("rate")))
-    total = lambda a: r(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 4)
-    return c.select("record_id", "channel", F.size("samples").alias("n"), F.size("out").alias("n_resampled"), total(F.col("samples").cast("array<double>")).alias("total"), r(total("out") / 2, 3).alias("half_total"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return c.select("record_id", "channel", F.size("samples").alias("n"), F.size("out").alias("n_resampled"), r(total(F.col("samples").cast("array<double>")), 4).alias("total"), r(total("out") / 2, 3).alias("half_total"))
 
 
 @query()
