@@ -36,7 +36,7 @@ from brinewave.llm.common import fresh_path, materialize, table
 
 LEAST_SHARED = 100  # bytes of a payload from which a copy is a revisit
 BLOCK_LINES = 512
-READ_BYTES = 4 << 20  # of the archives that one task of a lookup reads, about
+READ_BYTES = 32 << 20  # of the archives that one task of a lookup reads, about
 OPEN_FILES = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
