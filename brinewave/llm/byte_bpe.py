@@ -6,7 +6,7 @@ it, the position that dies), so it costs three logarithmic updates. Pieces of si
 rows of one array; long pieces take the same tree by themselves.
 
 Defined cases. Null and empty texts have no tokens and decode to no bytes. Texts and pieces of any length are encoded
-whole. Repeated texts get equal ids. Other columns are kept; the outputs replace columns of the same names.
+whole. Of pairs of equal rank the leftmost merges first. An empty table gives no rows. Repeated texts get equal ids. Other columns are kept; the outputs replace columns of the same names.
 """
 
 from __future__ import annotations

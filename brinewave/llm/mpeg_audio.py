@@ -10,7 +10,8 @@ end of the stream follows where its length says so.
 
 Defined cases. A null or empty text is the empty payload, stored as one unit of padding. A null stream has no frames and
 duration 0. Bytes that belong to no frame and no tag are counted as skipped; frames with a wrong checksum are counted
-and their payload is left out. Repeated rows get equal streams. Extra columns are kept; outputs replace columns of the same names.
+and their payload is left out. Very long texts are stored whole, in as many frames as they need. Nothing is
+compared, so there are no ties. An empty table gives no rows. Repeated rows get equal streams. Extra columns are kept; outputs replace columns of the same names.
 """
 
 from __future__ import annotations

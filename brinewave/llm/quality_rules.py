@@ -6,7 +6,9 @@ number of rows without Python.
 
 Defined cases. Null and empty texts count as no words, so they fail the base rule. Null labels are left out of the
 training. Without labelled rows, or with one class only, the list is empty and keeps all that passes the base rule.
-Repeated rows get equal verdicts. A column of the input with the name of a statistic is replaced.
+Of conditions with equal gains the first in the order of the
+features, and of its thresholds the lowest, is taken. Very long texts are measured whole, one at a time; an empty table
+gives no rows. Repeated rows get equal verdicts. Extra columns are kept; a column of the input with the name of a statistic is replaced.
 """
 
 from __future__ import annotations
@@ -258,7 +260,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, learned from the labels of what the stage gets."""
+    """Documents that the rules keep, learned from the labels of what the stage gets. Odd rows as in the module; the columns are those of docs."""
     rules = fit(docs, table(spark, sf_dir, "labels"))
     measured = docs.withColumn("__stats", text_stats(F.col("text")))
     features = ratio_columns(lambda c: F.col(f"__stats.{c}"))

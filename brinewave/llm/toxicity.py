@@ -10,7 +10,9 @@ inflected forms share what was learned of their stem.
 
 Defined cases. A null or empty text has no segments and gets the score of such a text, near 0. Rows without a label
 are scored like all others. Without labelled rows of both classes every score is 0. A null doc_id is not held out.
-Repeated rows get equal scores. Extra columns are kept; __score columns are reserved.
+Very long texts are scanned whole. Of labels that repeat a doc_id the toxic one
+counts. Tokens of equal weight and segments of equal score need no order: only sums and the highest score are used. An
+empty table gives no rows. Repeated rows get equal scores. Extra columns are kept; __score columns are reserved.
 """
 
 from __future__ import annotations
@@ -286,6 +288,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under 0.7."""
+    """Documents whose score is under 0.7. Null and blank texts score near 0 and stay; other odd rows as in the module; the columns are those of docs."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model).where("score < 0.7").select("__row.*")

@@ -10,7 +10,8 @@ the index is a table, joined by token to the distinct URLs.
 Only DataFrame operations are used.
 
 Defined cases. A null URL, or one without ://, has an empty host and an empty path; no host rule fits it and patterns see
-the empty string. Repeated rows get equal verdicts. Without rules everything is allowed. Extra columns are kept by `judge`; outputs
+the empty string. Very long URLs are judged whole; an empty table gives no rows. Of host rules that fit the longest
+wins; of patterns a blocking one before an allowing one, then the longer; of rules of equal text the blocking one. Repeated rows get equal verdicts. Without rules everything is allowed. Extra columns are kept by `judge`; outputs
 replace columns of the same names, and __ columns are reserved.
 """
 
@@ -142,12 +143,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *,
         fitting = F.filter(candidates, lambda r: F.rlike(whole, r["expression"]))
         return _verdict(pages.withColumns({"host": host, "path": path}).withColumn("__best", _best(fitting)))
     spark = pages.sparkSession
-    rows = [(t, r["name"], r["block"], r["weight"], r["host"], r["expression"]) for t, rs in filed.items() for r in rs]
+    rows = [(t, r["name"], r["block"], r["weight"], r["host"], r["expression"]) for t, rs in filed.items() if t for r in rs]
     table_ = spark.createDataFrame(rows, "token string, name string, block boolean, weight int, host_rule boolean, expression string")
     urls = pages.select(F.coalesce("url", F.lit("")).alias("__url")).distinct()
     h, p = host_and_path(F.col("__url"))
-    split = urls.select("__url", h.alias("__h"), p.alias("__p")).withColumn("token", F.explode(F.array_append(tokens(F.col("__h"), F.col("__p")), F.lit(""))))
-    hit = split.join(table_, "token").where(F.rlike(F.concat("__h", "__p"), F.col("expression")))
+    parts = urls.select("__url", h.alias("__h"), p.alias("__p"))
+    split = parts.withColumn("token", F.explode(tokens(F.col("__h"), F.col("__p"))))
+    hit = split.join(table_, "token").where(F.rlike(F.concat("__h", "__p"), F.col("expression"))).select("__url", "name", "block", "weight", "host_rule", "expression")
+    if filed[""]:  # rules without a token meet every URL, as a constant and not by a key that all URLs share
+        free = F.from_json(F.lit(json.dumps(filed[""])), f"array<{RULE_TYPE}>")
+        met = parts.select("__url", F.explode(F.filter(free, lambda r: F.rlike(F.concat("__h", "__p"), r["expression"]))).alias("r"))
+        hit = hit.unionByName(met.select("__url", "r.name", "r.block", "r.weight", F.col("r.host").alias("host_rule"), "r.expression"))
     rule = F.struct("name", "block", "weight", F.col("host_rule").alias("host"), "expression")
     rank = F.struct("host_rule", F.when(F.col("host_rule"), F.col("weight")).otherwise(F.col("block").cast("int")), "weight", "name")
     best = hit.groupBy("__url").agg(F.max_by(rule, rank).alias("__r"))

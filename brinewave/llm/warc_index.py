@@ -10,7 +10,7 @@ Files are named anew by each attempt of a task, and only names that a finished t
 
 Defined cases. A null html is an empty payload; a null url has the key ")". Of rows that repeat a page_id within a group
 of equal payloads all those with the smallest page_id are responses. A group without any page_id holds responses only; a row without page_id
-in another group is a revisit. An empty table gives no archives. Only the named columns are archived.
+in another group is a revisit. Very long pages are one record each, compressed in one piece. An empty table gives no archives. Only the named columns are archived.
 """
 
 from __future__ import annotations
