@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brinewave.config import DEFAULT
 
 DAY = 86_400.0
+SCORE_RANGES = 32
 
 
 def rising_edges(predictions: DataFrame, *, by: Sequence[str] = ("record_id",), order: Sequence[str] = ("t_sec", "event_id"), pred: str = "y_pred") -> DataFrame:
@@ -93,11 +94,20 @@ def recall_f1(predictions: DataFrame, *, by: Sequence[str] = (), true: str = "y_
 def average_precision(predictions: DataFrame, *, by: Sequence[str], true: str = "y_true", score: str = "y_score") -> DataFrame:
     """(by, pr_auc): sum of precision times the step in recall over distinct scores, falling; null with one class only.
 
-    Rows are summed per score first, so the running sums go over distinct scores.
+    Rows are summed per score first, so the running sums go over distinct scores. A group's scores are cut into
+    SCORE_RANGES at quantiles: the sums of the ranges above are added to the running sums within a range, so a group
+    that holds all rows is still summed by many tasks. Where the cuts lie doesn't change the result.
     """
+    keys = list(by)
     g = predictions.groupBy(*by, score).agg(F.sum(true).alias("tp"), F.count("*").alias("n"))
-    run = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"ctp": F.sum("tp").over(run), "cn": F.sum("n").over(run)})
+    cuts = predictions.groupBy(*by).agg(F.percentile_approx(score, [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 1000).alias("__cuts"))
+    g = g.join(cuts, keys).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c >= F.col(score))), F.lit(0))).drop("__cuts")
+    g = g.withColumn("__range", F.when(F.col(score).isNull(), SCORE_RANGES).otherwise(F.col("__range")))  # without a score: last
+    above = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    sums = g.groupBy(*by, "__range").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n")).select(*by, "__range", total("tp").alias("__tp"), total("n").alias("__n"))
+    run = Window.partitionBy(*by, "__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.join(sums, [*by, "__range"]).withColumns({"ctp": F.sum("tp").over(run) + F.col("__tp"), "cn": F.sum("n").over(run) + F.col("__n")})
     out = g.groupBy(*by).agg(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("s"), F.sum("tp").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("s") / F.col("p")).alias("pr_auc"))
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +88,21 @@ def test_ranking_of_nulls(spark):
 def test_confusion_keeps_empty_cells(spark):
     p = spark.createDataFrame([(0, 0), (0, 0)], "y_true int, y_pred int")
     assert sorted((r.actual, r.predicted, r.n) for r in detect.confusion(p).collect()) == [(0, 0, 2), (0, 1, 0), (1, 0, 0), (1, 1, 0)]
+
+
+def test_average_precision_however_scores_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(y), float(s)) for g, y, s in zip(rng.integers(0, 3, 600), rng.random(600) < 0.3, rng.integers(0, 90, 600) / 7, strict=True)] + [(0, 1, None), (1, 0, None)]
+    df = spark.createDataFrame(rows, "g int, y_true int, y_score double")
+    take = lambda: {r.g: r.pr_auc for r in detect.average_precision(df, by=["g"]).collect()}
+    got = take()
+    for g in range(3):
+        own = [(s, y) for k, y, s in rows if k == g]
+        total, tp, n, out = sum(y for _, y in own), 0, 0, 0.0
+        for s in sorted({s for s, _ in own}, key=lambda s: (s is None, -(s or 0))):
+            here = [y for t, y in own if t == s]
+            tp, n = tp + sum(here), n + len(here)
+            out += sum(here) * tp / n
+        assert abs(got[g] - out / total) < 1e-9
+    monkeypatch.setattr(detect, "SCORE_RANGES", 2)
+    assert all(abs(take()[g] - got[g]) < 1e-12 for g in got)
