@@ -18,10 +18,11 @@ MODULES = {
     "op8_source_mixing": "source_mixing",
     "op9_lm_scoring": "lm_scoring",
     "op10_near_dedup": "near_dedup",
+    "op11_phrase_mining": "phrase_mining",
     "op13_simhash_dedup": "simhash_dedup",
 }
 
-SQL = (("op3_warc_index", "warc_index", "OP3_SQL"), ("op7_url_filters", "url_filters", "OP7_SQL"))
+SQL = (("op3_warc_index", "warc_index", "OP3_SQL"), ("op7_url_filters", "url_filters", "OP7_SQL"), ("op11_phrase_mining", "phrase_mining", "OP11_SQL"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
