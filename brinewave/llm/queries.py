@@ -19,6 +19,7 @@ MODULES = {
     "op9_lm_scoring": "lm_scoring",
     "op10_near_dedup": "near_dedup",
     "op11_phrase_mining": "phrase_mining",
+    "op12_token_alignment": "token_alignment",
     "op13_simhash_dedup": "simhash_dedup",
 }
 
