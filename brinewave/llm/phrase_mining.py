@@ -8,13 +8,16 @@ phrase can only be frequent if it is without its last and without its first word
 2. One pass over all documents counts every word and every phrase whose two shorter ones are proposed. That is the
    proposal and its whole negative border, as far as the border occurs at all, without listing it.
 3. A frequent phrase that wasn't proposed is a border failure: its extensions were not counted. Further passes over all
-   documents count what failures make countable, until a pass brings none. Then the frequent phrases are complete and
-   their counts exact, whatever the sample was.
+   documents count what failures make countable, until a pass brings none.
+4. A last pass counts by their texts, per language, the phrases that have turned out frequent.
+
+The passes before the last count by 61-bit hashes of language and phrase, so no texts are shuffled for the many rare
+ones; phrases that share a hash can only make a count too high, and the last pass sets that right. So the result is
+complete and its counts are exact, whatever the sample and the hashes were.
 
 Tasks know proposed phrases by a filter of hashes, whose size is bounded; a filter that takes in too much costs
-time, since what it takes in is counted and dropped, and never a phrase. Phrases themselves are counted by their text:
-within a task as pairs of integers (shorter phrase, last word), between tasks by Spark. Scores, cuts and the test for
-longer phrases are joins.
+time, since what it takes in is counted and dropped, and never a phrase. Within a task a phrase is a pair of integers
+(shorter phrase, last word). Scores, cuts and the test for longer phrases are joins.
 
 Memory. A task holds CHUNK_WORDS words and their distinct phrases, its dictionary of at most CACHE_WORDS words (more
 only within a chunk), and a filter of at most 2 ** MOST_BITS bits, which is also what the driver gathers of the phrases.
@@ -29,7 +32,6 @@ gives no rows. doc_id, text and lang are read and no other column, so extra colu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 from math import comb
 
 import numpy as np
@@ -47,10 +49,11 @@ TOP = 2_000  # phrases of a language in the result
 SAMPLE_SHARE = 8  # one document in so many is in the sample
 MISS = 0.01
 CHUNK_WORDS = 1_000_000
+CHUNK_BYTES = 4_000_000  # of texts that are split into words at once
 CACHE_WORDS = 300_000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28  # bits of a filter for a phrase; its size as powers of two
 SALT = 64  # parts in which the phrases of a language are ranked first
-END = b"."  # stands between pieces; a word never has it
+END = "."  # stands between pieces; a word never has it
 CUT = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,32 +61,51 @@ P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # --- words and phrases of a chunk
 
 
-class Words(dict):
-    """Ids of words in the order in which they are first met, with their texts and hashes."""
+class Words:
+    """Ids of words by language, from 1, with their texts, languages and hashes; END is 0 in every language."""
 
     def __init__(self) -> None:
-        self.texts: list[bytes] = []
-        self.hashes: list[int] = []
-        self[END]  # id 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.texts)
-        self.texts.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return n
-
-
-def split(text: str | None) -> list[bytes]:
-    """The words of a text with END after each piece; A-Z are lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(CUT).replace(END, b" . ").split() + [END]
-
-
-def mixed(h: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Hashes of phrases, one word longer."""
+        self.ids: dict[str, dict[str, int]] = {}
+        self.texts, self.hashes, self.langs, self.lang_of = [END], [0], [], [0]
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def encode(self, lang: str, said: pa.Array) -> np.ndarray:
+        """The ids of words of a language, with END among them."""
+        coded = said.dictionary_encode()
+        own = self.ids.get(lang)
+        if own is None:
+            own = self.ids[lang] = {END: 0}
+            self.langs.append(lang)
+        place, seed = self.langs.index(lang), None
+        out = []
+        for w in coded.dictionary.to_pylist():
+            n = own.get(w)
+            if n is None:
+                seed = seed or xxhash.xxh3_64_intdigest(lang.encode())
+                n = own[w] = len(self.texts)
+                self.texts.append(w)
+                self.lang_of.append(place)
+                self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed))
+            out.append(n)
+        return np.array(out, np.int64)[coded.indices.to_numpy()]
+
+
+def split(texts: list[str]) -> pa.Array:
+    """The words of texts, with END after each piece; A-Z are lower-cased."""
+    raw = f" {END} ".join(texts).encode("utf-8", "surrogatepass").lower().translate(CUT).replace(b".", b" . ") + b" . "
+    whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int64).tobytes()), pa.py_buffer(raw)])
+    said = pc.list_flatten(pc.ascii_split_whitespace(whole))
+    return said.filter(pc.greater(pc.binary_length(said), 0))
+
+
+def mixed(h: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of phrases of so many words, which the last three bits tell, from those of one word less and the last words'."""
     h = (h ^ other) * P1
     h ^= h >> np.uint64(29)
     h *= P2
-    return h ^ h >> np.uint64(32)
+    return (h ^ h >> np.uint64(32)) & ~np.uint64(7) | np.uint64(size)
 
 
 class Filter:
@@ -92,110 +114,119 @@ class Filter:
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
-    def __contains__(self, h) -> bool:
-        return bool(self.has(np.array([h], np.uint64))[0])
-
     def has(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.zeros(len(h), bool)
-        at = (h >> np.uint64(24)) & np.uint64(len(self.words) - 1)
+        at = (h >> np.uint64(32)) & np.uint64(len(self.words) - 1)
         bits = np.zeros(len(h), np.uint64)
         for k in range(4):
-            bits |= np.uint64(1) << (h >> np.uint64(6 * k) & np.uint64(63))
+            bits |= np.uint64(1) << (h >> np.uint64(3 + 6 * k) & np.uint64(63))
         return self.words[at] & bits == bits
 
 
 class Level:
-    """The distinct phrases of so many words in a chunk: which shorter phrase and last word each is, its count, hash and language."""
-
-    def __init__(self, keys: np.ndarray, below: Level | None, words: Words, hashes: np.ndarray, langs: np.ndarray) -> None:
-        coded = pa.array(keys).dictionary_encode()
-        self.codes = coded.indices.to_numpy()
+    """The distinct phrases of so many words in a chunk: codes of its positions, and of each phrase the shorter phrase, last word, number and hash."""
+
+    def __init__(self, words: Words, ids: np.ndarray) -> None:
+        self.size, self.below, self.codes = 1, None, ids
+        self.first = self.last = np.arange(len(words))
+        self.hash = mixed(np.zeros(len(words), np.uint64), np.array(words.hashes, np.uint64), 1)
+        self.n = np.bincount(ids, minlength=len(words))
+        self.n[0] = 0
+
+    def longer(self, at: np.ndarray, place: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Level:
+        """The phrases that begin at positions at and are a word longer; place: where in codes a position is."""
+        out = object.__new__(Level)
+        coded = pa.array(self.codes[place[at]].astype(np.int64) << 32 | ids[at + self.size]).dictionary_encode()
         unique = coded.dictionary.to_numpy()
-        self.first, self.last = unique >> 32, unique & 0xFFFFFFFF
-        self.n = np.bincount(self.codes, minlength=len(unique))
-        self.below, self.words = below, words
-        self.lang = self.first if below is None else below.lang[self.first]
-        self.hash = mixed((langs if below is None else below.hash)[self.first], hashes[self.last])
+        out.size, out.below, out.codes = self.size + 1, self, coded.indices.to_numpy()
+        out.first, out.last = unique >> 32, unique & 0xFFFFFFFF
+        out.hash = mixed(self.hash[out.first], hashes[out.last], out.size)
+        out.n = np.bincount(out.codes, minlength=len(unique))
+        return out
 
     def spell(self, at: np.ndarray, texts: pa.Array) -> pa.Array:
         last = texts.take(pa.array(self.last[at]))
-        return last if self.below is None else pc.binary_join_element_wise(self.below.spell(self.first[at], texts), last, pa.scalar(b" "))
+        return last if self.below is None else pc.binary_join_element_wise(self.below.spell(self.first[at], texts), last, " ")
+
+    def first_words(self, at: np.ndarray) -> np.ndarray:
+        return at if self.below is None else self.below.first_words(self.first[at])
 
 
-OCCURRENCES = "lang string, phrase string, size int, hash long, n long"
+HASHED, SPELLED = "hash long, n long", "lang string, phrase string, size int, n long"
 
 
-def count_chunk(words: Words, ids: np.ndarray, lang_of: np.ndarray, langs: list[str], wanted: set[int], known: Filter, new: Filter | None) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, size, hash, n) of a chunk's phrases of the wanted sizes whose two shorter ones are known; words count all.
+def count_chunk(words: Words, ids: np.ndarray, wanted: set[int], known: Filter, new: Filter | None = None, spelled: bool = False) -> Iterator[pa.RecordBatch]:
+    """Numbers of a chunk's phrases of the wanted sizes whose two shorter ones are known; words count all.
 
-    With a filter of new phrases only those of which a shorter one is new. Size 0 has a language's number of words.
+    (hash, n); with a filter of new phrases only those of which a shorter one is new. Or spelled, (lang, phrase, size, n)
+    of those that are known themselves, and size 0 with a language's number of words.
     """
     hashes = np.array(words.hashes, np.uint64)
-    texts = pa.array(words.texts, pa.binary())
-    lang_hash = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in langs], np.uint64)
-    names = pa.array(langs, pa.string())
-
-    def rows(lang: np.ndarray, phrase: pa.Array, size: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "hash", "n"])
-
-    at = np.flatnonzero(ids)
-    if 0 in wanted:
-        n = np.bincount(lang_of[at], minlength=len(langs))
-        yield rows(np.arange(len(langs)), pa.array([b""] * len(langs), pa.binary()), 0, lang_hash, n)
-    level, needed = None, None
+    langs, lang_of, texts = pa.array(words.langs, pa.string()), np.array(words.lang_of), pa.array(words.texts, pa.string()) if spelled else None
+
+    def rows(level: Level, some: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(some), 100_000):
+            part = some[k : k + 100_000]
+            n = pa.array(level.n[part].astype(np.int64))
+            if spelled:
+                own = langs.take(pa.array(lang_of[level.first_words(part)]))
+                yield pa.RecordBatch.from_arrays([own, level.spell(part, texts), pa.array(np.full(len(part), level.size, np.int32)), n], ["lang", "phrase", "size", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(level.hash[part].view(np.int64)), n], ["hash", "n"])
+
+    level, at, needed = Level(words, ids), np.flatnonzero(ids), None
+    place = np.arange(len(ids) + 1)  # where in level.codes a position's phrase is
+    if spelled:
+        n = np.bincount(lang_of, weights=level.n, minlength=len(langs)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([langs, pa.array([""] * len(langs)), pa.array(np.zeros(len(langs), np.int32)), pa.array(n)], ["lang", "phrase", "size", "n"])
     for size in range(1, max(wanted) + 1):
-        if not len(at):
-            return
-        first = lang_of[at] if level is None else level.codes[place[at]]
-        level = Level(first.astype(np.int64) << 32 | ids[at + size - 1], level, words, hashes, lang_hash)
-        if size in wanted:
-            some = np.arange(len(level.n))
-            if new is not None:  # whether it is needed is the same wherever a phrase occurs
-                every = np.zeros(len(level.n), bool)
-                every[level.codes] = needed if needed is not None else False
-                some = np.flatnonzero(every)
-            for k in range(0, len(some), 100_000):
-                part = some[k : k + 100_000]
-                yield rows(level.lang[part], level.spell(part, texts), size, level.hash[part], level.n[part])
-        place = np.zeros(len(ids) + 1, np.int64)  # where in level.codes a position's phrase is
-        place[at] = np.arange(len(at))
-        may = np.zeros(len(ids) + 1, bool)
-        may[at] = known.has(level.hash)[level.codes]
-        if new is not None:
-            fresh = np.zeros(len(ids) + 1, bool)
-            fresh[at] = new.has(level.hash)[level.codes]
-        at = np.flatnonzero(may[:-1] & may[1:])
-        if new is not None:
-            needed = fresh[at] | fresh[at + 1]
-
-
-def counter(wanted: set[int], known, new=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        if size > 1:
+            may = np.zeros(len(ids) + 1, bool)
+            fits = known.has(level.hash)
+            may[at] = fits[level.codes[place[at]]]
+            if new is not None:
+                fresh = np.zeros(len(ids) + 1, bool)
+                fresh[at] = new.has(level.hash)[level.codes[place[at]]]
+            at = np.flatnonzero(may[:-1] & may[1:])
+            if not len(at):
+                return
+            needed = None if new is None else fresh[at] | fresh[at + 1]
+            level = level.longer(at, place, ids, hashes)
+            place = np.zeros(len(ids) + 1, np.int64)
+            place[at] = np.arange(len(at))
+        if size not in wanted:
+            continue
+        if spelled:
+            yield from rows(level, np.flatnonzero((level.n > 0) & known.has(level.hash)))
+        elif needed is None:
+            yield from rows(level, np.flatnonzero(level.n))
+        else:  # whether a phrase is needed is the same wherever it occurs
+            every = np.zeros(len(level.n), bool)
+            every[level.codes] = needed
+            yield from rows(level, np.flatnonzero(every))
+
+
+def counter(wanted: set[int], known, new=None, *, spelled: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function of (lang, text); known and new are broadcast filters."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, fresh = Filter(np.frombuffer(known.value, np.uint64)), None if new is None else Filter(np.frombuffer(new.value, np.uint64))
-        words, ids, lang_of, langs, held = Words(), [], [], {}, 0
-
-        def chunk() -> Iterator[pa.RecordBatch]:
-            yield from count_chunk(words, np.concatenate(ids), np.concatenate(lang_of), list(langs), wanted, have, fresh)
-
+        words, ids, held = Words(), [], 0
         for b in batches:
-            names, texts = iter(b.column("lang").to_pylist()), b.column("text")
-            for text in chain.from_iterable(portions(texts)):
-                row = split(text)
-                code = langs.setdefault(next(names), len(langs))
-                ids.append(np.fromiter(map(words.__getitem__, row), np.int64, len(row)))
-                lang_of.append(np.full(len(row), code, np.int64))
-                held += len(row)
-                if held >= CHUNK_WORDS:
-                    yield from chunk()
-                    ids, lang_of, langs, held = [], [], {}, 0
-                    if len(words) > CACHE_WORDS:
-                        words = Words()
+            langs = b.column("lang").dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = b.column("text").filter(pc.equal(langs.indices, k))
+                for texts in portions(own.drop_null(), CHUNK_BYTES):
+                    ids.append(words.encode(lang, split(texts)))
+                    held += len(ids[-1])
+                    if held >= CHUNK_WORDS:
+                        yield from count_chunk(words, np.concatenate(ids), wanted, have, fresh, spelled)
+                        ids, held = [], 0
+                        if len(words) > CACHE_WORDS:
+                            words = Words()
         if held:
-            yield from chunk()
+            yield from count_chunk(words, np.concatenate(ids), wanted, have, fresh, spelled)
         words, ids = Words(), []
         give_back()
 
@@ -222,8 +253,8 @@ def filter_words(phrases: DataFrame) -> np.ndarray:
     if not n:
         return np.empty(0, np.uint64)
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n - 1).bit_length())) - 6
-    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(hash, {6 * k}) & 63 as int))" for k in range(4)))
-    rows = phrases.select(F.shiftrightunsigned("hash", 24).bitwiseAND(F.lit(size - 1)).cast("int").alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    bits = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(hash, {3 + 6 * k}) & 63 as int))" for k in range(4)))
+    rows = phrases.select(F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(size - 1)).cast("int").alias("at"), bits.alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
     got = rows.toArrow()
     out = np.zeros(size, np.int64)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
@@ -238,46 +269,45 @@ def in_sample(share: int) -> Column:
 
 
 def propose(sample: DataFrame, *, least: int, longest: int) -> DataFrame:
-    """(hash, size) of the phrases with at least so many occurrences in a sample (lang, text), level by level."""
+    """(hash) of the phrases with at least so many occurrences in a sample (lang, text), level by level."""
     sc = sample.sparkSession.sparkContext
     found = None
     for size in range(1, longest + 1):
         words = filter_words(found) if found is not None else np.empty(0, np.uint64)
-        known = sc.broadcast(words.tobytes())
-        counted = sample.mapInArrow(counter({size}, known), OCCURRENCES).select("hash", "size", "n")
-        now = materialize(counted.groupBy("hash", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash", "size"), f"proposed-{size}")
+        counted = sample.mapInArrow(counter({size}, sc.broadcast(words.tobytes())), HASHED)
+        now = materialize(counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash"), f"proposed-{size}")
+        found = now if found is None else found.unionAll(now)
         if now.isEmpty():
             break
-        found = now if found is None else found.unionAll(now)
-    return found if found is not None else now
+    return found
 
 
 def frequent_phrases(documents: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, share: int = SAMPLE_SHARE, least: int | None = None) -> DataFrame:
-    """(lang, phrase, size, hash, f) of every phrase of 1 to longest words with f >= support occurrences; size 0 has a language's number of words."""
+    """(lang, phrase, size, f) of every phrase of 1 to longest words with f >= support occurrences; size 0 has a language's number of words."""
     spark = documents.sparkSession
     short_batches(spark)
-    sc = spark.sparkContext
+    sent = lambda phrases: spark.sparkContext.broadcast(filter_words(phrases).tobytes())
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     drawn = documents.where(in_sample(share)).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     least = least_in_sample(support, share) if least is None else least
-    proposed = propose(materialize(drawn, "sample"), least=least, longest=longest).select("hash")
+    known = propose(materialize(drawn, "sample"), least=least, longest=longest)
 
-    def counted(wanted: set[int], known: np.ndarray, new: np.ndarray | None, name: str) -> DataFrame:
-        own = counter(wanted, sc.broadcast(known.tobytes()), None if new is None else sc.broadcast(new.tobytes()))
-        n = texts.mapInArrow(own, OCCURRENCES).groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.min("hash").alias("hash"), F.sum("n").alias("f"))
-        return materialize(n.where((F.col("f") >= support) | (F.col("size") == 0)), name)
+    def counted(wanted: set[int], known, new=None) -> DataFrame:
+        n = texts.mapInArrow(counter(wanted, known, new), HASHED).groupBy("hash").agg(F.sum("n").alias("n"))
+        return materialize(n.where(F.col("n") >= support).select("hash"), "frequent")
 
-    found = counted(set(range(longest + 1)), filter_words(proposed), None, "phrases")
-    known, last = proposed, found
+    found = last = counted(set(range(1, longest + 1)), sent(known))
     while True:
-        failures = materialize(last.where((F.col("size") > 0) & (F.col("size") < longest)).select("hash").distinct().join(known, "hash", "left_anti"), "failures")
+        short = F.col("hash").bitwiseAND(F.lit(7)) < longest
+        failures = materialize(last.where(short).join(known, "hash", "left_anti"), "failures")
         if failures.isEmpty():
-            return found
+            break
         known = known.unionAll(failures)
-        last = counted(set(range(2, longest + 1)), filter_words(known), filter_words(failures), "expansion")
-        last = last.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_anti")  # what a filter let in before has its count
-        last = materialize(last, "expansion")
-        found = found.unionByName(last)
+        last = counted(set(range(2, longest + 1)), sent(known), sent(failures))
+        found = found.unionAll(last)
+    exact = texts.mapInArrow(counter(set(range(1, longest + 1)), sent(found.distinct()), spelled=True), SPELLED)
+    f = exact.groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.sum("n").alias("f"))
+    return materialize(f.where((F.col("f") >= support) | (F.col("size") == 0)), "phrases")
 
 
 def scored(frequent: DataFrame) -> DataFrame:
