@@ -48,9 +48,9 @@ LONGEST = 5  # words of a phrase
 TOP = 2_000  # phrases of a language in the result
 SAMPLE_SHARE = 8  # one document in so many is in the sample
 MISS = 0.01
-CHUNK_WORDS = 1_000_000
-CHUNK_BYTES = 4_000_000  # of texts that are split into words at once
-CACHE_WORDS = 300_000
+CHUNK_WORDS = 500_000
+CHUNK_BYTES = 1_000_000  # of texts that are split into words at once
+CACHE_WORDS = 150_000
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28  # bits of a filter for a phrase; its size as powers of two
 SALT = 64  # parts in which the phrases of a language are ranked first
 END = "."  # stands between pieces; a word never has it
@@ -225,6 +225,7 @@ def counter(wanted: set[int], known, new=None, *, spelled: bool = False) -> Call
                         ids, held = [], 0
                         if len(words) > CACHE_WORDS:
                             words = Words()
+                        give_back()
         if held:
             yield from count_chunk(words, np.concatenate(ids), wanted, have, fresh, spelled)
         words, ids = Words(), []
