@@ -140,9 +140,9 @@ def whiten(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return matrix @ (x - mean), matrix, mean
 
 
-def fast_ica(x: np.ndarray, n: int, *, iterations: int = DEFAULT.ica_iterations, seed: int = 42, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sources n x samples of unit variance, unmixing n x channels, mean) by symmetric fixed-point steps with tanh."""
-    z, white, mean = whiten(x, n)
+def fixed_point(z: np.ndarray, *, iterations: int = DEFAULT.ica_iterations, seed: int = 42, tolerance: float = 1e-6) -> np.ndarray:
+    """Weights n x n of the independent sources of whitened samples n x samples, by symmetric steps with tanh."""
+    n = len(z)
     w = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, n)))[0]
     for _ in range(iterations):
         g = np.tanh(w @ z)
@@ -153,7 +153,21 @@ def fast_ica(x: np.ndarray, n: int, *, iterations: int = DEFAULT.ica_iterations,
         w = new
         if moved < tolerance:
             break
-    unmixing = w @ white
+    return w
+
+
+def in_order(unmixing: np.ndarray) -> np.ndarray:
+    """The same sources, the one that brings most to the channels first, and each with the sign that its largest weight in them is positive."""
+    mixing = np.linalg.pinv(unmixing)
+    at = np.argsort(-(mixing**2).sum(axis=0), kind="stable")
+    largest = np.abs(mixing).argmax(axis=0)
+    return (unmixing * np.sign(mixing[largest, range(len(unmixing))])[:, None])[at]
+
+
+def fast_ica(x: np.ndarray, n: int, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sources n x samples of unit variance, unmixing n x channels, mean) of one array of channels x samples."""
+    z, white, mean = whiten(x, n)
+    unmixing = in_order(fixed_point(z, **options) @ white)
     return unmixing @ (x - mean), unmixing, mean
 
 
@@ -170,65 +184,44 @@ def _odd(scores: np.ndarray, threshold: float) -> set[int]:
     return out
 
 
-def remove_artefacts(x: np.ndarray, channels: Sequence[str], rate: float, *, components: int = DEFAULT.ica_components, eye: float = DEFAULT.eye_threshold, muscle: float = DEFAULT.muscle_threshold) -> tuple[np.ndarray, dict]:
-    """(cleaned channels x samples, what was done). Eye components follow FP1 or FP2; muscle components rise with frequency.
+def mean_spectrum(sources: np.ndarray, rate: float, seconds: float) -> np.ndarray:
+    """Power of whole segments of that length, averaged; of all samples where they are fewer."""
+    n = min(int(seconds * rate), sources.shape[1])
+    k = sources.shape[1] // n
+    return (np.abs(np.fft.rfft(sources[:, : k * n].reshape(len(sources), k, n), axis=2)) ** 2).mean(axis=1)
 
-    At most half of the components go, the first by number. With fewer than two components, or if the fit fails, the
-    signal comes back as it was, with the reason.
-    """
-    n = min(components, len(channels) - 1)
-    if n < 2:
-        return x, {"status": "skipped", "reason": "fewer than two components", "removed": []}
-    try:
-        sources, unmixing, mean = fast_ica(x, n)
-    except np.linalg.LinAlgError as e:
-        return x, {"status": "skipped", "reason": str(e), "removed": []}
+
+def log_slopes(power: np.ndarray, rate: float) -> np.ndarray | None:
+    """How steeply each source's power rises from 7 to 45 Hz, both in logarithms; None with too few frequencies."""
+    f = np.linspace(0, rate / 2, power.shape[1])
+    band = (f >= 7) & (f <= min(45.0, rate / 2))
+    return np.polyfit(np.log(f[band]), np.log(power[:, band].T + 1e-30), 1)[0] if band.sum() > 2 else None
+
+
+def artefact_numbers(corr: np.ndarray, channels: Sequence[str], slopes: np.ndarray | None, eye: float, muscle: float) -> list[int]:
+    """Sources to remove, by their correlations with the channels (sources x channels) and their slopes; at most half, the first by number."""
     bad: set[int] = set()
     for k, name in enumerate(channels):
         if name.upper().startswith(("FP1", "FP2")):
-            bad |= _odd(np.nan_to_num(np.array([np.corrcoef(s, x[k])[0, 1] for s in sources])), eye)
-    power = np.abs(np.fft.rfft(sources, axis=1)) ** 2
-    f = np.fft.rfftfreq(sources.shape[1], 1 / rate)
-    band = (f >= 7) & (f <= min(45.0, rate / 2))
-    if band.sum() > 2:
-        slope = np.polyfit(np.log(f[band]), np.log(power[:, band].T + 1e-30), 1)[0]
-        bad |= set(np.flatnonzero(1 / (1 + np.exp(-slope)) >= muscle).tolist())
-    removed = sorted(bad)[: n // 2]
-    mixing = np.linalg.pinv(unmixing)
-    return x - mixing[:, removed] @ sources[removed], {"status": "ok", "reason": "", "removed": removed}
+            bad |= _odd(corr[:, k], eye)
+    if slopes is not None:
+        bad |= set(np.flatnonzero(1 / (1 + np.exp(-slopes)) >= muscle).tolist())
+    return sorted(bad)[: len(corr) // 2]
 
 
-def clean_records(chunks: DataFrame, rate: float) -> DataFrame:
-    """Artefact removal for each recording; chunks has record_id, channel and samples of equal length.
+def remove_artefacts(x: np.ndarray, channels: Sequence[str], rate: float, *, components: int = DEFAULT.ica_components, eye: float = DEFAULT.eye_threshold, muscle: float = DEFAULT.muscle_threshold, seconds: float = 4.0) -> tuple[np.ndarray, dict]:
+    """(cleaned channels x samples, what was done) of one array. Eye components follow FP1 or FP2; muscle components rise with frequency.
 
-    A group is one recording, which its sensors bound. A recording that can't be cleaned comes back as it was, with the
-    status failed and the reason, and doesn't stop the others.
+    `components.clean` does the same for recordings in stretches. With fewer than two components, or if the fit fails,
+    the signal comes back as it was, with the reason.
     """
-    cleaned = f"record_id {chunks.schema['record_id'].dataType.simpleString()}, channel string, samples array<double>, status string, reason string, removed array<int>"
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel", ignore_index=True)
-        try:
-            y, done = remove_artefacts(np.stack([np.asarray(s, float) for s in pdf["samples"]]), pdf["channel"].tolist(), rate)
-        except ValueError as e:
-            y, done = pdf["samples"], {"status": "failed", "reason": str(e), "removed": []}
-        return pd.DataFrame({"record_id": pdf["record_id"], "channel": pdf["channel"], "samples": list(y), "status": done["status"], "reason": done["reason"], "removed": [done["removed"]] * len(pdf)})
-
-    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, cleaned)
-
-
-def ica_variance_profile(chunks: DataFrame, components: int = DEFAULT.ica_components) -> DataFrame:
-    """(record_id, component, share, channel_share) of at most one source less than channels: the share of each source's
-    variance in all sources', and that of what it brings to the channels, by which they are numbered, largest first."""
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel", ignore_index=True)
-        x = np.stack([np.asarray(s, float) for s in pdf["samples"]])
-        n = min(components, len(x) - 1)
+    n = min(components, len(channels) - 1)
+    if n < 2:
+        return x, {"status": "skipped", "reason": "fewer than two components", "removed": []}
+    try:
         sources, unmixing, _ = fast_ica(x, n)
-        variance = sources.var(axis=1)
-        brought = (np.linalg.pinv(unmixing) ** 2).sum(axis=0) * variance
-        order = np.argsort(-brought)
-        return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "component": range(n), "share": (variance / variance.sum())[order], "channel_share": (brought / brought.sum())[order]})
-
-    return chunks.select("record_id", "channel", "samples").groupBy("record_id").applyInPandas(of, "record_id long, component int, share double, channel_share double")
+    except np.linalg.LinAlgError as e:
+        return x, {"status": "skipped", "reason": str(e), "removed": []}
+    corr = np.nan_to_num(np.corrcoef(sources, x)[:n, n:])
+    removed = artefact_numbers(corr, channels, log_slopes(mean_spectrum(sources, rate, seconds), rate), eye, muscle)
+    return x - np.linalg.pinv(unmixing)[:, removed] @ sources[removed], {"status": "ok", "reason": "", "removed": removed}

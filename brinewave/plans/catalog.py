@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinewave.config import Config
-from brinewave.operators import channels, cluster, detect, features, models, reduce, segment, signal
+from brinewave.operators import channels, cluster, components, detect, features, models, reduce, segment, signal, stretches
 from brinewave.operators.tables import cut_lineage
 from brinewave.plans import views as V
 from brinewave.sources import annotations
@@ -559,17 +559,30 @@ def q55_end_to_end(spark, sf_dir):
     return rounded(out.withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long")), "recall", "f1")
 
 
-def _chunks(spark, sf_dir):
-    """Each recording's channels as arrays: dimension d of its epochs in order, eight channels of eight dimensions."""
-    x = V.ep(spark, sf_dir).select("record_id", "epoch_id", F.posexplode("samples").alias("j", "v"))
-    x = x.withColumn("channel", F.concat(F.lit("C"), F.floor(F.col("j") / 8).cast("string")))
-    g = x.groupBy("record_id", "channel").agg(F.array_sort(F.collect_list(F.struct("epoch_id", "j", "v"))).alias("a"))
-    return g.select("record_id", "channel", F.col("a.v").alias("samples"))
+def _stretches(spark, sf_dir):
+    """Each recording's channels in stretches of eight samples: an epoch holds eight channels of eight dimensions."""
+    e = V.ep(spark, sf_dir).select("record_id", F.floor(F.col("epoch_id") / 10).alias("k"), "samples")
+    channel = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("c")
+    x = e.select("record_id", "k", "samples", channel)
+    return x.select("record_id", F.concat(F.lit("C"), F.col("c").cast("string")).alias("channel"), (F.col("k") * 8).alias("start_sample"), F.lit(64.0).alias("rate"), F.slice("samples", F.col("c") * 8 + 1, F.lit(8)).alias("samples"))
 
 
-@query(f"""with {V.EP}, c as (select distinct record_id from ep) select record_id, k::int as component, round(1.0 / 7, 6)::double as share from c, range(7) t(k)""")
+def _with_total(x: DataFrame) -> DataFrame:
+    return x.join(stretches.extents(x).select("record_id", "channel", "total"), ["record_id", "channel"])
+
+
+def _tiled(spark, sf_dir, size: int = 1024) -> DataFrame:
+    """The same, in tiles of more samples."""
+    return stretches.tiles(_with_total(_stretches(spark, sf_dir)), F.lit(size), F.lit(0), keep=["rate"])
+
+
+@query()
 def q56_ica(spark, sf_dir):
-    return rounded(signal.ica_variance_profile(_chunks(spark, sf_dir), 8).drop("channel_share"), "share")
+    f = cut_lineage(components.frames(_tiled(spark, sf_dir)), "frames")
+    return rounded(components.variance_profile(f, 8), "share", "channel_share")
+
+
+STRETCH_SQL = f"""{V.EP}, st as (select record_id, 'C' || c::varchar as channel, (epoch_id // 10) * 8 + j as i, samples[c * 8 + j + 1] as x from ep, range(8) t(c), range(8) u(j))"""
 
 
 @query(f"""with {V.EP}, x as (select record_id, 'C' || ((j - 1) // 8)::varchar as channel, epoch_id, j, samples[j] as v from ep, range(1, 65) t(j)),
@@ -577,7 +590,7 @@ s as (select record_id, channel, avg(v) as m, stddev_pop(v) as sd from x group b
 z as (select x.record_id, x.channel, (v - m) / greatest(sd, 1e-12) as z from x join s on x.record_id = s.record_id and x.channel = s.channel)
 select record_id, channel, count(*) as n, round(sum(z * z), 4) as squares, round(sum(z * z * z), 3) as cubes, round(max(z), 5) as highest from z group by all""")
 def q60_standardise(spark, sf_dir):
-    z = _chunks(spark, sf_dir).select("record_id", "channel", F.explode(signal.standardise(F.col("samples"))).alias("z"))
+    z = stretches.standardise(_stretches(spark, sf_dir)).select("record_id", "channel", F.explode("samples").alias("z"))
     sums = z.groupBy("record_id", "channel").agg(F.count("*").alias("n"), r(F.sum(F.pow("z", F.lit(2))), 4).alias("squares"), r(F.sum(F.pow("z", F.lit(3))), 3).alias("cubes"), r(F.max("z"), 5).alias("highest"))
     return sums
 
@@ -595,23 +608,41 @@ def q62_sliced_cov(spark, sf_dir):
     return rounded(reduce.channel_covariance(V.sig(spark, sf_dir).withColumn("k", k), span=(2.0, 1.25, 4.9)), "cov", digits=4)
 
 
-@query(f"""with {V.EP}, x as (select record_id, 'C' || ((j - 1) // 8)::varchar as channel, samples[j]::double as v from ep, range(1, 65) t(j))
-select record_id, channel, count(*)::int as n, (2 * count(*))::int as n_resampled, round(sum(v), 4) as total, round(sum(v), 3) as half_total from x group by all""")
+@query(f"""with {V.EP}, k as (select epoch_id, m, samples, m / 2.0 as t from ep, range(128) u(m))
+select epoch_id, m::int as k, round(case when m % 2 = 0 then samples[m // 2 + 1] else list_sum(list_transform(range(64), lambda j: samples[j + 1] * sin(pi() * (t - j)) / (64 * tan(pi() * (t - j) / 64)))) end, 6) as y from k""")
 def q57_resample(spark, sf_dir):
-    c = _chunks(spark, sf_dir).withColumn("rate", F.lit(128.0))
-    c = c.withColumn("out", signal.resample(F.col("samples"), F.col("rate")))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    return c.select("record_id", "channel", F.size("samples").alias("n"), F.size("out").alias("n_resampled"), r(total(F.col("samples").cast("array<double>")), 4).alias("total"), r(total("out") / 2, 3).alias("half_total"))
+    """Every sample of each epoch at twice its rate, against the sum of the Fourier interpolation's kernel."""
+    e = V.ep(spark, sf_dir).withColumn("out", signal.resample(F.col("samples"), F.lit(128.0)))
+    return e.select("epoch_id", F.posexplode("out").alias("k", "y")).select("epoch_id", "k", r("y").alias("y"))
 
 
 @query()
 def q58_artefact_removal(spark, sf_dir):
-    c = signal.clean_records(_chunks(spark, sf_dir), 64.0)
-    power = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v)
-    return c.select("record_id", "channel", "status", F.size("removed").alias("n_removed"), F.size("samples").alias("n"), r(power, 4).alias("power"))
+    c = components.clean(_tiled(spark, sf_dir))
+    power = F.sum(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v))
+    return c.groupBy("record_id", "channel").agg(F.first("status").alias("status"), F.first(F.size("removed")).alias("n_removed"), F.sum(F.size("samples")).alias("n"), r(power, 4).alias("power"))
 
 
 @query()
 def q59_band_pass(spark, sf_dir):
-    c = _chunks(spark, sf_dir).withColumn("clean", signal.band_pass(F.col("samples"), 64.0, low=1.0, high=25.0))
-    return c.select("record_id", "channel", F.size("clean").alias("n"), r(F.sqrt(F.aggregate("clean", F.lit(0.0), lambda s, v: s + v * v) / F.size("clean"))).alias("rms"))
+    c = stretches.band_pass(_with_total(_stretches(spark, sf_dir)), Config(low_hz=1.0, high_hz=25.0), tile=F.lit(512))
+    g = c.groupBy("record_id", "channel").agg(F.sum(F.size("samples")).alias("n"), F.sum(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v * v)).alias("power"))
+    return g.select("record_id", "channel", "n", r(F.sqrt(F.col("power") / F.col("n"))).alias("rms"))
+
+
+BOTH_WAYS = [sum(TAPS[k] * TAPS[k + abs(d)] for k in range(len(TAPS) - abs(d))) for d in range(1 - len(TAPS), len(TAPS))]
+
+
+@query(f"""with {STRETCH_SQL}, n as (select record_id, channel, count(*) as n from st group by all),
+ends as (select record_id, channel, n, max(x) filter (where i = 0) as x0, max(x) filter (where i = n - 1) as x1 from st join n using (record_id, channel) group by all),
+ext as (select record_id, channel, i, x from st
+  union all select record_id, channel, -i, 2 * x0 - x from st join ends using (record_id, channel) where i between 1 and {len(TAPS)}
+  union all select record_id, channel, 2 * (n - 1) - i, 2 * x1 - x from st join ends using (record_id, channel) where i between n - 1 - {len(TAPS)} and n - 2)
+select record_id, channel, i, round(y, 6) as y from (
+  select record_id, channel, i, {" + ".join(f"{g!r} * {f'lag(x, {8 - k}) over w' if k < 8 else f'lead(x, {k - 8}) over w' if k > 8 else 'x'}" for k, g in enumerate(BOTH_WAYS))} as y
+  from ext window w as (partition by record_id, channel order by i)) join n using (record_id, channel) where i >= 0 and i < n""")
+def q63_filter_stretches(spark, sf_dir):
+    """A filter forward and backward over stretches of eight samples, in tiles of 40 with a halo."""
+    y = stretches.band_pass(_with_total(_stretches(spark, sf_dir)), tile=F.lit(40), taps=TAPS)
+    y = y.select("record_id", "channel", "start_sample", F.posexplode("samples").alias("k", "y"))
+    return y.select("record_id", "channel", (F.col("start_sample") + F.col("k")).alias("i"), r("y").alias("y"))

@@ -3,9 +3,14 @@
     spark.dataSource.register(EdfSource)
     spark.read.format("edf").option("channels", "FP1-F7,F7-T7").load(folder)
 
-One row for each channel and stretch of data records: (path, record_id, channel, chunk_no, start_sample, sfreq, samples).
-Files are cut into partitions by ranges of data records, so one long recording is read by many tasks. A list of
-channels prunes what is decoded. Files are reached through Arrow's file systems, so shared stores work as well as disks.
+One row for each channel and stretch of data records: (path, record_id, channel, chunk_no, start_sample, sfreq, samples,
+status, reason). Files are cut into partitions by their sizes, so one long recording is read by many tasks and no file is
+opened to plan them. A list of channels prunes what is decoded. Files are reached through Arrow's file systems, so
+shared stores work as well as disks.
+
+A file that can't be read (no header, fields that aren't numbers, fewer bytes than the header promises) gives one row
+with the status failed and the reason, without a channel and samples, and stops no other file; with the option mode set
+to failfast it raises instead. A header that doesn't know the number of its records (-1) gets it from the file's size.
 """
 
 from __future__ import annotations
@@ -17,9 +22,13 @@ import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, record_id string, channel string, chunk_no int, start_sample long, sfreq double, samples array<double>"
+SCHEMA = "path string, record_id string, channel string, chunk_no int, start_sample long, sfreq double, samples array<double>, status string, reason string"
 RECORDS = 60  # data records of a chunk
-CHUNKS = 16  # chunks of a partition
+PARTITION_BYTES = 16 << 20  # of a file, for a partition
+
+
+class BrokenFile(ValueError):
+    """What a file lacks to be a recording."""
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -68,57 +77,87 @@ def unique(names: list[str]) -> list[str]:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Share(InputPartition):
+    """The chunks of a file whose number lies between two fractions of them all."""
+
     path: str
-    first: int
-    count: int
-    number: int
+    size: int
+    part: int
+    parts: int
+
+
+def opened(data, size: int) -> Header:
+    """The header of an open file, with the number of records that the file has."""
+    top = data.read(256)
+    try:
+        h = Header.read(top + data.read(max(0, int(top[184:192]) - 256)))
+    except (ValueError, IndexError) as e:
+        raise BrokenFile(f"no EDF header: {e}") from e
+    width = 2 * int(h.per_record.sum())
+    if not h.names or (h.per_record <= 0).any() or h.seconds <= 0 or h.size != 256 * (len(h.names) + 1):
+        raise BrokenFile("no EDF header: its sizes contradict each other")
+    if (h.digital_high == h.digital_low).any():
+        raise BrokenFile("no EDF header: a channel without digital range")
+    there = (size - h.size) // width
+    if h.records < 0:
+        h.records = there
+    elif there < h.records:
+        raise BrokenFile(f"truncated: {there} of {h.records} records")
+    if not h.records:
+        raise BrokenFile("no records")
+    return h
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.records = int(options.get("recordsperchunk", RECORDS))
+        self.bytes = int(options.get("partitionbytes", PARTITION_BYTES))
+        self.failfast = options.get("mode", "permissive").lower() == "failfast"
         self.channels = [c.strip() for c in options.get("channels", "").split(",") if c.strip()]
 
-    def files(self) -> list[str]:
+    def files(self) -> list[pafs.FileInfo]:
         """Files whose names end in .edf, in order."""
         store, root = filesystem(self.path)
         info = store.get_file_info(root)
         if info.type == pafs.FileType.File:
-            return [root]
+            return [info]
         found = store.get_file_info(pafs.FileSelector(root, recursive=True))
-        return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".edf"))
+        return sorted((f for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".edf")), key=lambda f: f.path)
 
-    def partitions(self) -> list[Stretch]:
-        store, _ = filesystem(self.path)
-        out = []
-        for f in self.files():
-            with store.open_input_file(f) as data:
-                top = data.read(256)
-            records, size = int(top[236:244]), self.records * CHUNKS
-            out += [Stretch(f, k, min(size, records - k), k // self.records) for k in range(0, records, size)]
-        return out
-
-    def read(self, part: Stretch) -> Iterator[tuple]:
+    def partitions(self) -> list[Share]:
+        cut = [(f.path, f.size, max(1, -(-f.size // self.bytes))) for f in self.files()]
+        return [Share(path, size, k, n) for path, size, n in cut for k in range(n)]
+
+    def read(self, part: Share) -> Iterator[tuple]:
         store, _ = filesystem(self.path)
-        with store.open_input_file(part.path) as data:
-            top = data.read(256)
-            h = Header.read(top + data.read(int(top[184:192]) - 256))
-            width = int(h.per_record.sum())
-            gain = (h.high - h.low) / (h.digital_high - h.digital_low)
-            starts = np.concatenate([[0], np.cumsum(h.per_record)])
-            stem = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-            for k in range(0, part.count, self.records):
-                n = min(self.records, part.count - k)
-                raw = data.read_at(2 * width * n, h.size + 2 * width * (part.first + k))
-                grid = np.frombuffer(raw, "<i2").reshape(-1, width)
-                for c, name in enumerate(h.names):
-                    if name == "EDF Annotations" or self.channels and name not in self.channels:
-                        continue
-                    x = (grid[:, starts[c] : starts[c + 1]].ravel() - h.digital_low[c]) * gain[c] + h.low[c]
-                    start = (part.first + k) * int(h.per_record[c])
-                    yield part.path, stem, name, part.number + k // self.records, start, float(h.per_record[c] / h.seconds), x.tolist()
+        stem = part.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        try:
+            with store.open_input_file(part.path) as data:
+                h = opened(data, part.size)
+                for row in self.stretches(data, h, part):
+                    yield part.path, stem, *row, "ok", ""
+        except (BrokenFile, OSError) as e:
+            if self.failfast:
+                raise
+            if part.part == 0:  # one row, however many tasks read the file
+                yield part.path, stem, None, None, None, None, None, "failed", str(e)
+
+    def stretches(self, data, h: Header, part: Share) -> Iterator[tuple]:
+        """(channel, chunk_no, start_sample, sfreq, samples) of a share of the chunks."""
+        width = int(h.per_record.sum())
+        gain = (h.high - h.low) / (h.digital_high - h.digital_low)
+        starts = np.concatenate([[0], np.cumsum(h.per_record)])
+        chunks = -(-h.records // self.records)
+        for k in range(chunks * part.part // part.parts, chunks * (part.part + 1) // part.parts):
+            first = k * self.records
+            n = min(self.records, h.records - first)
+            grid = np.frombuffer(data.read_at(2 * width * n, h.size + 2 * width * first), "<i2").reshape(n, width)
+            for c, name in enumerate(h.names):
+                if name == "EDF Annotations" or self.channels and name not in self.channels:
+                    continue
+                x = (grid[:, starts[c] : starts[c + 1]].ravel() - h.digital_low[c]) * gain[c] + h.low[c]
+                yield name, k, first * int(h.per_record[c]), float(h.per_record[c] / h.seconds), x.tolist()
 
 
 class EdfSource(DataSource):
