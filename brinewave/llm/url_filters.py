@@ -155,7 +155,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERNS, *,
         met = parts.select("__url", F.explode(F.filter(free, lambda r: F.rlike(F.concat("__h", "__p"), r["expression"]))).alias("r"))
         hit = hit.unionByName(met.select("__url", "r.name", "r.block", "r.weight", F.col("r.host").alias("host_rule"), "r.expression"))
     rule = F.struct("name", "block", "weight", F.col("host_rule").alias("host"), "expression")
-    rank = F.struct("host_rule", F.when(F.col("host_rule"), F.col("weight")).otherwise(F.col("block").cast("int")), "weight", "name")
+    rank = F.struct("host_rule", F.when(F.col("host_rule"), F.col("weight")).otherwise(F.col("block").cast("int")), "weight", "name", "block")
     best = hit.groupBy("__url").agg(F.max_by(rule, rank).alias("__r"))
     out = pages.withColumns({"host": host, "path": path, "__url": F.coalesce("url", F.lit(""))}).join(best, "__url", "left")
     return _verdict(out.withColumn("__best", _best(F.when(F.col("__r").isNotNull(), F.array("__r")))).drop("__url", "__r"))

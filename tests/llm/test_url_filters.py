@@ -62,3 +62,13 @@ def test_many_rules(pages):
 def test_without_rules_or_rows(spark, pages):
     assert {r.verdict for r in U.judge(pages, ()).collect()} == {"allow"}
     assert U.judge(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_rules_of_equal_text_on_both_sides_of_the_limit(spark, swap):
+    """Of rules with equal texts the blocking one decides, in either order, as a constant and as a joined table."""
+    pairs = [U.Rule("allow", "a.com/"), U.Rule("block", "a.com/"), U.Rule("allow", "/ads/", False), U.Rule("block", "/ads/", False)]
+    rules = tuple(pairs[::-1] if swap else pairs)
+    df = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org/ads/1"), (3, "http://b.org/")], "page_id long, url string")
+    verdicts = [{r.page_id: (r.rule, r.verdict) for r in U.judge(df, rules, inline_rules=n).collect()} for n in (0, 3, 4, 5_000)]
+    assert all(v == {1: ("a.com/", "block"), 2: (None, "block"), 3: (None, "allow")} for v in verdicts)
