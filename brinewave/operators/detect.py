@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT
+from brinewave.operators.asof import as_of
 
 DAY = 86_400.0
 SCORE_RANGES = 32
@@ -66,6 +67,13 @@ def latency(intervals: DataFrame, events: DataFrame, tol: float = DEFAULT.tolera
     return out.select(*by, F.when(F.col("__first").isNotNull(), F.greatest(F.lit(0.0), F.col("__first") - F.col("__onset"))).alias("latency_sec"))
 
 
+def onset_latencies(intervals: DataFrame, events: DataFrame, tol: float = DEFAULT.tolerance_sec, *, by: Sequence[str] = ("record_id",)) -> DataFrame:
+    """(by, s0, s1, latency_sec): of every interval, from its onset to the first event not before onset - tol; 0 at least, null without such an event."""
+    at = intervals.select(*by, "s0", "s1", (F.col("s0") - tol).alias("__from"))
+    found = as_of(at, events.select(*by, "event_sec"), by=by, left_time="__from", right_time="event_sec", values=["event_sec"], forward=True)
+    return found.select(*by, "s0", "s1", F.when(F.col("event_sec").isNotNull(), F.greatest(F.lit(0.0), F.col("event_sec") - F.col("s0"))).alias("latency_sec"))
+
+
 def false_detections(records: DataFrame, intervals: DataFrame, events: DataFrame, *, by: Sequence[str] = ("record_id",), duration: str = "duration_sec") -> DataFrame:
     """(by, n_events, fdr_per_24h) of recordings without intervals; every event counts, a duration of 0 gives 0."""
     quiet = records.join(intervals.select(*by).distinct(), list(by), "left_anti")

@@ -183,10 +183,39 @@ def forest_regression(points: DataFrame, *, label: str = "y", features: str = "f
     return points.sparkSession.createDataFrame(rows, "measure string, value double")
 
 
+BUCKETS = 1_024
+
+
+def exact_medians(values: DataFrame, *, by: str = "dim", value: str = "v") -> DataFrame:
+    """(by, n, median) of long rows, by refinement: no task sorts or holds a group's values.
+
+    A pass counts the values between a group's bounds in BUCKETS equal parts, with each part's least and greatest value;
+    the part that has the wanted rank gives the next bounds, until they are one value. The bounds of two ranks for each
+    group are what the driver holds, so groups are to be few (the dimensions of features). A median of an even number is
+    the mean of the two in the middle. Nulls don't count; a group without values has no row.
+    """
+    spark = values.sparkSession
+    x = values.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
+    kind = x.schema["g"].dataType.simpleString()
+    ends = x.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    rows = {(r.g, k): [rank, r.lo, r.hi] for r in ends for k, rank in enumerate(((r.n - 1) // 2, r.n // 2))}
+    while open_ := [(g, k, int(rank), float(lo), float(hi)) for (g, k), (rank, lo, hi) in rows.items() if lo < hi]:
+        bounds = spark.createDataFrame(open_, f"g {kind}, k int, rank long, lo double, hi double")
+        inside = x.join(bounds, "g").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1))
+        counted = inside.groupBy("g", "k", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        below = F.sum("n").over(Window.partitionBy("g", "k").orderBy("part")) - F.col("n")
+        at = counted.withColumn("below", below).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+        for r in at.collect():
+            rows[r.g, r.k] = [r["rank"] - r.below, r.lo, r.hi]
+    out = [(r.g, r.n, (rows[r.g, 0][1] + rows[r.g, 1][1]) / 2) for r in ends]
+    return spark.createDataFrame(out, f"`{by}` {kind}, n long, median double")
+
+
 def association_rules(points: DataFrame, *, label: str = "y", features: str = "features") -> DataFrame:
     """(dim, threshold, support, confidence, lift) of `feature >= its median -> label 1`, for every dimension."""
     x = points.select(label, F.posexplode(features).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    median = x.groupBy("dim").agg(F.percentile("v", F.lit(0.5)).alias("threshold"))
+    median = exact_medians(x).select("dim", F.col("median").alias("threshold"))
     j = x.join(median, "dim")
     high = F.col("v") >= F.col("threshold")
     g = j.groupBy("dim", "threshold").agg(F.count("*").alias("n"), F.sum(label).alias("p"), F.count_if(high).alias("h"), F.count_if(high & (F.col(label) == 1)).alias("hp"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT, Config
+from brinewave.operators.asof import as_of
 
 
 def epochs(samples: DataFrame, n: int, *, by: Sequence[str] = ("record_id",), index: str = "i", time: str = "t_sec") -> DataFrame:
@@ -65,6 +66,27 @@ def interval_overlap(windows: DataFrame, intervals: DataFrame, *, by: Sequence[s
     return j.groupBy(*keys).agg(F.max(overlap).alias("max_overlap"), F.min(gap).alias("min_gap"))
 
 
+def interval_overlap_many(windows: DataFrame, intervals: DataFrame, *, by: Sequence[str] = ("record_id",), bin_sec: float = 3_600.0) -> DataFrame:
+    """What interval_overlap gives, for recordings with many intervals: no window meets all intervals of its recording.
+
+    Windows and intervals are cut into bins of time and meet within a bin; a pair that shares several bins counts in the
+    first. The gap is to the last end before and the first start after a window, two as-of joins. Ends of intervals are
+    not before their starts.
+    """
+    keys = [*by, "window_id", "t0", "t1"]
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_sec), F.floor(F.col(b) / bin_sec))).alias("__bin")
+    w = windows.select(*keys, bins("t0", "t1"))
+    i = intervals.where("s0 < s1").select(*by, "s0", "s1", bins("s0", "s1"))
+    met = w.join(i, [*by, "__bin"]).where(F.col("__bin") == F.floor(F.greatest("t0", "s0") / bin_sec))
+    most = met.groupBy(*keys).agg(F.max(F.least("t1", "s1") - F.greatest("t0", "s0")).alias("__most"))
+    near = as_of(windows.select(*keys), intervals.select(*by, F.col("s1").alias("__end")), by=by, left_time="t0", right_time="__end", values=["__end"])
+    near = as_of(near, intervals.select(*by, F.col("s0").alias("__start")), by=by, left_time="t1", right_time="__start", values=["__start"], forward=True)
+    inf = F.lit(float("inf"))
+    gap = F.least(F.coalesce(F.col("t0") - F.col("__end"), inf), F.coalesce(F.col("__start") - F.col("t1"), inf))
+    out = near.join(most, keys, "left")
+    return out.select(*keys, F.greatest(F.coalesce("__most", F.lit(0.0)), F.lit(0.0)).alias("max_overlap"), gap.alias("min_gap"))
+
+
 def label(config: Config = DEFAULT, *, margin: float | None = None) -> Column:
     """1 if one interval covers enough of the window, 0 if none touches it and none is nearer than the margin, else -1."""
     margin = config.margin_sec if margin is None else margin

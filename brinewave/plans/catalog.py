@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brinewave import sql as brinewave_sql
 from brinewave.config import Config
 from brinewave.operators import channels, cluster, components, detect, features, models, reduce, segment, signal, stretches
-from brinewave.operators.tables import cut_lineage
+from brinewave.operators.asof import as_of
+from brinewave.operators.tables import cut_lineage, shared_folder
 from brinewave.plans import views as V
-from brinewave.sources import annotations
+from brinewave.sources import annotations, npy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,3 +648,52 @@ def q63_filter_stretches(spark, sf_dir):
     y = stretches.band_pass(_with_total(_stretches(spark, sf_dir)), tile=F.lit(40), taps=TAPS)
     y = y.select("record_id", "channel", "start_sample", F.posexplode("samples").alias("k", "y"))
     return y.select("record_id", "channel", (F.col("start_sample") + F.col("k")).alias("i"), r("y").alias("y"))
+
+
+# --- joins by time, files, SQL
+
+
+@query(SQL["q10_interval_join"])
+def q64_interval_join_bins(spark, sf_dir):
+    """q10 for many intervals of a recording: by bins of time and as-of joins."""
+    o = segment.interval_overlap_many(*_windows(spark, sf_dir), bin_sec=WIDTH)
+    gap = F.when(F.col("min_gap") < float("inf"), r("min_gap"))
+    return o.select("record_id", "window_id", r("max_overlap").alias("max_overlap"), gap.alias("min_gap"))
+
+
+@query(f"""with {EVENTS_SQL}, f as (select a.record_id, s0, s1, min(event_sec) filter (where event_sec >= s0 - {V.TOLERANCE}) as first from ann a left join ev using (record_id) group by all)
+select record_id, round(s0, 6) as s0, case when first is not null then round(greatest(0.0, first - s0), 6) end as latency_sec from f""")
+def q65_onset_latencies(spark, sf_dir):
+    """The latency of every interval of a recording, not of its first alone."""
+    _, a, e = _events(spark, sf_dir)
+    return rounded(detect.onset_latencies(a, e, V.TOLERANCE).select("record_id", "s0", "latency_sec"), "s0", "latency_sec")
+
+
+@query(f"""with {V.SIG}, p as (select record_id, event_id, t_sec from sig where channel = 'purchase'), c as (select record_id, t_sec, x from sig where channel = 'click')
+select p.event_id, round(c.t_sec, 6) as click_sec, c.x as click_value from p asof left join c on p.record_id = c.record_id and p.t_sec >= c.t_sec""")
+def q66_as_of_channel(spark, sf_dir):
+    """For every sample of one channel the last one of another before it."""
+    s = V.sig(spark, sf_dir)
+    right = s.where("channel = 'click'").select("record_id", F.col("t_sec").alias("click_sec"), F.col("x").alias("click_value"))
+    left = s.where("channel = 'purchase'").select("record_id", "event_id", "t_sec")
+    found = as_of(left, right, by=["record_id"], left_time="t_sec", right_time="click_sec", values=["click_sec", "click_value"], segment=WIDTH)
+    return found.select("event_id", r("click_sec").alias("click_sec"), "click_value")
+
+
+@query(f"""with {V.EP} select 'r' || record_id::varchar as name, (epoch_id // 10)::bigint as row, len(samples)::bigint as width, round(list_sum(samples), 5) as total, round(samples[1], 6) as first, round(samples[64], 6) as last from ep""")
+def q67_array_files(spark, sf_dir):
+    """Every epoch as a row of its recording's array file, written and read back."""
+    path = shared_folder(spark, "arrays")
+    e = V.ep(spark, sf_dir).select(F.concat(F.lit("r"), F.col("record_id").cast("string")).alias("name"), F.floor(F.col("epoch_id") / 10).alias("row"), F.col("samples").alias("values"))
+    npy.write_arrays(e, path)
+    a = npy.read_arrays(spark, path).where("reason = ''")
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    return a.select("name", "row", F.size("values").cast("long").alias("width"), r(total, 5).alias("total"), r(F.col("values")[0]).alias("first"), r(F.col("values")[63]).alias("last"))
+
+
+@query(SQL["q36_detect_events"])
+def q68_sql_events(spark, sf_dir):
+    """q36 as a user of SQL writes it."""
+    brinewave_sql.register(spark)
+    query_ = f"select record_id, round(event_sec, 6) as event_sec from detect_events(table(select record_id, event_id, t_sec, y_pred from {{p}}) partition by record_id order by (t_sec, event_id), cast({V.REFRACTORY} as double))"
+    return spark.sql(query_, p=V.pred(spark, sf_dir))
