@@ -3,12 +3,13 @@
 Texts are cut into pieces at punctuation and line ends, pieces into words; a phrase is a run of words of one piece. A
 phrase can only be frequent if it is without its last and without its first word. So:
 
-1. A sample of SAMPLE_SHARE of the documents is mined level by level, with a support so low that a phrase at the
-   threshold is missed with a probability of MISS at most. Its phrases are the proposal.
+1. A sample of one in SAMPLE_SHARE pieces of all documents is mined level by level, with a support so low that a phrase
+   at the threshold is missed with a probability of MISS at most. Its phrases are the proposal.
 2. One pass over all documents counts every word and every phrase whose two shorter ones are proposed. That is the
    proposal and its whole negative border, as far as the border occurs at all, without listing it.
-3. A frequent phrase that wasn't proposed is a border failure: its extensions were not counted. Further passes over all
-   documents count what failures make countable, until a pass brings none.
+3. A frequent phrase that wasn't proposed is a border failure: its extensions were not counted. A further pass over all
+   documents counts these, and the extensions of what it counts for the first time itself, of whatever size, as far as
+   no shorter phrase of theirs is known to be rare. So what it finds frequent needs no pass after it: the set is closed.
 4. A last pass counts by their texts, per language, the phrases that have turned out frequent.
 
 The passes before the last count by 61-bit hashes of language and phrase, so no texts are shuffled for the many rare
@@ -19,8 +20,7 @@ Tasks know proposed phrases by a filter of hashes, whose size is bounded; a filt
 time, since what it takes in is counted and dropped, and never a phrase. Within a task a phrase is a pair of integers
 (shorter phrase, last word). Scores, cuts and the test for longer phrases are joins.
 
-Memory. A task holds CHUNK_WORDS words and their distinct phrases, its dictionary of at most CACHE_WORDS words (more
-only within a chunk), and a filter of at most 2 ** MOST_BITS bits, which is also what the driver gathers of the phrases.
+Memory. A task holds CHUNK_WORDS words and their distinct phrases, HELD_ROWS spelled phrases and a filter of at most 2 ** MOST_BITS bits, which is also what the driver gathers of the phrases.
 
 Defined cases. A null text is empty; empty and blank texts have no words. A null language is `und`, and is one with a
 language of that name. Very long texts are taken whole. Repeated rows count as often as they occur; doc_id may be null or
@@ -46,13 +46,14 @@ from brinewave.llm.common import give_back, materialize, portions, short_batches
 SUPPORT = 100
 LONGEST = 5  # words of a phrase
 TOP = 2_000  # phrases of a language in the result
-SAMPLE_SHARE = 8  # one document in so many is in the sample
+SAMPLE_SHARE = 8  # one piece in so many is in the sample
 MISS = 0.01
 CHUNK_WORDS = 500_000
 CHUNK_BYTES = 1_000_000  # of texts that are split into words at once
-CACHE_WORDS = 150_000
+HELD_ROWS = 1_000_000  # of spelled phrases in a task
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28  # bits of a filter for a phrase; its size as powers of two
 SALT = 64  # parts in which the phrases of a language are ranked first
+PIECE_END = r"[.,;:!?\x0A-\x0D]"
 END = "."  # stands between pieces; a word never has it
 CUT = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,41 +63,30 @@ P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Words:
-    """Ids of words by language, from 1, with their texts, languages and hashes; END is 0 in every language."""
-
-    def __init__(self) -> None:
-        self.ids: dict[str, dict[str, int]] = {}
-        self.texts, self.hashes, self.langs, self.lang_of = [END], [0], [], [0]
+    """The distinct words of a chunk by language, numbered from 1, with their texts, languages and hashes; END is 0 in every language."""
+
+    def __init__(self, said: dict[str, list[pa.Array]]) -> None:
+        self.langs = list(said)
+        texts, ids, hashes, lang_of = [pa.array([END], pa.large_binary())], [], [0], [0]
+        for k, (lang, parts) in enumerate(said.items()):
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            seed, own = xxhash.xxh3_64_intdigest(lang.encode()), coded.dictionary
+            at = coded.indices.to_numpy().astype(np.int64)
+            ids.append(np.where(at == own.index(pa.scalar(END.encode(), pa.large_binary())).as_py(), 0, at + len(hashes)))
+            texts.append(own)
+            hashes += [xxhash.xxh3_64_intdigest(w, seed) for w in own.to_pylist()]
+            lang_of += [k] * len(own)
+        self.texts, self.ids, self.hashes, self.lang_of = pa.concat_arrays(texts), np.concatenate(ids), np.array(hashes, np.uint64), np.array(lang_of)
 
     def __len__(self) -> int:
         return len(self.texts)
 
-    def encode(self, lang: str, said: pa.Array) -> np.ndarray:
-        """The ids of words of a language, with END among them."""
-        coded = said.dictionary_encode()
-        own = self.ids.get(lang)
-        if own is None:
-            own = self.ids[lang] = {END: 0}
-            self.langs.append(lang)
-        place, seed = self.langs.index(lang), None
-        out = []
-        for w in coded.dictionary.to_pylist():
-            n = own.get(w)
-            if n is None:
-                seed = seed or xxhash.xxh3_64_intdigest(lang.encode())
-                n = own[w] = len(self.texts)
-                self.texts.append(w)
-                self.lang_of.append(place)
-                self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed))
-            out.append(n)
-        return np.array(out, np.int64)[coded.indices.to_numpy()]
-
 
 def split(texts: list[str]) -> pa.Array:
     """The words of texts, with END after each piece; A-Z are lower-cased."""
     raw = f" {END} ".join(texts).encode("utf-8", "surrogatepass").lower().translate(CUT).replace(b".", b" . ") + b" . "
     whole = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int64).tobytes()), pa.py_buffer(raw)])
-    said = pc.list_flatten(pc.ascii_split_whitespace(whole))
+    said = pc.list_flatten(pc.ascii_split_whitespace(whole)).cast(pa.large_binary())
     return said.filter(pc.greater(pc.binary_length(said), 0))
 
 
@@ -127,11 +117,11 @@ class Filter:
 class Level:
     """The distinct phrases of so many words in a chunk: codes of its positions, and of each phrase the shorter phrase, last word, number and hash."""
 
-    def __init__(self, words: Words, ids: np.ndarray) -> None:
-        self.size, self.below, self.codes = 1, None, ids
+    def __init__(self, words: Words) -> None:
+        self.size, self.below, self.codes = 1, None, words.ids
         self.first = self.last = np.arange(len(words))
-        self.hash = mixed(np.zeros(len(words), np.uint64), np.array(words.hashes, np.uint64), 1)
-        self.n = np.bincount(ids, minlength=len(words))
+        self.hash = mixed(np.zeros(len(words), np.uint64), words.hashes, 1)
+        self.n = np.bincount(words.ids, minlength=len(words))
         self.n[0] = 0
 
     def longer(self, at: np.ndarray, place: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Level:
@@ -147,7 +137,7 @@ class Level:
 
     def spell(self, at: np.ndarray, texts: pa.Array) -> pa.Array:
         last = texts.take(pa.array(self.last[at]))
-        return last if self.below is None else pc.binary_join_element_wise(self.below.spell(self.first[at], texts), last, " ")
+        return last if self.below is None else pc.binary_join_element_wise(self.below.spell(self.first[at], texts), last, pa.scalar(" ", pa.large_string()))
 
     def first_words(self, at: np.ndarray) -> np.ndarray:
         return at if self.below is None else self.below.first_words(self.first[at])
@@ -156,14 +146,15 @@ class Level:
 HASHED, SPELLED = "hash long, n long", "lang string, phrase string, size int, n long"
 
 
-def count_chunk(words: Words, ids: np.ndarray, wanted: set[int], known: Filter, new: Filter | None = None, spelled: bool = False) -> Iterator[pa.RecordBatch]:
+def count_chunk(words: Words, wanted: set[int], known: Filter, new: Filter | None = None, spelled: bool = False) -> Iterator[pa.RecordBatch]:
     """Numbers of a chunk's phrases of the wanted sizes whose two shorter ones are known; words count all.
 
-    (hash, n); with a filter of new phrases only those of which a shorter one is new. Or spelled, (lang, phrase, size, n)
+    (hash, n); with a filter of new phrases only those of which a shorter one is new or is itself counted for that, and
+    these count as known for longer ones. Or spelled, (lang, phrase, size, n)
     of those that are known themselves, and size 0 with a language's number of words.
     """
-    hashes = np.array(words.hashes, np.uint64)
-    langs, lang_of, texts = pa.array(words.langs, pa.string()), np.array(words.lang_of), pa.array(words.texts, pa.string()) if spelled else None
+    ids, langs, lang_of = words.ids, pa.array(words.langs, pa.string()), words.lang_of
+    texts = words.texts.cast(pa.large_string()) if spelled else None
 
     def rows(level: Level, some: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(some), 100_000):
@@ -171,11 +162,11 @@ def count_chunk(words: Words, ids: np.ndarray, wanted: set[int], known: Filter,
             n = pa.array(level.n[part].astype(np.int64))
             if spelled:
                 own = langs.take(pa.array(lang_of[level.first_words(part)]))
-                yield pa.RecordBatch.from_arrays([own, level.spell(part, texts), pa.array(np.full(len(part), level.size, np.int32)), n], ["lang", "phrase", "size", "n"])
+                yield pa.RecordBatch.from_arrays([own, level.spell(part, texts).cast(pa.string()), pa.array(np.full(len(part), level.size, np.int32)), n], ["lang", "phrase", "size", "n"])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(level.hash[part].view(np.int64)), n], ["hash", "n"])
 
-    level, at, needed = Level(words, ids), np.flatnonzero(ids), None
+    level, at, needed = Level(words), np.flatnonzero(ids), None
     place = np.arange(len(ids) + 1)  # where in level.codes a position's phrase is
     if spelled:
         n = np.bincount(lang_of, weights=level.n, minlength=len(langs)).astype(np.int64)
@@ -183,16 +174,19 @@ def count_chunk(words: Words, ids: np.ndarray, wanted: set[int], known: Filter,
     for size in range(1, max(wanted) + 1):
         if size > 1:
             may = np.zeros(len(ids) + 1, bool)
-            fits = known.has(level.hash)
-            may[at] = fits[level.codes[place[at]]]
+            codes = level.codes[place[at]]
+            may[at] = known.has(level.hash)[codes]
             if new is not None:
                 fresh = np.zeros(len(ids) + 1, bool)
-                fresh[at] = new.has(level.hash)[level.codes[place[at]]]
+                fresh[at] = new.has(level.hash)[codes]
+                if needed is not None:
+                    may[at] |= needed
+                    fresh[at] |= needed
             at = np.flatnonzero(may[:-1] & may[1:])
             if not len(at):
                 return
             needed = None if new is None else fresh[at] | fresh[at + 1]
-            level = level.longer(at, place, ids, hashes)
+            level = level.longer(at, place, ids, words.hashes)
             place = np.zeros(len(ids) + 1, np.int64)
             place[at] = np.arange(len(at))
         if size not in wanted:
@@ -207,31 +201,49 @@ def count_chunk(words: Words, ids: np.ndarray, wanted: set[int], known: Filter,
             yield from rows(level, np.flatnonzero(every))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spelled numbers, added up over a task's chunks while they are no more than HELD_ROWS."""
+    held, n = [], 0
+
+    def summed() -> pa.Table:
+        t = pa.Table.from_batches(held).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("n", "sum")])
+        return t.rename_columns(["lang", "phrase", "size", "n"])
+
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n > HELD_ROWS:
+            t = summed()
+            held, n = (t.to_batches(100_000), len(t)) if len(t) <= HELD_ROWS // 2 else ([], 0)
+            if not held:
+                yield from t.to_batches(100_000)
+    if held:
+        yield from summed().to_batches(100_000)
+
+
 def counter(wanted: set[int], known, new=None, *, spelled: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow function of (lang, text); known and new are broadcast filters."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, fresh = Filter(np.frombuffer(known.value, np.uint64)), None if new is None else Filter(np.frombuffer(new.value, np.uint64))
-        words, ids, held = Words(), [], 0
+        said, held = {}, 0
         for b in batches:
             langs = b.column("lang").dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = b.column("text").filter(pc.equal(langs.indices, k))
                 for texts in portions(own.drop_null(), CHUNK_BYTES):
-                    ids.append(words.encode(lang, split(texts)))
-                    held += len(ids[-1])
+                    said.setdefault(lang, []).append(split(texts))
+                    held += len(said[lang][-1])
                     if held >= CHUNK_WORDS:
-                        yield from count_chunk(words, np.concatenate(ids), wanted, have, fresh, spelled)
-                        ids, held = [], 0
-                        if len(words) > CACHE_WORDS:
-                            words = Words()
-                        give_back()
+                        yield from count_chunk(Words(said), wanted, have, fresh, spelled)
+                        said, held = {}, 0
+                        pa.default_memory_pool().release_unused()
         if held:
-            yield from count_chunk(words, np.concatenate(ids), wanted, have, fresh, spelled)
-        words, ids = Words(), []
+            yield from count_chunk(Words(said), wanted, have, fresh, spelled)
+        said = {}
         give_back()
 
-    return of
+    return (lambda batches: gathered(chunks(batches))) if spelled else chunks
 
 
 # --- filters
@@ -265,8 +277,10 @@ def filter_words(phrases: DataFrame) -> np.ndarray:
 # --- mining
 
 
-def in_sample(share: int) -> Column:
-    return F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(share)) == 0
+def sampled(documents: DataFrame, share: int) -> DataFrame:
+    """(lang, text): of every text one in share of its pieces, by doc_id and place."""
+    own = F.filter(F.split("text", PIECE_END), lambda _, i: F.pmod(F.xxhash64("doc_id", i, F.lit("sample")), F.lit(share)) == 0)
+    return documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.array_join(own, END).alias("text"))
 
 
 def propose(sample: DataFrame, *, least: int, longest: int) -> DataFrame:
@@ -289,23 +303,17 @@ def frequent_phrases(documents: DataFrame, *, support: int = SUPPORT, longest: i
     short_batches(spark)
     sent = lambda phrases: spark.sparkContext.broadcast(filter_words(phrases).tobytes())
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    drawn = documents.where(in_sample(share)).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     least = least_in_sample(support, share) if least is None else least
-    known = propose(materialize(drawn, "sample"), least=least, longest=longest)
+    known = propose(materialize(sampled(documents, share), "sample"), least=least, longest=longest)
 
     def counted(wanted: set[int], known, new=None) -> DataFrame:
         n = texts.mapInArrow(counter(wanted, known, new), HASHED).groupBy("hash").agg(F.sum("n").alias("n"))
         return materialize(n.where(F.col("n") >= support).select("hash"), "frequent")
 
-    found = last = counted(set(range(1, longest + 1)), sent(known))
-    while True:
-        short = F.col("hash").bitwiseAND(F.lit(7)) < longest
-        failures = materialize(last.where(short).join(known, "hash", "left_anti"), "failures")
-        if failures.isEmpty():
-            break
-        known = known.unionAll(failures)
-        last = counted(set(range(2, longest + 1)), sent(known), sent(failures))
-        found = found.unionAll(last)
+    found = counted(set(range(1, longest + 1)), sent(known))
+    failures = materialize(found.where(F.col("hash").bitwiseAND(F.lit(7)) < longest).join(known, "hash", "left_anti"), "failures")
+    if not failures.isEmpty():
+        found = found.unionAll(counted(set(range(2, longest + 1)), sent(known.unionAll(failures)), sent(failures)))
     exact = texts.mapInArrow(counter(set(range(1, longest + 1)), sent(found.distinct()), spelled=True), SPELLED)
     f = exact.groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.sum("n").alias("f"))
     return materialize(f.where((F.col("f") >= support) | (F.col("size") == 0)), "phrases")

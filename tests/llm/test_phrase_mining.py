@@ -77,8 +77,8 @@ def test_border_failures_are_made_good(spark):
     assert sorted((r.lang, r.phrase, r["size"], r.f) for r in got.collect()) == sorted(expected)
 
 
-def test_small_chunks_and_dictionaries(spark, monkeypatch):
-    """Chunks of few words and dictionaries that start anew give the same batches in sum."""
+def test_small_chunks(spark, monkeypatch):
+    """Chunks of few words, and few rows held, give the same numbers in sum."""
     class Sent:
         value = np.full(64, 2**64 - 1, np.uint64).tobytes()
 
@@ -87,7 +87,7 @@ def test_small_chunks_and_dictionaries(spark, monkeypatch):
     rows = corpus(2)
     batch = pa.RecordBatch.from_pydict({"lang": [r[2] or "und" for r in rows], "text": [r[1] for r in rows]})
     monkeypatch.setattr(M, "CHUNK_WORDS", 300)
-    monkeypatch.setattr(M, "CACHE_WORDS", 5)
+    monkeypatch.setattr(M, "HELD_ROWS", 50)
     total = Counter()
     for b in M.counter({1, 2, 3, 4, 5}, Sent, spelled=True)(iter([batch])):
         for r in b.to_pylist():
