@@ -126,3 +126,13 @@ def test_empty(spark, empty):
 def test_query_over_the_smallest_tables(spark, tokenizers):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert rows_of(T.op12_token_alignment(spark, DATA)) == sorted(plain(rows, tokenizers)[0], key=repr)
+
+
+def test_ids_of_a_are_those_of_its_file(tokenizers):
+    """Ids by ranks equal the file's own tokenizer: entries, all kinds of characters beside letters, digits and signs, long runs."""
+    t, _ = tokenizers
+    encode, raw = T.tokenizer_a(str(public_tokenizers.path(T.A_NAME)))
+    said = [x.decode("utf-8", "ignore") for x in raw.to_pylist()[::7]] + [t for _, t in odd()]
+    said += [f"a{chr(c)}b 1{chr(c)} {chr(c)}'s{chr(c)}{chr(c)}x" for c in range(1, 0x11000, 3) if not 0xD800 <= c < 0xE000]
+    said += ["x" * 30_000, " " * 9_000, "\n" * 5_000 + "a", "1" * 7_000]
+    assert encode(said) == [e.ids for e in t.encode_batch(said, add_special_tokens=False)]
