@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinewave.operators.cells import CELL_ROWS, cells_of, in_groups, visits
 from brinewave.operators.pairs import block_pairs, distances, matrix
 from brinewave.operators.tables import cut_lineage
 
@@ -112,35 +113,74 @@ def ward(points: DataFrame, k: int = 2, *, rows: int = 2_000, id: str = "id", fe
     return own.join(last, "c").select("id", "cluster")
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, *, id: str = "id", features: str = "features", rows: int = 2_000) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, *, id: str = "id", features: str = "features", rows: int = CELL_ROWS) -> DataFrame:
     """(id, cluster): -1 is noise; a cluster's number is its smallest core point, a border point takes the smallest of its clusters.
 
-    Neighbours come from distances in blocks; a point counts as its own neighbour. Clusters are the components of core
-    points, by passing the smallest label on and jumping along labels until nothing changes.
+    A point counts as its own neighbour. Points meet in cells (see `cells`), three times: to count neighbours, to link
+    core points, to place border points. No table of neighbours is made: a group hands on counts, a forest of its core
+    points' links, and the least cluster near each border point. Clusters are the components of the links, by passing the
+    smallest label on and jumping along labels until nothing changes.
     """
-    p = points.select(F.col(id).cast("long").alias("id"), F.col(features).alias("v"))
-
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
+    p = cut_lineage(points.select(F.col(id).cast("long").alias("id"), F.col(features).cast("array<double>").alias("v")), "points")
+    cells = cells_of(p, rows=rows)
+    met = cut_lineage(visits(p, cells, radius=eps, self_join=True), "visits")
+
+    def pairs(mine: pd.DataFrame, guests: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """(owned rows and then visitors, whether each owned row is within eps of each of these)."""
+        both = pd.concat([mine, guests], ignore_index=True)
+        return both, distances(matrix(mine["v"]), matrix(both["v"])) <= eps
+
+    def count(mine: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
+        both, near = pairs(mine, guests)
+        n = near.sum(axis=0)
+        n[: len(mine)] = near.sum(axis=1)
+        return pd.DataFrame({"id": both["id"], "n": n})
+
+    def link(mine: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        """Of a group of core points: each with the least of its component there."""
+        if not len(mine):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        i, j = np.nonzero(distances(matrix(x["v"]), matrix(y["v"])) <= eps)
-        return pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j]})
-
-    edges = cut_lineage(block_pairs(p, p, near, "a long, b long", left_id="id", right_id="id", rows=rows), "neighbours")
-    core = cut_lineage(edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id")), "core")
-    both = cut_lineage(edges.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi"), "core-edges")
+        both, near = pairs(mine, guests)
+        ids = both["id"].to_numpy()
+        label = ids.copy()
+        while True:
+            low = np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+            new = np.minimum(label, np.where(near, low[:, None], np.iinfo(np.int64).max).min(axis=0))
+            new[: len(mine)] = np.minimum(new[: len(mine)], low)
+            if (new == label).all():
+                break
+            label = new
+        return pd.DataFrame({"a": ids, "b": label})[ids != label]
+
+    none = (1 << 63) - 1  # the cluster of what isn't a core point
+
+    def border(mine: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64")})
+        both, near = pairs(mine, guests)
+        c = both["c"].to_numpy()
+        best = np.where(near, c[: len(mine), None], none).min(axis=0)
+        best[: len(mine)] = np.minimum(best[: len(mine)], np.where(near, c[None, :], none).min(axis=1))
+        at = (best < none) & (c == none)
+        return pd.DataFrame({"id": both["id"].to_numpy()[at], "near": best[at]})
+
+    core = cut_lineage(in_groups(met, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "core")
+    both = in_groups(met.join(core, "id", "left_semi"), link, "a long, b long").distinct()
+    both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "core-links")
     label = core.withColumn("c", F.col("id"))
     while True:
         low = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("low"))
-        new = label.join(low, "id").select("id", F.least("c", "low").alias("c"))
+        new = label.join(low, "id", "left").select("id", F.least("c", F.coalesce("low", "c")).alias("c"))
         jump = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         new = cut_lineage(new.join(jump, "c").select("id", F.col("cc").alias("c")), "labels")
         moved = new.join(label.withColumnRenamed("c", "old"), "id").where("c <> old").limit(1).count()
         label = new
         if not moved:
             break
-    border = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
-    out = p.select("id").join(label, "id", "left").join(border, "id", "left")
+    placed = in_groups(met.join(label, "id", "left").withColumn("c", F.coalesce("c", F.lit(none))), border, "id long, near long").groupBy("id").agg(F.min("near").alias("near"))
+    out = p.select("id").join(label, "id", "left").join(placed, "id", "left")
     return out.select("id", F.coalesce("c", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
