@@ -22,8 +22,13 @@ The base score is an add-one unigram over words. The TOP_WORDS most frequent wor
 occurrences of all others are joined to the counts by word, and none of those words can be more than one in TOP_WORDS
 of the tokens, so that join has no hot key.
 
-Defined cases. A null or empty text is the end token alone. Without training texts all counts are 0 and the model is
-uniform. A null doc_id is not held out. Repeated rows get equal scores. Only doc_id and text are read.
+The attention depends on how the training table is cut: each partition trains by itself, and one with few texts passes
+over them up to PASSES times. Counts, base scores and sums of probabilities don't.
+
+Defined cases. A null or empty text is the end token alone. Without training texts, as with an empty table of documents,
+all counts are 0 and the model is uniform; an empty table gives no rows. A null doc_id is not held out. Repeated rows get
+equal scores. Very long texts are scored whole, in windows. Of words and ids with equal counts at a cut-off all are taken
+or none. Only doc_id and text are read, so extra columns and their names don't matter.
 """
 
 from __future__ import annotations

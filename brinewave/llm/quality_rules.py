@@ -8,7 +8,9 @@ Defined cases. Null and empty texts count as no words, so they fail the base rul
 training. Without labelled rows, or with one class only, the list is empty and keeps all that passes the base rule.
 Of conditions with equal gains the first in the order of the
 features, and of its thresholds the lowest, is taken. Very long texts are measured whole, one at a time; an empty table
-gives no rows. Repeated rows get equal verdicts. Extra columns are kept; a column of the input with the name of a statistic is replaced.
+gives no rows. Repeated rows get equal verdicts. The list is learned from SAMPLE_ROWS labelled doc_ids at most, and where documents repeat
+doc_ids from four times as many rows at most; all rows are judged. Extra columns are kept; columns of the input named as a statistic, base_failed, rule or
+kept are replaced, and one named __stats is lost.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ inflected forms share what was learned of their stem.
 Defined cases. A null or empty text has no segments and gets the score of such a text, near 0. Rows without a label
 are scored like all others. Without labelled rows of both classes every score is 0. A null doc_id is not held out.
 Very long texts are scanned whole. Of labels that repeat a doc_id the toxic one
-counts. Tokens of equal weight and segments of equal score need no order: only sums and the highest score are used. An
+counts. A model is fitted on SAMPLE_ROWS labelled doc_ids at most, has TABLE_ROWS weights at most, and where documents
+repeat doc_ids takes four times as many rows as that for its tail and curve at most; all rows are scored. Tokens of equal weight and segments of equal score need no order: only sums and the highest score are used. An
 empty table gives no rows. Repeated rows get equal scores. Extra columns are kept; __score columns are reserved.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 from brinewave.llm.common import fold, give_back, materialize, portions, table
 
 SAMPLE_ROWS = 20_000  # labelled rows that the fit takes at most
-TABLE_ROWS = 50_000  # weights that the scan carries at most
+TABLE_ROWS = 50_000  # weights that a model has at most: those with the greatest |z|
 PREFIXES = (8, 7, 6, 5, 4)
 EDGE = ".,;:!?\"'()[]{}<>%&*$#|-"
 DRIFT = 1.0  # what each token costs, so that a segment must be dense in toxic tokens

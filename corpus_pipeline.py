@@ -1,4 +1,10 @@
-"""A training-data pipeline over `documents`: quality rules, toxicity, near-duplicates, mixing, byte-level BPE."""
+"""A training-data pipeline over `documents`: quality rules, toxicity, near-duplicates, mixing, byte-level BPE.
+
+Defined cases. Null, empty and blank texts fail the quality rules. Of rows equal in doc_id and text one is left after the
+near-duplicates, and rows that only share a doc_id are judged each by its text; a row without doc_id goes through all
+stages. Very long texts are judged and encoded whole. An empty table gives no rows in every stage. Extra columns go
+through to the last stage but one; those named as a stage's own columns are replaced there.
+"""
 
 from __future__ import annotations
 
