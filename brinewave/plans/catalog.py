@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brinewave import pipeline
 from brinewave import sql as brinewave_sql
 from brinewave.config import Config
 from brinewave.operators import channels, cluster, components, detect, features, models, reduce, segment, signal, stretches
@@ -697,3 +698,51 @@ def q68_sql_events(spark, sf_dir):
     brinewave_sql.register(spark)
     query_ = f"select record_id, round(event_sec, 6) as event_sec from detect_events(table(select record_id, event_id, t_sec, y_pred from {{p}}) partition by record_id order by (t_sec, event_id), cast({V.REFRACTORY} as double))"
     return spark.sql(query_, p=V.pred(spark, sf_dir))
+
+
+# --- status rows and report files
+
+
+@query(f"""with {V.SIG}, t(name, pos) as (values {sql_values(TARGETS)}), f as (select record_id, event_id, upper(channel) as channel, row_number() over (partition by record_id, channel order by i) - 1 as k from sig where x > 30),
+c as (select record_id, channel, count(*) as n, max(k) + 1 as total from f where k < 3 and event_id % 61 <> 0 group by all),
+g as (select record_id, count(*) as have, max((n <> total)::int) as gap, min(total) as shortest, max(total) as longest from c group by 1),
+m as (select g.record_id, coalesce(string_agg(name, ', ' order by pos) filter (where c.channel is null), '') as missing from g cross join t left join c on c.record_id = g.record_id and c.channel = t.name group by 1)
+select record_id, have as retained_n, missing, case when have < 5 then 'rejected' when gap = 1 or shortest <> longest then 'failed' else 'ok' end as status,
+       case when have < 5 then 'only ' || have || ' of 6 channels; missing: ' || missing when gap = 1 then 'samples are missing or overlap' when shortest <> longest then 'channels of unequal lengths' else '' end as reason
+from g join m using (record_id)""")
+def q69_recording_status(spark, sf_dir):
+    """One status row for each recording: quorum with the missing channels, gaps, unequal lengths. A stretch is one sample."""
+    k = F.row_number().over(Window.partitionBy("record_id", "channel").orderBy("i")) - 1
+    s = V.sig(spark, sf_dir).where("x > 30").withColumn("k", k).where("k < 3 and event_id % 61 <> 0")
+    rows = s.select("record_id", "channel", F.col("k").cast("long").alias("start_sample"), F.lit(1.0).alias("sfreq"), F.array("x").alias("samples"), F.lit("ok").alias("status"), F.lit("").alias("reason"))
+    out = pipeline.recordings(rows, Config(least_channels=5), targets=TARGETS, exclude=("ECG",))
+    return out.select("record_id", F.size("retained").cast("long").alias("retained_n"), F.array_join("missing", ", ").alias("missing"), "status", "reason")
+
+
+@query(SQL["q44_model_ranking"])
+def q70_report_csv(spark, sf_dir):
+    """The ranking as a CSV report that is read again."""
+    path = shared_folder(spark, "ranking")
+    ranked = detect.ranking(V.runs(spark, sf_dir))
+    annotations.write_csv(ranked, path, ["patient", "model", "rank", "sensitivity_mean"])
+    back = spark.read.option("header", True).schema("patient long, model string, rank long, sensitivity_mean double").csv(path)
+    return rounded(back, "sensitivity_mean")
+
+
+@query(f"""with {WINDOWS_SQL} select record_id % 12 as patient, count(*) as n_windows, count(*) filter (where label = 1) as n_ictal from lab where label <> -1 group by 1""")
+def q71_processed_windows(spark, sf_dir):
+    """Labelled windows by patient, written twice (the second time for one patient alone) and read again."""
+    path = shared_folder(spark, "processed")
+    k = segment.known(_labelled(spark, sf_dir)).withColumn("patient", F.col("record_id") % 12)
+    annotations.write_processed(k, path)
+    annotations.write_processed(k.where("patient = 3"), path)
+    back = spark.read.schema("record_id long, window_id long, label int, patient long").parquet(path)
+    return back.groupBy("patient").agg(F.count("*").alias("n_windows"), F.count_if(F.col("label") == 1).alias("n_ictal"))
+
+
+@query(f"""with {V.SIG} select distinct 'p' || (record_id % 12)::varchar as patient from sig where channel in ('click', 'view') and x > 200""")
+def q72_patients_of_results(spark, sf_dir):
+    """Patients named by the files of models' results."""
+    s = V.sig(spark, sf_dir).where("x > 200")
+    names = s.select(F.concat("channel", F.lit("_p"), (F.col("record_id") % 12).cast("string"), F.lit("_loso.json")).alias("file_name"))
+    return annotations.discover_patients(names, ("click", "view"))
