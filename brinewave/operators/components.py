@@ -232,7 +232,7 @@ def clean(stretches: DataFrame, *, components: int = DEFAULT.ica_components, eye
     """
     f = cut_lineage(frames(stretches), "frames")
     odd = cut_lineage(unlike(f), "unlike")
-    good = f.join(F.broadcast(odd.select("record_id")), "record_id", "left_anti") if odd.limit(1).count() else f
+    good = f.join(odd.select("record_id"), "record_id", "left_anti")
     u = cut_lineage(unmixing(good, components), "unmixing")
     key = f.schema["record_id"].dataType.simpleString()
 

@@ -44,7 +44,7 @@ def test_recordings_fail_alone_and_are_told_of(spark, tmp_path):
     (tmp_path / "cut.edf").write_bytes((tmp_path / "cut.edf").read_bytes()[:-3000])
     (tmp_path / "noise.edf").write_bytes(rng.bytes(600))
     (tmp_path / "empty.edf").write_bytes(b"")
-    edf.write_edf(str(tmp_path / "none.edf"), names, np.zeros((11, 0)) if False else rng.normal(0, 30, (11, 64)), 64)
+    edf.write_edf(str(tmp_path / "none.edf"), names, rng.normal(0, 30, (11, 64)), 64)
     spoil(tmp_path / "none.edf", 236, b"0       ")
     (tmp_path / "short.edf").write_bytes((tmp_path / "a.edf").read_bytes()[:700])
     config = Config(target_hz=64.0, low_hz=1.0, high_hz=15.0)
