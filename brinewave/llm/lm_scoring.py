@@ -9,8 +9,8 @@ ends there, and each word's is mixed with its share of the training tokens:
     P(word) = MIX * count / tokens + (1 - MIX) * P(ids of the word | context)
 
 What comes from the corpus: word counts of all training texts, by Spark; counts of all subword ids, from each distinct
-word once; attention weights by rounds of local steps on all training texts, each partition by itself, averaged after each
-round. Each text trains in one of the rounds. The classes come from the counts of all ids and of
+word once; attention weights by rounds of local steps on all training texts, each shard by itself, averaged after each
+round. Each row trains in one of the rounds. The classes come from the counts of all ids and of
 their neighbours and borders within words. The network's input are the ids themselves, in INPUTS rows by their remainder.
 
 An id either begins a word (or ends the text) or stands within one. The share of its side in its class, the share of the
@@ -22,8 +22,10 @@ The base score is an add-one unigram over words. The TOP_WORDS most frequent wor
 occurrences of all others are joined to the counts by word, and none of those words can be more than one in TOP_WORDS
 of the tokens, so that join has no hot key.
 
-The attention depends on how the training table is cut: each partition trains by itself, and one with few texts passes
-over them up to PASSES times. Counts, base scores and sums of probabilities don't.
+Training is by shards of about SHARD_IDS ids. The hash of a row's text and doc_id gives its round, its shard and its place
+there; the number of shards and of passes over the texts (1 to PASSES) comes from the count of all ids. So scores don't
+depend on how the table is cut, up to the last digits of sums. Copies with doc_ids of their own spread over the shards;
+rows equal in both share one, which costs a task time but no memory.
 
 Defined cases. A null or empty text is the end token alone. Without training texts, as with an empty table of documents,
 all counts are 0 and the model is uniform; an empty table gives no rows. A null doc_id is not held out. Repeated rows get
@@ -51,8 +53,10 @@ from brinewave.llm.common import fold, give_back, materialize, most_frequent, po
 
 TOP_WORDS = 50_000
 ROUNDS = 2
-LEAST_STEPS = 400  # local steps of a partition and round at least, by passing over it again, PASSES times at most
-PASSES = 8
+SHARD_IDS = 16_000_000  # ids of a shard's texts in a round, about; the shards' weights are averaged
+STEP_WINDOWS = 96
+LEAST_STEPS = 400  # local steps of a shard and round to aim at: where all training texts are few, they are passed over more than once
+PASSES = 8  # and so often at most
 PAIRS = 400_000  # pairs of neighbouring ids within words whose counts travel to the tasks; those of all others are joined by word
 CLASSES, SINGLE = 64, 40  # classes; those of one id each
 WIDTH, HIDDEN = 16, 16
@@ -422,7 +426,7 @@ def text_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield out
 
 
-def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, state: dict, batch: int = 96, rate: float = 8e-3) -> None:
+def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, state: dict, batch: int = STEP_WINDOWS, rate: float = 8e-3) -> None:
     """One pass over the windows of some texts, which don't overlap here, in a shuffled order; the rate falls to a tenth over LEAST_STEPS."""
     target = np.roll(ids, -1)
     target[np.cumsum(lengths) - 1] = len(class_of) - 1
@@ -442,34 +446,59 @@ def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.
         net.flat -= now * (state["m"] / (1 - 0.9**t)) / (np.sqrt(state["s"] / (1 - 0.99**t)) + 1e-8)
 
 
-def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, vocabulary: tuple[str, str], rounds: int = ROUNDS) -> Network:
-    """Rounds of local steps on each partition, then the mean of the partitions' weights, by the windows they saw; summed by Spark.
+def plan_of(n_ids: float, rounds: int = ROUNDS) -> tuple[int, int]:
+    """(shards of a round, passes over each text) for so many ids of training texts."""
+    each = n_ids / rounds
+    shards = max(1, math.ceil(each / SHARD_IDS))
+    return shards, min(PASSES, max(1, math.ceil(LEAST_STEPS * STEP_WINDOWS * WINDOW * shards / max(each, 1.0))))
 
-    Each text trains in one round, by the hash of its text; together the rounds pass once over all texts.
+
+def mean_weights(weights: DataFrame, shards: int) -> np.ndarray | None:
+    """The mean of the shards' weights, by their steps, in two levels: sums of some hundred shards each, then the sum of these by place."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, steps = 0.0, 0.0
+        for pdf in batches:
+            for flat, n in zip(pdf["flat"], pdf["steps"], strict=True):
+                total, steps = total + np.frombuffer(flat, np.float32).astype(float) * n, steps + n
+        if steps:
+            yield pd.DataFrame({"place": np.arange(len(total)), "total": total, "steps": steps})
+
+    groups = math.ceil(math.sqrt(shards))
+    parts = weights.repartition(groups, "shard").mapInPandas(partial, "place int, total double, steps double")
+    rows = parts.groupBy("place").agg((F.sum("total") / F.sum("steps")).alias("mean")).toPandas()
+    return rows.sort_values("place")["mean"].to_numpy(np.float32) if len(rows) else None
+
+
+def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, vocabulary: tuple[str, str], n_ids: float, rounds: int = ROUNDS) -> Network:
+    """Rounds of local steps on each shard, then the mean of the shards' weights, by their steps.
+
+    A row's round, shard and place in the shard come from the hash of its text and doc_id, and the number of shards and
+    passes from n_ids, so how the table is cut changes nothing. Together the rounds pass over all texts.
     """
     net = Network.fresh(log_share)
     sc = documents.sparkSession.sparkContext
+    shards, passes = plan_of(n_ids, rounds)
+    keyed = documents.select("text", F.xxhash64("text", F.col("doc_id").cast("long")).alias("h"))
     for r in range(rounds):
         shared = sc.broadcast((net.flat, class_of))
 
         def local(batches: Iterator[pd.DataFrame], shared=shared, r=r) -> Iterator[pd.DataFrame]:
             start, classes = shared.value
-            own, encoder = Network(start.copy()), Encoder(*vocabulary)
-            state = {"t": 0, "m": np.zeros_like(start), "s": np.zeros_like(start), "rng": np.random.default_rng(r)}
-            for pdf in batches:
-                for texts in text_groups(pdf["text"]):
-                    ids, lengths = encoder.texts(texts)
-                    for n in range(PASSES):
-                        if n and state["t"] >= LEAST_STEPS:
-                            break
-                        adam_steps(own, ids, lengths, classes, state)
+            own, encoder, shard = Network(start.copy()), Encoder(*vocabulary), TaskContext.get().partitionId()
+            state = {"t": 0, "m": np.zeros_like(start), "s": np.zeros_like(start), "rng": np.random.default_rng((r, shard))}
+            for texts in text_groups(chain.from_iterable(pdf["text"] for pdf in batches)):
+                ids, lengths = encoder.texts(texts)
+                for _ in range(passes):
+                    adam_steps(own, ids, lengths, classes, state)
             if state["t"]:
-                yield pd.DataFrame({"place": np.arange(len(start)), "total": own.flat.astype(float) * state["t"], "weight": float(state["t"])})
+                yield pd.DataFrame({"shard": [shard], "flat": [own.flat.astype(np.float32).tobytes()], "steps": [float(state["t"])]})
+            give_back()
 
-        part = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
-        sums = part.mapInPandas(local, "place int, total double, weight double").groupBy("place").agg((F.sum("total") / F.sum("weight")).alias("mean")).toPandas()
-        if len(sums):
-            net = Network(sums.sort_values("place")["mean"].to_numpy(np.float32))
+        part = keyed.where(F.pmod("h", F.lit(rounds)) == r).repartition(shards, "h").sortWithinPartitions("h").select("text")
+        flat = mean_weights(materialize(part.mapInPandas(local, "shard int, flat binary, steps double"), "weights"), shards)
+        if flat is not None:
+            net = Network(flat)
     return net
 
 
@@ -528,7 +557,6 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     id_counts[size - 1] = n_train
     all_pairs = gathered.where(F.col("key") >= 1 << 20)
     inner = most_frequent(all_pairs, "n", PAIRS).toPandas()
-    train_texts = training.select("text")
     own_class = spark.sparkContext.broadcast(singles(id_counts))
     near = all_pairs.mapInPandas(neighbour_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     starts = np.array([t[:1] == b" " for t in bpe.bytes_of] + [True])
@@ -538,7 +566,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     profile = np.column_stack([profile, id_counts * starts, np.maximum(id_counts - profile[:, SINGLE + 1 :].sum(axis=1), 0)]).astype(np.float32)
     class_of = learn_classes(id_counts, {}, profile)
     log_side, log_within, log_share, begins = within(id_counts, class_of, starts)
-    network = train(train_texts, class_of, log_share, vocabulary) if n_train else Network(np.zeros(Network.SIZE, np.float32))
+    network = train(training.select("doc_id", "text"), class_of, log_share, vocabulary, float(id_counts.sum())) if n_train else Network(np.zeros(Network.SIZE, np.float32))
     kept = np.sort(inner["key"].to_numpy(np.int64))
     counted = spark.sparkContext.broadcast((class_of, log_within, kept))
 

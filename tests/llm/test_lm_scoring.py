@@ -180,3 +180,37 @@ def test_pairs_beyond_those_that_travel_count_too(docs, monkeypatch):
     monkeypatch.setattr(L, "PAIRS", 10)
     for a, b in zip(whole, take(), strict=True):
         assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * abs(a[4])
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 60)))) for k in range(120)] + [(500 + k, "the very same text") for k in range(40)] + [(None, "no id")] * 3 + [(900, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (x[0] is None, x[0] or 0)
+    one, eight = (sorted(((r.doc_id, r.score) for r in L.score(d.repartition(n)).collect()), key=key) for n in (1, 8))
+    assert [i for i, _ in one] == [i for i, _ in eight]
+    assert np.allclose([s for _, s in one], [s for _, s in eight], rtol=1e-5, atol=1e-5)
+
+
+def test_shards_and_their_mean(spark, docs, monkeypatch):
+    """More shards than one, whatever the table's partitions; the mean by hand; every training row in one round and shard."""
+    ids = 100_000.0
+    assert L.plan_of(2 * L.SHARD_IDS * 3 + 1) == (4, 1) and L.plan_of(0.0) == (1, L.PASSES) and L.plan_of(2 * 3 * 96 * 32 * 100.0)[1] == 2
+    monkeypatch.setattr(L, "SHARD_IDS", ids / 2 / 3)
+    monkeypatch.setattr(L, "PASSES", 1)
+    seen, mean = [], L.mean_weights
+
+    def held(weights, shards):
+        rows = weights.collect()
+        seen.append((shards, [(r.shard, r.steps) for r in rows]))
+        flat = mean(weights, shards)
+        by_hand = sum(np.frombuffer(r.flat, np.float32).astype(float) * r.steps for r in rows) / sum(r.steps for r in rows)
+        assert np.allclose(flat, by_hand, atol=1e-6)
+        return flat
+
+    monkeypatch.setattr(L, "mean_weights", held)
+    class_of, share = np.zeros(L.coder(*L.default_vocabulary()).base + 1, np.int64), np.full(L.CLASSES, -math.log(L.CLASSES), np.float32)
+    nets = [L.train(docs.repartition(n), class_of, share, L.default_vocabulary(), ids) for n in (1, 6)]
+    assert np.allclose(nets[0].flat, nets[1].flat, atol=1e-5)
+    assert [s for s, _ in seen] == [3] * 4 and sorted(seen[0][1]) == sorted(seen[2][1]) and sorted(seen[1][1]) == sorted(seen[3][1])
