@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewave.config import DEFAULT
+from brinewave.operators import forest
 from brinewave.operators.cells import CELL_ROWS, cells_of, in_groups, visits
 from brinewave.operators.pairs import distances, matrix
 from brinewave.operators.tables import cut_lineage
@@ -144,9 +145,8 @@ def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def random_forest(train: DataFrame, test: DataFrame, *, trees: int = 100, depth: int = 12, seed: int = 42) -> DataFrame:
-    a, b = scaled(balanced(train), test)
-    model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(a)
-    return model.transform(b).select("id", "record_id", "y", F.col("prediction").cast("int").alias("y_pred"), F.get(vector_to_array("probability"), F.lit(1)).alias("y_score"))
+    """Class weights are those of each tree's own bootstrap; trees don't need scaled features."""
+    return forest.predict(forest.fit(train, trees=trees, depth=depth, seed=seed), test)
 
 
 def kernel_machine(train: DataFrame, test: DataFrame, *, gamma: float = 0.1, width: int = 200, seed: int = 42) -> DataFrame:
