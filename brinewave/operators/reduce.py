@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.operators.pairs import block_pairs, distances, matrix
+from brinewave.operators.pairs import Products, half_pairs, squares, vectors
+from brinewave.operators.tables import cut_lineage
 
 
 def aligned(samples: DataFrame, *, by: Sequence[str] = ("record_id",), index: str = "k", channel: str = "channel", value: str = "x") -> DataFrame:
@@ -66,21 +67,38 @@ SUMS = "id long, label long, other long, total double, n long"
 def silhouette(points: DataFrame, *, id: str = "id", label: str = "label", features: str = "features") -> DataFrame:
     """(id, label, silhouette): exact, Euclidean; unlabelled (-1) points are left out, points alone in their class get 0.
 
-    Distances are summed per block pair and class, so what is shuffled is a row for each point, block and class.
+    Every two blocks meet once, and distances are summed by class for both, so what is shuffled on is a row for each
+    point, block and class. Distances are by products of matrices, those of near points by differences.
     """
-    p = points.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(features).alias("v")).where("label <> -1")
+    p = points.select(F.col(id).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(features).cast("array<double>").alias("v")).where("label <> -1")
+    p = cut_lineage(p, "points")
 
-    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def sums(x: pa.Table, y: pa.Table, one: bool) -> pa.Table:
         if not len(x) or not len(y):
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype="float64") for c in SUMS.split(", ")})
-        d = distances(matrix(x["v"]), matrix(y["v"]))
+            return pa.table({c.split()[0]: np.empty(0, np.float64 if "double" in c else np.int64) for c in SUMS.split(", ")})
+        x, y = x.sort_by("label"), y.sort_by("label")
+        u, v = vectors(x), vectors(y)
+        a, b = x["label"].to_numpy(), y["label"].to_numpy()
+        total = [np.zeros((len(a), len(np.unique(b)))), np.zeros((len(b), len(np.unique(a))))]
+        code = [np.unique(z, return_inverse=True)[1] for z in (a, b)]
+        p = Products(u, v)
+        for rows, cols, d in p.tiles(tile=(256, 1_024)):
+            i, j = np.nonzero(d <= 1e6 * p.slack[rows, None])  # the root would lose digits
+            d[i, j] = squares(u[rows], v[cols], i, j)
+            np.sqrt(d, out=d)
+            starts = np.flatnonzero(np.diff(code[1][cols], prepend=-1))
+            total[0][rows, code[1][cols][starts]] += np.add.reduceat(d, starts, axis=1)
+            if not one:
+                starts = np.flatnonzero(np.diff(code[0][rows], prepend=-1))
+                total[1][cols, code[0][rows][starts]] += np.add.reduceat(d, starts, axis=0).T
         out = []
-        for c in sorted(set(y["label"])):
-            at = (y["label"] == c).to_numpy()
-            out.append(pd.DataFrame({"id": x["id"], "label": x["label"], "other": c, "total": d[:, at].sum(axis=1), "n": int(at.sum())}))
-        return pd.concat(out)
+        for own, other, part in [(x, b, total[0])] + ([] if one else [(y, a, total[1])]):
+            names, n = np.unique(other, return_counts=True)
+            k = len(names)
+            out.append(pa.table({"id": np.repeat(own["id"].to_numpy(), k), "label": np.repeat(own["label"].to_numpy(), k), "other": np.tile(names, len(own)), "total": part.ravel(), "n": np.tile(n, len(own))}))
+        return pa.concat_tables(out)
 
-    s = block_pairs(p, p, sums, SUMS, left_id="id", right_id="id").groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    s = half_pairs(p, sums, SUMS).groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("other")
     s = s.groupBy("id", "label").agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b")
