@@ -21,6 +21,7 @@ from brinewave.operators.pairs import matrix
 from brinewave.operators.tables import cut_lineage
 
 BINS = 32
+HELD_ROWS = 50_000  # binned rows that a task counts together
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
@@ -103,6 +104,32 @@ def best_splits(counts: DataFrame, weights: np.ndarray, *, tries: int, nodes: in
     return c.groupBy("node").agg(best.alias("b")).select("node", "b.*")
 
 
+def held(batches: Iterator[pd.DataFrame], rows: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(h, y, bins) of all batches, HELD_ROWS or a batch more at most together; bins stay two bytes each."""
+    some: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+    for pdf in batches:
+        if len(pdf):
+            some.append((pdf["h"].to_numpy(), pdf["y"].to_numpy(), np.stack(pdf["bins"].to_numpy())))
+            n += len(pdf)
+        if n >= (rows or HELD_ROWS):
+            yield tuple(np.concatenate(z) for z in zip(*some, strict=True))
+            some, n = [], 0
+    if some:
+        yield tuple(np.concatenate(z) for z in zip(*some, strict=True))
+
+
+def counted(key: np.ndarray, y: np.ndarray, n: np.ndarray, tries: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys below size that occur, draws of class 0, of class 1); each row has tries keys, one after the other. Few keys are sorted, many are counted in a table of all."""
+    if len(key) * 4 < size:
+        names, to = np.unique(key, return_inverse=True)
+        c = [np.bincount(to, weights=np.repeat(np.where(y == v, n, 0), tries), minlength=len(names)).astype(np.int64) for v in (0, 1)]
+        return names, c[0], c[1]
+    c = [np.bincount(key, weights=np.repeat(np.where(y == v, n, 0), tries), minlength=size) for v in (0, 1)]
+    names = np.flatnonzero(c[0] + c[1])
+    return names, c[0][names].astype(np.int64), c[1][names].astype(np.int64)
+
+
 def fit(train: DataFrame, *, trees: int = 100, depth: int = 12, seed: int = 42, bins: int = BINS) -> Forest:
     """A forest of (id, y, features); y is 0 or 1, and each node looks at the square root of the number of features.
 
@@ -152,19 +179,19 @@ def fit(train: DataFrame, *, trees: int = 100, depth: int = 12, seed: int = 42,
 
         def count(batches: Iterator[pd.DataFrame], shared=shared, first=first) -> Iterator[pd.DataFrame]:
             grown, still, look = shared.value
-            for pdf in batches:
-                h, y, b = pdf["h"].to_numpy(), pdf["y"].to_numpy(), np.stack(pdf["bins"].to_numpy())
+            for h, y, b in held(batches):
                 for k in range(trees):
-                    node, n = grown.nodes(b, k), draws(h, k, seed)
-                    live = np.flatnonzero((n > 0) & (node >= first) & still[k, node])
-                    if not len(live):
+                    n = draws(h, k, seed)
+                    drawn = np.flatnonzero(n)
+                    node = grown.nodes(b[drawn], k)
+                    live = (node >= first) & still[k, node]
+                    if not live.any():
                         continue
-                    place = node[live] - first
-                    bin_of = b[live[:, None], look[k, place]].astype(np.int64)
-                    key = (((k * first + place)[:, None] * tries + np.arange(tries)) * bins + bin_of).ravel()
-                    key, to = np.unique(key, return_inverse=True)
-                    c = [np.bincount(to, weights=np.repeat(np.where(y[live] == v, n[live], 0), tries), minlength=len(key)).astype(np.int64) for v in (0, 1)]
-                    yield pd.DataFrame({"key": key, "c0": c[0], "c1": c[1]})
+                    at, place = drawn[live], node[live] - first
+                    bin_of = b[at[:, None], look[k, place]].astype(np.int64)
+                    key = ((place[:, None] * tries + np.arange(tries)) * bins + bin_of).ravel()
+                    key, c0, c1 = counted(key, y[at], n[at], tries, first * tries * bins)
+                    yield pd.DataFrame({"key": key + k * first * tries * bins, "c0": c0, "c1": c1})
 
         for r in best_splits(rows.mapInPandas(count, "key long, c0 long, c1 long"), weights, tries=tries, nodes=first, bins=bins).collect():
             k, place = divmod(r.node, first)

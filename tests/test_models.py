@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 
 from brinewave.operators import forest, models
 from brinewave.plans import catalog
@@ -85,3 +86,15 @@ def test_forest_of_odd_rows(spark):
     f = forest.fit(spark.createDataFrame(rows, kind), trees=8, depth=3)
     assert f.drawn.sum() > 0 and set(score(f)) == {1, 2, None}
     assert forest.predict(f, none).count() == 0
+
+
+def test_forest_counts_rows_together_and_both_ways():
+    """Rows of several batches are counted at once; a table of all keys counts as sorting does."""
+    rng = np.random.default_rng(0)
+    batches = [pd.DataFrame({"h": rng.integers(0, 99, k), "y": rng.integers(0, 2, k), "bins": list(rng.integers(0, 9, (k, 3)).astype(np.int16))}) for k in (4, 0, 5, 7)]
+    got = list(forest.held(iter(batches), 8))
+    assert [len(h) for h, _, _ in got] == [9, 7] and got[0][2].dtype == np.int16
+    assert np.concatenate([h for h, _, _ in got]).tolist() == pd.concat(batches)["h"].tolist()
+    key, y, n = rng.integers(0, 40, 300), rng.integers(0, 2, 100), rng.integers(1, 4, 100)
+    few, many = forest.counted(key, y, n, 3, 10_000), forest.counted(key, y, n, 3, 40)
+    assert all((a == b).all() for a, b in zip(few, many, strict=True)) and few[1].sum() + few[2].sum() == 3 * n.sum()
