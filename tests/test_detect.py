@@ -106,3 +106,11 @@ def test_average_precision_however_scores_are_cut(spark, monkeypatch):
         assert abs(got[g] - out / total) < 1e-9
     monkeypatch.setattr(detect, "SCORE_RANGES", 2)
     assert all(abs(take()[g] - got[g]) < 1e-12 for g in got)
+
+
+def test_results_of_records_sort_nothing_of_the_events_again(spark):
+    """Events are used four times; the joined results hold none of their windows, nor those of the precisions."""
+    p = spark.createDataFrame([(1, k, float(k), k % 2, k % 3 % 2, float(k)) for k in range(12)], "record_id long, event_id long, t_sec double, y_pred int, y_true int, y_score double")
+    a = spark.createDataFrame([(1, 2.0, 5.0)], "record_id long, s0 double, s1 double")
+    out = detect.record_results(p, a, p.select("record_id").distinct().selectExpr("record_id", "100.0 as duration_sec"), refractory=2.0, tol=1.0)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString() and out.first().n_events == 3
