@@ -10,7 +10,8 @@ phrase can only be frequent if it is without its last and without its first word
 3. A frequent phrase that wasn't proposed is a border failure: its extensions were not counted. A further pass over all
    documents counts these, and the extensions of what it counts for the first time itself, of whatever size, as far as
    no shorter phrase of theirs is known to be rare. So what it finds frequent needs no pass after it: the set is closed.
-4. A last pass counts by their texts, per language, the phrases that have turned out frequent.
+4. A last pass counts by their texts, per language, the phrases that have turned out frequent. Each task hands on each
+   of them once, so its tasks are a few for each core and not as many as the input has parts.
 
 The passes before the last count by 61-bit hashes of language and phrase, so no texts are shuffled for the many rare
 ones; phrases that share a hash can only make a count too high, and the last pass sets that right. So the result is
@@ -51,6 +52,7 @@ MISS = 0.01
 CHUNK_WORDS = 500_000
 CHUNK_BYTES = 1_000_000  # of texts that are split into words at once
 HELD_ROWS = 1_000_000  # of spelled phrases in a task
+SPELLERS = 2  # tasks for each core in the last pass, at most
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28  # bits of a filter for a phrase; its size as powers of two
 SALT = 64  # parts in which the phrases of a language are ranked first
 PIECE_END = r"[.,;:!?\x0A-\x0D]"
@@ -297,6 +299,16 @@ def propose(sample: DataFrame, *, least: int, longest: int) -> DataFrame:
     return found
 
 
+def spelled(texts: DataFrame, longest: int, known) -> DataFrame:
+    """(lang, phrase, size, n): numbers of the known phrases (a broadcast filter) in texts (lang, text), from each task once.
+
+    Nearly every task sees nearly all frequent phrases, and the more texts, the more of both: by the parts of the input
+    the rows would grow with its square until each is one occurrence. Parts are taken together without a shuffle.
+    """
+    few = texts.coalesce(SPELLERS * texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(counter(set(range(1, longest + 1)), known, spelled=True), SPELLED)
+
+
 def frequent_phrases(documents: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, share: int = SAMPLE_SHARE, least: int | None = None) -> DataFrame:
     """(lang, phrase, size, f) of every phrase of 1 to longest words with f >= support occurrences; size 0 has a language's number of words."""
     spark = documents.sparkSession
@@ -314,7 +326,7 @@ def frequent_phrases(documents: DataFrame, *, support: int = SUPPORT, longest: i
     failures = materialize(found.where(F.col("hash").bitwiseAND(F.lit(7)) < longest).join(known, "hash", "left_anti"), "failures")
     if not failures.isEmpty():
         found = found.unionAll(counted(set(range(2, longest + 1)), sent(known.unionAll(failures)), sent(failures)))
-    exact = texts.mapInArrow(counter(set(range(1, longest + 1)), sent(found.distinct()), spelled=True), SPELLED)
+    exact = spelled(texts, longest, sent(found.distinct()))
     f = exact.groupBy("lang", "phrase").agg(F.min("size").alias("size"), F.sum("n").alias("f"))
     return materialize(f.where((F.col("f") >= support) | (F.col("size") == 0)), "phrases")
 

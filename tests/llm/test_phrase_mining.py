@@ -98,6 +98,24 @@ def test_small_chunks(spark, monkeypatch):
     assert sorted(hashed.values()) == sorted(f.values()) and Counter(h & 7 for h in hashed) == Counter(len(p) for _, p in f)
 
 
+def test_last_pass_hands_on_each_phrase_a_few_times(spark):
+    """Rows of the last pass follow the phrases and the cores, not the parts of the input; their sums are exact."""
+    class Sent:
+        value = np.full(64, 2**64 - 1, np.uint64).tobytes()
+
+    rows = corpus(3) * 6
+    texts = spark.createDataFrame([(r[2] or "und", r[1]) for r in rows], "lang string, text string").repartition(60)
+    got = M.spelled(texts, 3, Sent).collect()
+    f, n = counts(rows, 3)
+    assert len(got) <= M.SPELLERS * spark.sparkContext.defaultParallelism * (len(f) + len(n))
+    most = max(Counter((r.lang, r.phrase) for r in got).values())
+    assert most <= M.SPELLERS * spark.sparkContext.defaultParallelism
+    total = Counter()
+    for r in got:
+        total[r.lang, tuple(r.phrase.split(" "))] += r.n if r["size"] else 0
+    assert {k: v for k, v in total.items() if v} == dict(f)
+
+
 def test_cuts_ties_and_order(spark):
     """Equal cuts: the first counts. Equal scores and counts: by the bytes of the phrase. A language's first are cut off after ranking."""
     rows = [(k, "z y. é a. b a. " * 20, "en", "", 0.0) for k in range(2)]
