@@ -16,8 +16,10 @@ from pyspark.sql.functions import pandas_udf
 
 from brinewave.config import DEFAULT, Config
 from brinewave.operators.signal import band_pass_taps
+from brinewave.operators.tables import short_batches
 
 CHANNEL = ["record_id", "channel"]
+BATCH_TILES = 1_000  # that a Python worker holds at once
 
 
 def extents(stretches: DataFrame, rate: str = "rate") -> DataFrame:
@@ -79,6 +81,7 @@ def band_pass(stretches: DataFrame, config: Config = DEFAULT, *, tile: Column |
 
     stretches has rate and total; a tile has a minute of samples unless said otherwise. Equal to the filter of a whole channel but for rounding. taps: instead of the band-pass's.
     """
+    short_batches(stretches.sparkSession, BATCH_TILES)
     low, high, cap = config.low_hz, config.high_hz, config.high_cap
     given = None if taps is None else np.array(taps)
 

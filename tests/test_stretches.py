@@ -33,6 +33,22 @@ def test_filter_of_stretches_is_that_of_the_whole(spark, n, sizes, tile):
         assert np.abs(np.concatenate([r.samples for r in own]) - signal.filtered(x[c], taps)).max() < 1e-9
 
 
+def test_a_worker_holds_few_tiles_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        rows = [("r", "c", at, 64.0, 24_000, v) for at, v in cut(np.arange(24_000.0), [4000])]
+        got = stretches.band_pass(spark.createDataFrame(rows, SCHEMA), tile=F.lit(8), taps=[0.25, 0.5, 0.25]).coalesce(1)
+        sizes = [r.n for r in got.mapInPandas(lambda parts: (p.iloc[:1].assign(n=len(p))[["n"]] for p in parts if len(p)), "n long").collect()]
+        assert sum(sizes) == 3000 and max(sizes) <= stretches.BATCH_TILES
+        spark.conf.set(key, "7")
+        stretches.band_pass(spark.createDataFrame(rows, SCHEMA), taps=[1.0])
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_each_recording_at_its_own_rate(spark):
     rng = np.random.default_rng(0)
     x = {64.0: rng.normal(size=2000), 128.0: rng.normal(size=3000)}
