@@ -36,20 +36,23 @@ or none. Only doc_id and text are read, so extra columns and their names don't m
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewave.llm.byte_bpe import coder, default_vocabulary
-from brinewave.llm.common import fold, give_back, materialize, most_frequent, portions, table
+from brinewave.llm.byte_bpe import SPACE, coder, default_vocabulary
+from brinewave.llm.common import fold, give_back, materialize, most_frequent, table
 
 TOP_WORDS = 50_000
 ROUNDS = 2
@@ -66,25 +69,57 @@ MIX = 0.3
 CACHE = 250_000
 GROUP_CHARS = 200_000
 FRACTION = 0.5  # added to each id's count within its class
+ODD = re.compile(f"[{SPACE.replace(' ', '')}\ud800-\udfff]")  # what keeps a word from being encoded beside others
 BACKOFF = 5.0  # weight of the class's own distribution against a pair's counts
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts one after the other, as bytes; how many each text has)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, text = lists.flatten(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    some = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(some)).cast(pa.binary()), np.bincount(text[some], minlength=len(texts))
+
+
+def text_groups(batches: Iterator[pa.Array], chars: int = GROUP_CHARS) -> Iterator[pa.Array]:
+    """Consecutive texts of about so many characters together; null is the empty text."""
+    held, size = [], 0
+    for texts in batches:
+        texts = pc.fill_null(texts, "")
+        ends, at = np.cumsum(pc.utf8_length(texts).to_numpy().astype(np.int64)), 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, before + chars - size)) + 1
+            held.append(texts.slice(at, min(end, len(texts)) - at))
+            size += int(ends[min(end, len(texts)) - 1]) - before
+            if end <= len(texts):
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+            at = end
+    if held:
+        yield pa.concat_arrays(held)
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of the texts a task sees, summed before the shuffle."""
-    counts: Counter[bytes] = Counter()
-    frame = lambda: pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
-    for pdf in batches:
-        for text in pdf["text"]:
-            counts.update(words_of(text))
-            if len(counts) > 400_000:
-                yield frame()
-                counts.clear()
-    yield frame()
-    counts.clear()
+    held, rows = [], 0
+
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).select(["word", "n"])
+
+    for texts in text_groups((batch.column("text") for batch in batches), 10 * GROUP_CHARS):
+        counts = split(texts)[0].value_counts()
+        held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+        rows += len(counts)
+        if rows > 800_000:
+            held = [summed()]
+            rows = len(held[0])
+            if rows > 400_000:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from summed().to_batches()
+    held.clear()
     give_back()
 
 
@@ -101,54 +136,113 @@ def larger(batches: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.D
         yield pd.concat(held, ignore_index=True)
 
 
+class Slots(dict[bytes, int]):
+    """Slot of each word, from 1. A word that isn't there gets the next slot when it is looked up, and is put into new."""
+
+    def __init__(self, known: dict[bytes, int]) -> None:
+        super().__init__(known)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = slot = len(self) + 1
+        self.new.append(word)
+        return slot
+
+
+def put(column: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """The column with values from place at on. It doubles when it is full, so adding words doesn't copy all that are there."""
+    if at + len(values) > len(column):
+        column = np.concatenate([column[:at], np.zeros(at + 2 * len(values), column.dtype)])
+    column[at : at + len(values)] = values
+    return column
+
+
+@lru_cache(maxsize=2)
+def library_coder(path: str, pattern: str):
+    """The library's encoder by the same ranks, one for each worker process."""
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=coder(path, pattern).ranks, special_tokens={})
+
+
 class Encoder:
     """Subword ids of words, each word by itself with a space before it. Slot 0 is the end of a text, as a word of one id.
 
     fixed: what the count model gives a word, from its ids; counts: frequent words, which are never forgotten; extra: what
-    pairs of ids that aren't in fixed add to these.
+    pairs of ids that aren't in fixed add to these. A word gets its slot when it is first met; the words that are new in
+    some texts are encoded together.
     """
 
     def __init__(self, path: str, pattern: str, fixed: Fixed | None = None, counts: dict[bytes, int] | None = None, extra: dict[bytes, float] | None = None) -> None:
-        self.bpe, self.of, self.frequent, self.extra = coder(path, pattern), fixed, counts or {}, extra or {}
+        self.bpe, self.library, self.of = coder(path, pattern), library_coder(path, pattern), fixed
         self.end = self.bpe.base  # an id of its own for the end of a text
-        self.reset()
-
-    def reset(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.begins = np.array([t[:1] == b" " for t in self.bpe.bytes_of])
+        self.slot, self.n_ids = Slots({}), 1
         self.ids, self.size, self.start = np.array([self.end], np.int32), np.array([1]), np.array([0])
         self.fixed, self.count = np.zeros(1), np.array([np.nan])
-        words = list(self.frequent)
-        for k in range(0, len(words), 20_000):
-            self.learn(words[k : k + 20_000])
+        frequent = list(counts or {})
+        for k in range(0, len(frequent), 20_000):
+            self.learn(frequent[k : k + 20_000])
+        if counts:
+            self.count[1 : len(frequent) + 1] = list(counts.values())
+        if extra:
+            self.fixed[1 : len(frequent) + 1] += [extra.get(w, 0.0) for w in frequent]
+        self.frequent, self.frequent_ids = dict(self.slot), self.n_ids
+
+    def reset(self) -> None:
+        """Forget all words but the frequent ones."""
+        self.slot, self.n_ids = Slots(self.frequent), self.frequent_ids
+
+    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words one after the other, how many each has). They are encoded as one text: where no word has white
+        space, no piece crosses a word's border, and an id begins a word just where its bytes begin with a space."""
+        flat = self.library.encode_to_numpy((b" " + b" ".join(words)).decode()).astype(np.int32)
+        return flat, np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+
+    def apart(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words with Unicode's other white space or surrogates, each by itself."""
+        pieces = [[p.encode("utf-8", "surrogatepass") for p in self.bpe.split(f" {w.decode('utf-8', 'surrogatepass')}")] for w in words]
+        count = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat, each = self.bpe.encode_flat(list(chain.from_iterable(pieces)))
+        return flat, np.add.reduceat(each, np.cumsum(count) - count)
+
+    def add(self, words: list[bytes], at: int) -> None:
+        """Fill the slots of words, from at on."""
+        odd = np.zeros(len(words), bool)
+        if ODD.search(b" ".join(words).decode("utf-8", "surrogatepass")):
+            odd[:] = [ODD.search(w.decode("utf-8", "surrogatepass")) is not None for w in words]
+        size, start, fixed = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words))
+        for some, encode in ((np.flatnonzero(~odd), self.together), (np.flatnonzero(odd), self.apart)):
+            if len(some):
+                flat, own = encode([words[i] for i in some.tolist()])
+                first = np.cumsum(own) - own
+                size[some], start[some] = own, first + self.n_ids
+                if self.of:
+                    fixed[some] = self.of.words(flat, first, own)
+                self.ids, self.n_ids = put(self.ids, self.n_ids, flat), self.n_ids + len(flat)
+        self.size, self.start, self.fixed = put(self.size, at, size), put(self.start, at, start), put(self.fixed, at, fixed)
+        self.count = put(self.count, at, np.full(len(words), np.nan))
 
     def learn(self, words: list[bytes]) -> None:
-        """Give words slots."""
-        pieces: list[bytes] = []
-        count = np.ones(len(words), np.int64)
-        for k, w in enumerate(words):
-            if w.isalpha():  # ASCII letters only: one piece
-                pieces.append(b" " + w)
-            else:
-                own = self.bpe.split(f" {w.decode('utf-8', 'surrogatepass')}")
-                pieces += [p.encode("utf-8", "surrogatepass") for p in own]
-                count[k] = len(own)
-        flat, each = self.bpe.encode_flat(pieces)
-        size = np.add.reduceat(each, np.cumsum(count) - count) if words else np.zeros(0, np.int64)
-        start = np.cumsum(size) - size
-        self.slot.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, start + len(self.ids)])
-        self.ids, self.size = np.concatenate([self.ids, flat]), np.concatenate([self.size, size])
-        self.fixed = np.concatenate([self.fixed, self.of.words(flat, start, size) + [self.extra.get(w, 0.0) for w in words] if self.of else np.zeros(len(words))])
-        self.count = np.concatenate([self.count, np.array([self.frequent.get(w, np.nan) for w in words], float)])
-
-    def slots(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Slots of the words of all texts one after the other, each text preceded by the end."""
+        """Give words slots, in their order."""
+        at = len(self.slot) + 1
+        self.slot.update(zip(words, range(at, at + len(words)), strict=True))
+        self.add(words, at)
+
+    def slots(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
+        """Slots of the words of some texts one after the other, each text preceded by the end; counts: words of each text."""
         if len(self.slot) > CACHE + len(self.frequent):
             self.reset()
-        if new := set(chain.from_iterable(texts)).difference(self.slot):
-            self.learn(list(new))
-        get = self.slot.__getitem__
-        return np.fromiter(chain.from_iterable(chain((0,), map(get, words)) for words in texts), np.int64)
+        coded, at = words.dictionary_encode(), len(self.slot) + 1
+        own = np.fromiter(map(self.slot.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
+        if self.slot.new:
+            self.add(self.slot.new, at)
+            self.slot.new = []
+        out = np.zeros(len(words) + len(counts), np.int64)
+        place = np.ones(len(out), bool)
+        place[np.cumsum(counts) - counts + np.arange(len(counts))] = False
+        out[place] = own[coded.indices.to_numpy()]
+        return out
 
     def expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first place of each slot)."""
@@ -156,9 +250,9 @@ class Encoder:
         first = np.cumsum(size) - size
         return self.ids[np.repeat(self.start[slots] - first, size) + np.arange(int(size.sum()))], first
 
-    def texts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, lengths)."""
-        slots = self.slots(texts)
+        slots = self.slots(*split(texts))
         ids, first = self.expand(slots)
         return ids, np.diff(np.append(first[slots == 0], len(ids)))
 
@@ -190,17 +284,19 @@ class Network:
             at += size
         raise KeyError(name)
 
-    def attend(self, inputs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hidden states (windows, WINDOW, WIDTH) of rows of embeddings (windows, WINDOW), and what the gradient needs."""
+    def attend(self, inputs: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+        """Hidden states (windows, WINDOW - skip, WIDTH) of rows of embeddings (windows, WINDOW) from place skip on, and what the gradient needs."""
         x = self.part("e").take(inputs, axis=0)
         x += self.part("p")
         qkv = (x.reshape(-1, WIDTH) @ self.part("qkv")).reshape(*inputs.shape, 3 * WIDTH)
         q, k, v = (qkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        if skip:
+            x, q = np.ascontiguousarray(x[:, skip:]), q[:, skip:]
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= np.float32(1 / math.sqrt(WIDTH))
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
-        a *= self.MASK
+        a *= self.MASK[skip:]
         a *= 1 / np.matmul(a, np.ones((WINDOW, 1), np.float32))
         c = np.matmul(a, v)
         h = (c.reshape(-1, WIDTH) @ self.part("o")).reshape(x.shape)
@@ -251,9 +347,8 @@ class Network:
         g.part("qkv")[:] = flat(x).T @ dqkv.reshape(-1, 3 * WIDTH)
         d += dqkv.reshape(-1, 3 * WIDTH) @ self.part("qkv").T
         g.part("p")[:] = d.reshape(x.shape).sum(axis=0)
-        place = inputs.ravel()
-        for j in range(WIDTH):
-            g.part("e")[:, j] = np.bincount(place, weights=d[:, j], minlength=INPUTS)
+        place, rows = inputs.ravel(), np.ascontiguousarray(d.T, float)
+        g.part("e")[:] = np.stack([np.bincount(place, weights=row, minlength=INPUTS) for row in rows], axis=1)
         return g.flat
 
 
@@ -335,13 +430,15 @@ class Model:
         found, border = np.zeros(len(ids)), np.zeros(len(ids))
         first, size, skip = windows(lengths)
         place = np.arange(WINDOW)
-        for k in range(0, len(first), batch):
-            f, s, o = first[k : k + batch, None], size[k : k + batch, None], skip[k : k + batch, None]
-            at = np.minimum(f + place, len(ids) - 1)
-            hidden = self.network.attend(inputs[at])[0]
-            scored = (place >= o) & (place < s)
-            where = at[scored]
-            found[where], border[where] = self.network.log_probs(hidden[scored], goal[where], self.begins)
+        for past in (0, OVERLAP):  # a text's first windows, then the others, whose overlap isn't asked for
+            mine = np.flatnonzero(skip == past)
+            for w in np.array_split(mine, -(-len(mine) // batch)) if len(mine) else []:
+                at = np.minimum(first[w, None] + place, len(ids) - 1)
+                hidden = self.network.attend(inputs[at], past)[0]
+                scored, at = place[past:] < size[w, None], at[:, past:]
+                each = self.network.log_probs(hidden.reshape(-1, WIDTH), goal[at.ravel()], self.begins)
+                where = at[scored]
+                found[where], border[where] = (y[scored.ravel()] for y in each)
         return found, border
 
     def words(self, encoder: Encoder, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,18 +511,6 @@ def within(counts: np.ndarray, class_of: np.ndarray, starts: np.ndarray) -> tupl
     return np.log(np.maximum(side, 1e-9) / total[class_of]), np.log(n / np.maximum(side, n)), log_share, (begun / np.maximum(total, 1e-9)).astype(np.float32)
 
 
-def text_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
-    out, size = [], 0
-    for x in texts:
-        out.append(words_of(x))
-        size += len(x or "")
-        if size >= GROUP_CHARS:
-            yield out
-            out, size = [], 0
-    if out:
-        yield out
-
-
 def adam_steps(net: Network, ids: np.ndarray, lengths: np.ndarray, class_of: np.ndarray, state: dict, batch: int = STEP_WINDOWS, rate: float = 8e-3) -> None:
     """One pass over the windows of some texts, which don't overlap here, in a shuffled order; the rate falls to a tenth over LEAST_STEPS."""
     target = np.roll(ids, -1)
@@ -483,20 +568,20 @@ def train(documents: DataFrame, class_of: np.ndarray, log_share: np.ndarray, voc
     for r in range(rounds):
         shared = sc.broadcast((net.flat, class_of))
 
-        def local(batches: Iterator[pd.DataFrame], shared=shared, r=r) -> Iterator[pd.DataFrame]:
+        def local(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             start, classes = shared.value
             own, encoder, shard = Network(start.copy()), Encoder(*vocabulary), TaskContext.get().partitionId()
             state = {"t": 0, "m": np.zeros_like(start), "s": np.zeros_like(start), "rng": np.random.default_rng((r, shard))}
-            for texts in text_groups(chain.from_iterable(pdf["text"] for pdf in batches)):
+            for texts in text_groups(batch.column("text") for batch in batches):
                 ids, lengths = encoder.texts(texts)
                 for _ in range(passes):
                     adam_steps(own, ids, lengths, classes, state)
             if state["t"]:
-                yield pd.DataFrame({"shard": [shard], "flat": [own.flat.astype(np.float32).tobytes()], "steps": [float(state["t"])]})
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([own.flat.astype(np.float32).tobytes()]), pa.array([float(state["t"])])], ["shard", "flat", "steps"])
             give_back()
 
         part = keyed.where(F.pmod("h", F.lit(rounds)) == r).repartition(shards, "h").sortWithinPartitions("h").select("text")
-        flat = mean_weights(materialize(part.mapInPandas(local, "shard int, flat binary, steps double"), "weights"), shards)
+        flat = mean_weights(materialize(part.mapInArrow(local, "shard int, flat binary, steps double"), "weights"), shards)
         if flat is not None:
             net = Network(flat)
     return net
@@ -512,7 +597,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     vocabulary = vocabulary or default_vocabulary()
     docs = documents.select("doc_id", "text").withColumn("held_out", held_out())
     training = docs.where("not held_out")
-    counts = materialize(training.select("text").mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    counts = materialize(training.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")), "words")
     n_train = training.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, denominator = n_words + n_train, float(n_words + n_train + n_distinct + (n_train > 0) + 1)
@@ -598,7 +683,7 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
     fixed = Fixed.of(class_of, log_side, log_within, kept - (1 << 20), inner.sort_values("key")["n"].to_numpy(float), (totals["key"].to_numpy(np.int64), totals["n"].to_numpy(float)))
     known, extra = counts.withColumn("extra", F.lit(0.0)), {}
     if all_pairs.count() > len(kept):
-        unseen = docs.where("held_out").select("text").mapInPandas(count_words, "word binary, n long").select("word")
+        unseen = docs.where("held_out").select("text").mapInArrow(count_words, "word binary, n long").select("word")
         each = counts.select("word").union(unseen).distinct()
         more = each.mapInPandas(other_pairs, "word binary, key long, prior double").join(all_pairs, "key")
         more = materialize(more.groupBy("word").agg(F.sum(F.log1p(F.col("n") / F.col("prior"))).alias("extra")), "pairs")
@@ -614,8 +699,9 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
         row, ln10 = TaskContext.get().partitionId() << 40, math.log(10)
         for batch in batches:
             done = 0
-            for texts in text_groups(chain.from_iterable(portions(batch.column("text")))):
-                slots = encoder.slots(texts)
+            for texts in text_groups(iter([batch.column("text")]), 5 * GROUP_CHARS):
+                words, n = split(texts)
+                slots = encoder.slots(words, n)
                 raw, end = model.words(encoder, slots)
                 word = np.minimum(raw, 0.0)
                 at = np.flatnonzero(slots == 0)
@@ -630,14 +716,13 @@ def score(documents: DataFrame, *, vocabulary: tuple[str, str] | None = None) ->
                 sums = lambda x, at=at: np.add.reduceat(x, at)
                 score = sums(mixed) + np.log10(MIX * n_train / total + (1 - MIX) * np.exp(end))
                 places = np.flatnonzero(few)
-                flat = list(chain.from_iterable(chain((b"",), words) for words in texts))
+                rare = words.take(pa.array(places - np.searchsorted(at, places)))
                 ends = np.append(np.searchsorted(places, at), len(places)).astype(np.int32)
-                lists = lambda x, kind, ends=ends: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind))
-                n = np.array([len(w) for w in texts], np.int64)
+                lists = lambda x, ends=ends: pa.ListArray.from_arrays(pa.array(ends), x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + len(texts))), batch.column("doc_id").slice(done, len(texts)), batch.column("held_out").slice(done, len(texts)), pa.array(n + 1),
                      pa.array(end_known + n - sums(few.astype(np.int64))), pa.array(end_base + sums(base)), pa.array(score),
-                     lists([flat[i] for i in places.tolist()], pa.binary()), lists(raw[places], pa.float64())],
+                     lists(rare), lists(pa.array(raw[places]))],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "context"],
                 )
                 done += len(texts)

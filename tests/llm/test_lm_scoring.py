@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brinewave.llm import lm_scoring as L
@@ -214,3 +215,45 @@ def test_shards_and_their_mean(spark, docs, monkeypatch):
     nets = [L.train(docs.repartition(n), class_of, share, L.default_vocabulary(), ids) for n in (1, 6)]
     assert np.allclose(nets[0].flat, nets[1].flat, atol=1e-5)
     assert [s for s, _ in seen] == [3] * 4 and sorted(seen[0][1]) == sorted(seen[2][1]) and sorted(seen[1][1]) == sorted(seen[3][1])
+
+
+ODD_WORDS = ["The \t the\x0b\x0cOF  don't x!y?z 3.5% Über u\u0308", "a\u00a0! \u3000b \x1cq \x85r 日本語。テスト ok\u2028", "", " \n ", "the " * 5 + "w" * 300, "one two  three the of"]
+
+
+def test_words_are_encoded_together_and_once(monkeypatch):
+    """Ids are those of each word by itself, by the pattern; a frequent word isn't encoded again when others are forgotten."""
+    monkeypatch.setattr(L, "CACHE", 3)
+    e, seen = L.Encoder(*L.default_vocabulary(), None, {b"the": 7, b"of": 2}), []
+    together = e.together
+    monkeypatch.setattr(e, "together", lambda some: seen.append(list(some)) or together(some))
+    own = lambda w: [i for p in e.bpe.pattern.findall(f" {w}") for i in e.bpe.encode_pieces([p.encode()])[p.encode()]]
+    for texts in [ODD_WORDS, ODD_WORDS[:2], ODD_WORDS, ["the of"]]:
+        expected = [[e.end, *(i for w in words(t) for i in own(w.encode().lower().decode()))] for t in texts]
+        ids, lengths = e.texts(pa.array(texts))
+        assert ids.tolist() == [i for x in expected for i in x] and lengths.tolist() == list(map(len, expected))
+        slots = e.slots(*L.split(pa.array(texts)))
+        assert [c for c in e.count[slots].tolist() if c > 0] == [{"the": 7.0, "of": 2.0}[w] for t in texts for w in words(t.lower()) if w in ("the", "of")]
+    assert len(seen) > 2 and not any({b"the", b"of"} & set(some) for some in seen)
+
+
+def test_words_and_counts_by_batches(monkeypatch):
+    """Groups cross batches; counts are those of all words, also where a task gives them in parts."""
+    texts = [None, *ODD_WORDS] * 7
+    batches = lambda: (pa.RecordBatch.from_arrays([pa.array(texts[k : k + 5], pa.string())], ["text"]) for k in range(0, len(texts), 5))
+    groups = [g.to_pylist() for g in L.text_groups((b.column("text") for b in batches()), 400)]
+    assert [t for g in groups for t in g] == [t or "" for t in texts] and len(groups) > 2
+    assert all(sum(map(len, g)) >= 400 > sum(map(len, g[:-1])) for g in groups[:-1])
+    monkeypatch.setattr(L, "GROUP_CHARS", 30)
+    got: Counter = Counter()
+    for b in L.count_words(batches()):
+        for r in b.to_pylist():
+            got[r["word"]] += r["n"]
+    assert got == Counter(w.encode().lower() for t in texts for w in words(t))
+    assert list(L.count_words(iter([]))) == []
+
+
+def test_hidden_states_past_a_place_are_those_of_the_whole_window():
+    rng = np.random.default_rng(6)
+    net = L.Network(rng.normal(0, 0.3, L.Network.SIZE).astype(np.float32))
+    inputs = rng.integers(0, L.INPUTS, (3, L.WINDOW))
+    assert np.allclose(net.attend(inputs, L.OVERLAP)[0], net.attend(inputs)[0][:, L.OVERLAP :], atol=1e-6)
